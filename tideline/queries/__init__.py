@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from tideline.queries import graph, lake, prices  # noqa: F401
+from tideline.queries import analysis, graph, lake, prices  # noqa: F401
 from tideline.queries.registry import REGISTERED
 
 __all__ = ["REGISTERED"]
