@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tideline.operators.candles import usable_price
+from tideline.operators.insights import top_rows
 from tideline.operators.ordered import join_on
 
 # Alert threshold, history length and event type of the watchdog.
@@ -21,21 +22,19 @@ def is_breakout(threshold: float = ALERT_THRESHOLD, price: str = "price") -> Col
     return usable_price(price) & (F.col(price) >= threshold)
 
 
-def breakout_history(
+def episodes(
     ticks: DataFrame,
     cell: Column,
     threshold: float = ALERT_THRESHOLD,
-    history: int = HISTORY,
     keys: Sequence[str] = ("ticker",),
     order: Sequence[str] = ("ts", "id"),
 ) -> DataFrame:
-    """One row per breakout with the prices since the breakout before it, at most ``history``.
+    """Ticks with their position ``rn`` in the key and ``alert_rn``, the position of the
+    breakout that closes their episode; null while the episode is open.
 
-    A breakout closes an episode; the next tick of the key opens a new one. Each tick learns
-    the position of the breakout that closes its episode: from its own cell if there is one
-    left, else from the first later cell that has one. Only a cell's count and its first
-    breakout travel between cells. Episodes share no ticks, so the history rows together
-    are no more than the ticks.
+    A breakout closes an episode; the next tick of the key opens a new one. Each tick takes
+    the breakout from its own cell if one is left there, else from the first later cell
+    that has one. Only a cell's count and its first breakout travel between cells.
     """
     keys = list(keys)
     cells = ticks.filter(usable_price()).withColumn("__cell", cell).withColumn("__hit", is_breakout(threshold))
@@ -55,26 +54,61 @@ def breakout_history(
         "__later_hit", F.first(F.col("__before") + F.col("__first_hit"), ignorenulls=True).over(later)
     )
     carried = summary.select(*keys, "__cell", "__before", "__later_hit")
-    placed = join_on(numbered, carried, [*keys, "__cell"]).select(
+    return join_on(numbered, carried, [*keys, "__cell"]).select(
         *keys,
         *order,
         "price",
-        (F.col("__before") + F.col("__k")).alias("__rn"),
+        (F.col("__before") + F.col("__k")).alias("rn"),
         F.coalesce(F.col("__before") + F.col("__close"), F.col("__later_hit")).alias("alert_rn"),
     )
-    recent = placed.filter(F.col("alert_rn") - F.col("__rn") < history)
+
+
+def alerts_of(
+    placed: DataFrame, history: int = HISTORY, keys: Sequence[str] = ("ticker",), order: Sequence[str] = ("ts", "id")
+) -> DataFrame:
+    """One row per breakout with the prices of its episode, the last ``history`` of them.
+
+    Episodes share no ticks, so the history rows together are no more than the ticks, and
+    no array is longer than ``history``.
+    """
     return (
-        recent.groupBy(*keys, "alert_rn")
+        placed.filter(F.col("alert_rn") - F.col("rn") < history)
+        .groupBy(*keys, "alert_rn")
         .agg(
-            F.max(F.struct("__rn", *order, "price")).alias("__last"),
+            F.max(F.struct("rn", *order, "price")).alias("__last"),
             F.count(F.lit(1)).alias("history_len"),
-            F.transform(F.array_sort(F.collect_list(F.struct("__rn", "price"))), lambda x: x["price"]).alias("history"),
+            F.transform(F.array_sort(F.collect_list(F.struct("rn", "price"))), lambda x: x["price"]).alias("history"),
+        )
+        .select(
+            *keys,
+            *[F.col(f"__last.{c}").alias(c) for c in order],
+            F.col("__last.price").alias("price"),
+            "history_len",
+            "history",
         )
-        .select(*keys, *[F.col(f"__last.{c}").alias(c) for c in order], F.col("__last.price").alias("price"),
-                "history_len", "history")
     )
 
 
+def open_history(
+    placed: DataFrame, history: int = HISTORY, keys: Sequence[str] = ("ticker",), order: Sequence[str] = ("ts", "id")
+) -> DataFrame:
+    """The last ``history`` ticks of each key's open episode: what later ticks still need."""
+    waiting = placed.filter(F.col("alert_rn").isNull())
+    return top_rows(waiting, list(keys), [F.desc("rn")], history).select(*keys, *order, "price")
+
+
+def breakout_history(
+    ticks: DataFrame,
+    cell: Column,
+    threshold: float = ALERT_THRESHOLD,
+    history: int = HISTORY,
+    keys: Sequence[str] = ("ticker",),
+    order: Sequence[str] = ("ts", "id"),
+) -> DataFrame:
+    """All breakouts of closed data with the prices since the breakout before each."""
+    return alerts_of(episodes(ticks, cell, threshold, keys, order), history, keys, order)
+
+
 def alert_payload(alerts: DataFrame, event_type: str = EVENT_TYPE) -> DataFrame:
     """Trigger message of each alert, as the backend takes it."""
     return alerts.withColumn("event_trigger_source", F.lit(SOURCE_PREFIX + event_type)).withColumn(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import pandas as pd
@@ -50,15 +51,27 @@ def rsi(
             {
                 "signal": F.when(F.col("rsi") > overbought, "overbought")
                 .when(F.col("rsi") < oversold, "oversold")
-                .when(F.col("rsi").isNotNull(), "neutral")
+                .when(F.col("rsi").isNotNull(), "neutral"),
+                "prev_rsi": F.lag("rsi").over(w),
             },
         ]
 
-    # A block's first change needs one row more than the means do.
-    frame = with_lookback(candles, keys, ["window_start"], time_cell("window_start", DAY), period, build)
+    # A block's first change needs one row more than the means do, and a cross one more.
+    frame = with_lookback(candles, keys, ["window_start"], time_cell("window_start", DAY), period + 1, build)
     return frame.drop("change", "gain", "loss")
 
 
+def crosses(frame: DataFrame, before: str, now: str, level: float) -> DataFrame:
+    """Rows that rise through ``level`` (``UP``) or fall through it (``DOWN``) since the row before.
+
+    Values are compared to nine decimals: closer than that to the level counts as on it.
+    """
+    was, is_now = F.round(before, 9), F.round(now, 9)
+    up = (was <= level) & (is_now > level)
+    down = (was >= level) & (is_now < level)
+    return frame.withColumn("cross", F.when(up, "UP").when(down, "DOWN")).filter(F.col("cross").isNotNull())
+
+
 def volume_spike(candles: DataFrame, trailing: int = 20, factor: float = 2.0, keys: Sequence[str] = KEYS) -> DataFrame:
     """Candles whose tick count is at least ``factor`` times the mean of the candles before."""
 
@@ -129,6 +142,37 @@ def price_drop(
     )
 
 
+def ema(
+    candles: DataFrame,
+    means: dict[str, tuple[str, int]],
+    keys: Sequence[str] = KEYS,
+    cell_seconds: int = DAY,
+    initial: DataFrame | None = None,
+) -> DataFrame:
+    """Exponential means x_k = x_{k-1} + a (v_k - x_{k-1}), a = 2 / (span + 1), from x_1 = v_1.
+
+    ``means`` maps new columns to (value column, span). The recurrence is affine, so a cell
+    of m candles maps the value before it to ``decay^m * before + local``. Cells are reduced
+    natively, only the one row per cell is walked in order, and the value before each cell
+    is then put back into it. ``initial`` holds the means before the first candle, per key,
+    when the candles go on from earlier ones.
+    """
+    decays = {out: _decay(span) for out, (_, span) in means.items()}
+    cells, upto = _cells(candles, keys, cell_seconds)
+    for out, (value, _) in means.items():
+        cells = cells.withColumn(f"__local_{out}", _decayed_sum(F.col(value), decays[out], upto))
+    seeds = {out: value for out, (value, _) in means.items()}
+
+    def step(state: dict[str, float], rows: int, local: dict[str, float]) -> dict[str, float]:
+        return {out: decay**rows * state[out] + local[out] for out, decay in decays.items()}
+
+    joined = _carried(cells, keys, seeds, list(decays.values()), step, initial)
+    for out, decay in decays.items():
+        before = F.pow(F.lit(decay), F.col("__k")) * F.col(f"__before_{out}")
+        joined = joined.withColumn(out, before + F.col(f"__local_{out}"))
+    return _without_helpers(joined)
+
+
 def macd(
     candles: DataFrame,
     fast: int = 12,
@@ -137,73 +181,114 @@ def macd(
     price: str = "close",
     keys: Sequence[str] = KEYS,
     cell_seconds: int = DAY,
+    initial: DataFrame | None = None,
 ) -> DataFrame:
-    """Exponential means over ``fast`` and ``slow`` candles, their difference and its own mean."""
-    frame = candles
-    for name, span in (("ema_fast", fast), ("ema_slow", slow)):
-        frame = ema(frame, span, price, name, keys, cell_seconds)
-    frame = frame.withColumn("macd", F.col("ema_fast") - F.col("ema_slow"))
-    frame = ema(frame, signal, "macd", "signal_line", keys, cell_seconds)
-    return frame.withColumn("histogram", F.col("macd") - F.col("signal_line"))
-
+    """Exponential means over ``fast`` and ``slow`` candles, their difference and its own mean.
 
-def ema(
-    candles: DataFrame, span: int, value: str, out: str, keys: Sequence[str] = KEYS, cell_seconds: int = DAY
-) -> DataFrame:
-    """Exponential mean x_k = x_{k-1} + a (v_k - x_{k-1}), a = 2 / (span + 1), from x_1 = v_1.
-
-    The recurrence is affine, so a cell of m candles maps the value before it to
-    ``decay^m * before + local``. Cells are reduced natively, only the one row per cell is
-    walked in order, and the value before each cell is then put back into it.
+    All three are linear in the values before the cell, so one pass over the cells does it:
+    a value x before the cell adds ``decay^k x`` to its own mean and a geometric sum of that
+    to the signal line. ``initial`` as for ``ema``.
     """
-    alpha = 2.0 / (span + 1)
-    decay = 1.0 - alpha
-    cells = candles.withColumn("__cell", time_cell("window_start", cell_seconds))
+    decays = {"ema_fast": _decay(fast), "ema_slow": _decay(slow), "signal_line": _decay(signal)}
+    gamma = decays["signal_line"]
+    cells, upto = _cells(candles, keys, cell_seconds)
+    for out in ("ema_fast", "ema_slow"):
+        cells = cells.withColumn(f"__local_{out}", _decayed_sum(F.col(price), decays[out], upto))
+    between = F.col("__local_ema_fast") - F.col("__local_ema_slow")
+    cells = cells.withColumn("__local_signal_line", _decayed_sum(between, gamma, upto))
+
+    def reach(decay: float, rows):
+        """What a unit before the cell, fading by ``decay``, adds to the signal after ``rows``."""
+        if math.isclose(decay, gamma):
+            return (1.0 - gamma) * rows * gamma**rows
+        return (1.0 - gamma) * decay * (decay**rows - gamma**rows) / (decay - gamma)
+
+    def reach_column(decay: float) -> Column:
+        k = F.col("__k").cast("double")
+        if math.isclose(decay, gamma):
+            return (1.0 - gamma) * k * F.pow(F.lit(gamma), k)
+        factor = (1.0 - gamma) * decay / (decay - gamma)
+        return factor * (F.pow(F.lit(decay), k) - F.pow(F.lit(gamma), k))
+
+    def step(state: dict[str, float], rows: int, local: dict[str, float]) -> dict[str, float]:
+        after = {out: decay**rows * state[out] + local[out] for out, decay in decays.items()}
+        for out, sign in (("ema_fast", 1), ("ema_slow", -1)):
+            after["signal_line"] += sign * state[out] * reach(decays[out], rows)
+        return after
+
+    seeds = {"ema_fast": price, "ema_slow": price, "signal_line": 0.0}
+    joined = _carried(cells, keys, seeds, list(decays.values()), step, initial)
+    for out, decay in decays.items():
+        value = F.pow(F.lit(decay), F.col("__k")) * F.col(f"__before_{out}") + F.col(f"__local_{out}")
+        if out == "signal_line":
+            for other, sign in (("ema_fast", 1), ("ema_slow", -1)):
+                value = value + sign * F.col(f"__before_{other}") * reach_column(decays[other])
+        joined = joined.withColumn(out, value)
+    joined = joined.withColumn("macd", F.col("ema_fast") - F.col("ema_slow"))
+    return _without_helpers(joined.withColumn("histogram", F.col("macd") - F.col("signal_line")))
+
+
+def _decay(span: int) -> float:
+    return 1.0 - 2.0 / (span + 1)
+
+
+def _cells(candles: DataFrame, keys: Sequence[str], seconds: int):
+    """Candles with their cell and place in it, and the window of a cell up to a candle."""
+    cells = candles.withColumn("__cell", time_cell("window_start", seconds))
     inside = Window.partitionBy(*keys, "__cell").orderBy("window_start")
-    upto = inside.rowsBetween(Window.unboundedPreceding, 0)
-    cells = cells.withColumn("__k", F.row_number().over(inside))
-    # The weighted sum is scaled by decay^-k; a cell of at most a few thousand candles keeps
-    # that inside the range of a double, which the check below enforces.
-    scaled = F.col(value) * F.pow(F.lit(decay), -F.col("__k"))
-    cells = cells.withColumn("__local", F.lit(alpha) * F.pow(F.lit(decay), F.col("__k")) * F.sum(scaled).over(upto))
-    limit = int(600 / -_log(decay))
-    ends = cells.groupBy(*keys, "__cell").agg(
-        F.max("__k").alias("__m"),
-        F.max_by("__local", "__k").alias("__local_end"),
-        F.min_by(value, "__k").alias("__first"),
-    )
-    ends = ends.withColumn(
-        "__m", F.when(F.col("__m") <= limit, F.col("__m")).otherwise(F.raise_error(F.lit("ema: cell_seconds too large")))
-    )
-    carried = _carry(ends, keys, decay)
-    before = F.pow(F.lit(decay), F.col("__k")) * F.col("__before")
-    return (
-        join_on(cells, carried, [*keys, "__cell"])
-        .withColumn(out, before + F.col("__local"))
-        .drop("__cell", "__k", "__local", "__before")
-    )
+    return cells.withColumn("__k", F.row_number().over(inside)), inside.rowsBetween(Window.unboundedPreceding, 0)
 
 
-def _log(x: float) -> float:
-    import math
+def _decayed_sum(value: Column, decay: float, upto) -> Column:
+    """The cell's mean after each candle if nothing had been before the cell."""
+    scaled = F.sum(value * F.pow(F.lit(decay), -F.col("__k"))).over(upto)
+    return F.lit(1.0 - decay) * F.pow(F.lit(decay), F.col("__k")) * scaled
 
-    return math.log(x)
 
+def _carried(cells: DataFrame, keys: Sequence[str], seeds: dict[str, str | float], decays: list[float], step, initial) -> DataFrame:
+    """Add ``__before_<mean>``, the means before each cell.
 
-def _carry(ends: DataFrame, keys: Sequence[str], decay: float) -> DataFrame:
-    """Value of the mean before each cell: one row per cell, walked in order per key."""
+    ``step(state, rows, local)`` takes the means across one cell; ``seeds`` gives the first
+    state as a column of the first candle or a number. Only one row per cell is walked.
+    """
+    keys = list(keys)
+    # decay^-k must stay inside the range of a double, which bounds the candles per cell.
+    limit = int(min(600 / -math.log(d) for d in decays))
+    rows = F.max("__k")
+    ends = cells.groupBy(*keys, "__cell").agg(
+        F.when(rows <= limit, rows).otherwise(F.raise_error(F.lit("cell_seconds is too large"))).cast("long").alias("__m"),
+        *[F.max_by(f"__local_{out}", "__k").alias(f"__end_{out}") for out in seeds],
+        *[
+            (F.min_by(seed, "__k") if isinstance(seed, str) else F.first(F.lit(seed))).alias(f"__seed_{out}")
+            for out, seed in seeds.items()
+        ],
+    )
+    if initial is not None:
+        known = initial.select(*keys, *[F.col(out).alias(f"__known_{out}") for out in seeds])
+        ends = join_on(ends, known, keys, "left").withColumns(
+            {f"__seed_{out}": F.coalesce(f"__known_{out}", f"__seed_{out}") for out in seeds}
+        )
     fields = ends.select(*keys, "__cell").schema.fields
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", __before double"
+    schema = ", ".join(
+        [*[f"`{f.name}` {f.dataType.simpleString()}" for f in fields], *[f"__before_{out} double" for out in seeds]]
+    )
 
     def walk(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("__cell")
-        state, before = float(pdf["__first"].iloc[0]), []
-        for rows, local in zip(pdf["__m"], pdf["__local_end"]):
+        state = {out: float(pdf[f"__seed_{out}"].iloc[0]) for out in seeds}
+        before: list[dict[str, float]] = []
+        for row in pdf[["__m", *[f"__end_{out}" for out in seeds]]].itertuples(index=False):
             before.append(state)
-            state = decay**rows * state + local
-        return pdf[[*keys, "__cell"]].assign(__before=before)
+            state = step(state, row[0], dict(zip(seeds, row[1:])))
+        walked = pdf[[*keys, "__cell"]].reset_index(drop=True)
+        return walked.assign(**{f"__before_{out}": [b[out] for b in before] for out in seeds})
 
-    return ends.groupBy(*keys).applyInPandas(walk, schema)
+    carried = ends.groupBy(*keys).applyInPandas(walk, schema)
+    return join_on(cells, carried, [*keys, "__cell"])
+
+
+def _without_helpers(df: DataFrame) -> DataFrame:
+    return df.select(*[c for c in df.columns if not c.startswith("__")])
 
 
 def ratios(df: DataFrame, columns: dict[str, tuple[str, str]]) -> DataFrame:
@@ -218,7 +303,15 @@ def price_ratios(df: DataFrame) -> DataFrame:
     )
 
 
-def rsi_cross(frame: DataFrame, level: float, keys: Sequence[str] = KEYS) -> Column:
-    """True where ``rsi`` rises through ``level`` between two neighbouring candles."""
-    w = Window.partitionBy(*keys).orderBy("window_start")
-    return (F.lag("rsi").over(w) <= level) & (F.col("rsi") > level)
+def with_previous(
+    candles: DataFrame, value: str, keys: Sequence[str] = KEYS, initial: DataFrame | None = None
+) -> DataFrame:
+    """Add ``prev_<value>``: the value at the candle before, or ``initial``'s at the first."""
+    out = f"prev_{value}"
+    frame = with_lookback(
+        candles, keys, ["window_start"], time_cell("window_start", DAY), 1, lambda w: {out: F.lag(value).over(w)}
+    ).drop("rn")
+    if initial is not None:
+        known = initial.select(*keys, F.col(value).alias("__known"))
+        frame = join_on(frame, known, keys, "left").withColumn(out, F.coalesce(out, "__known")).drop("__known")
+    return frame

@@ -80,9 +80,9 @@ def dashboard_documents(series: DataFrame, analyses: DataFrame, keys: list[str])
     joined = series.join(analyses.select(*keys, "sentiment"), keys, "left")
     label = F.coalesce("sentiment", F.lit("Neutral"))
     key = F.concat_ws("\x1f", *[F.col(k).cast("string") for k in keys], F.col("part").cast("string"))
+    shown = [*keys, *([] if "ticker" in keys else ["ticker"]), "part"]
     return joined.select(
-        *keys,
-        "part",
+        *shown,
         label.alias("insight_type"),
         blocks.dashboard_blocks(F.col("ticker"), label, F.col("data"), key).alias("blocks"),
     )
