@@ -80,11 +80,7 @@ def metadata_match(attributes: str, expected: Mapping[str, Any]) -> Column:
 
 
 def _entry_equals(parsed: Column, key: str, value: Any) -> Column:
-    quoted = key.replace("\\", "\\\\").replace("'", "\\'")
-    entry = F.coalesce(
-        F.try_variant_get(parsed, f"$.custom_metadata['{quoted}']", "variant"),
-        F.try_variant_get(parsed, f"$['{quoted}']", "variant"),
-    )
+    entry = F.coalesce(_member(parsed, "$.custom_metadata", key), _member(parsed, "$", key))
     kind = F.schema_of_variant(entry)
     if value is None:
         return F.is_variant_null(entry)
@@ -101,6 +97,14 @@ def _entry_equals(parsed: Column, key: str, value: Any) -> Column:
     return F.to_json(entry) == F.to_json(F.parse_json(F.lit(json.dumps(value))))
 
 
+def _member(parsed: Column, path: str, key: str) -> Column:
+    """A member of the object at a path. Keys that no path can quote go through a map."""
+    if "'" not in key:
+        return F.try_variant_get(parsed, f"{path}['{key}']", "variant")
+    members = F.try_variant_get(parsed, path, "map<string,variant>")
+    return F.try_element_at(members, F.lit(key))
+
+
 def name_contains(column: str, part: str) -> Column:
     """Substring match that ignores case."""
     return F.contains(F.lower(column), F.lower(F.lit(part)))
