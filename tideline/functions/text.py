@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Line breaks and blanks as Python's splitlines() and split() see them.
-LINE_BREAK = r"(?:\r\n|[\n\u000b\u000c\r\u001c-\u001e\u0085\u2028\u2029])"
-WORD = r"[^\s\u000b\u001c-\u001f\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
+# Line breaks and blanks as Python's splitlines() and split() see them. Latin
+# characters are listed one by one and the rest by category: Java tests such a class several
+# times faster than a union of ranges.
+BREAKS = r"\n\u000b\u000c\r\u001c\u001d\u001e\u0085\u2028\u2029"
+LINE_BREAK = r"\r\n?|[\n\u000b\u000c\u001c\u001d\u001e\u0085\u2028\u2029]"
+WORD = r"[^\t\n\u000b\u000c\r\u001c\u001d\u001e\u001f\u0085\p{Z}]+"
 
 TOKEN = r"[\p{L}\p{N}]+"
 
@@ -20,7 +23,7 @@ DATED_EVENT = r"(\d{4}-\d{2}-\d{2})[:,]?\s+([^.\n]+)"
 
 def line_count(text: str) -> Column:
     """Lines of the text; a break at the end does not open another line."""
-    open_end = F.when((F.length(text) > 0) & ~F.col(text).rlike(LINE_BREAK + r"\z"), 1).otherwise(0)
+    open_end = F.when(F.substring(text, -1, 1).rlike(f"[^{BREAKS}]"), 1).otherwise(0)
     return F.regexp_count(text, F.lit(LINE_BREAK)) + open_end
 
 

@@ -72,11 +72,15 @@ def metadata_match(attributes: str, expected: Mapping[str, Any]) -> Column:
     Keys are looked up in ``custom_metadata`` first, then at the top. Whole and fractional
     numbers are one kind; text, booleans, null and nested values are others.
     """
-    parsed = F.try_parse_json(attributes)
-    match = parsed.isNotNull()
-    for key, value in expected.items():
-        match = match & _entry_equals(parsed, key, value)
-    return F.coalesce(match, F.lit(False))
+
+    def equals_all(parsed: Column) -> Column:
+        match = parsed.isNotNull()
+        for key, value in expected.items():
+            match = match & _entry_equals(parsed, key, value)
+        return match
+
+    # The lambda binds the parsed text, so it is parsed once per row however many keys.
+    return F.coalesce(F.exists(F.array(F.try_parse_json(attributes)), equals_all), F.lit(False))
 
 
 def _entry_equals(parsed: Column, key: str, value: Any) -> Column:

@@ -9,7 +9,8 @@ from tideline.operators import asof, breakout, indicators, insights, scoring, si
 from tideline.operators.ordered import time_cell
 from tideline.plans import clean_embed
 from tideline.queries.registry import query
-from tideline.queries.tables import table, ticks
+from tideline.queries.tables import documents, table, ticks
+from tideline.sources.records import spread
 
 
 @query(
@@ -19,7 +20,7 @@ from tideline.queries.tables import table, ticks
         '{' || source || '}' AS scope_text FROM documents WHERE text IS NOT NULL""",
 )
 def clean_embed_query(spark, sf_dir):
-    raw = table(spark, sf_dir, "documents").select(
+    raw = documents(spark, sf_dir).select(
         F.concat_ws("-", "lang", "doc_id").alias("title"),
         F.col("text").alias("content"),
         F.col("source").alias("url"),
@@ -225,7 +226,7 @@ def audit_summary(spark, sf_dir):
 )
 def trending_terms(spark, sf_dir):
     # Documents have no date; each source stands for one day's collection.
-    return summary.trending_terms(table(spark, sf_dir, "documents").withColumnRenamed("source", "day"), "day", "text", 10)
+    return summary.trending_terms(documents(spark, sf_dir).withColumnRenamed("source", "day"), "day", "text", 10)
 
 
 @query(
@@ -235,7 +236,7 @@ def trending_terms(spark, sf_dir):
         SELECT doc_id, part, length(substring(text, part * 450 + 1, 500)) AS chars, sha256(substring(text, part * 450 + 1, 500)) AS digest FROM c""",
 )
 def chunks(spark, sf_dir):
-    pieces = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(text.chunks("text", 500, 50)).alias("part", "chunk"))
+    pieces = documents(spark, sf_dir).select("doc_id", F.posexplode(text.chunks("text", 500, 50)).alias("part", "chunk"))
     return pieces.select(
         "doc_id", F.col("part").cast("long").alias("part"), F.length("chunk").cast("long").alias("chars"), F.sha2("chunk", 256).alias("digest")
     )
@@ -249,7 +250,7 @@ def chunks(spark, sf_dir):
         '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&amp;', '&'), '\s+', ' ', 'g')) AS t FROM pages)""",
 )
 def html_clean(spark, sf_dir):
-    cleaned = table(spark, sf_dir, "pages").select("page_id", text.clean_html("html").alias("t"))
+    cleaned = spread(table(spark, sf_dir, "pages"), "page_id").select("page_id", text.clean_html("html").alias("t"))
     return cleaned.select("page_id", F.length("t").cast("long").alias("chars"), F.sha2("t", 256).alias("digest"))
 
 
@@ -322,7 +323,7 @@ GOOD, BAD = ("the", "les", "los", "der"), ("of", "que", "ing")
         CASE WHEN p > n THEN 'Bullish' WHEN p < n THEN 'Bearish' ELSE 'Neutral' END AS label FROM c""",
 )
 def lexicon_sentiment(spark, sf_dir):
-    scored = table(spark, sf_dir, "documents").select("doc_id", scoring.lexicon_score("text", GOOD, BAD).alias("s"))
+    scored = documents(spark, sf_dir).select("doc_id", scoring.lexicon_score("text", GOOD, BAD).alias("s"))
     return scored.select("doc_id", F.round("s", 6).alias("score"), scoring.lexicon_label(F.col("s")).alias("label"))
 
 

@@ -8,11 +8,11 @@ from tideline.functions import ids, text
 from tideline.operators import catalog, lineage
 from tideline.operators.metadata import listing
 from tideline.queries.registry import query
-from tideline.queries.tables import STAGE_SQL, stage_of, stamped_documents, table
+from tideline.queries.tables import STAGE_SQL, documents, stage_of, stamped_documents, table
 
 
 def document_assets(spark, sf_dir, day="2024-01-01", scope="source"):
-    docs = table(spark, sf_dir, "documents").select(
+    docs = documents(spark, sf_dir).select(
         "text",
         F.col(scope).alias("scope"),
         F.concat(F.lit("sch-"), "lang").alias("schedule"),
@@ -82,7 +82,7 @@ def catalog_search(spark, sf_dir):
         array_to_string(list_sort(list_distinct(flatten(list([lang, source])))), ',') AS tags FROM p GROUP BY asset_id""",
 )
 def catalog_upsert(spark, sf_dir):
-    docs_by_lang = table(spark, sf_dir, "documents").withColumn("scope", F.concat(F.lit("scope-"), "lang"))
+    docs_by_lang = documents(spark, sf_dir).withColumn("scope", F.concat(F.lit("scope-"), "lang"))
     again = catalog.text_assets(
         docs_by_lang.select(
             "text", "scope", F.concat(F.lit("sch-"), "lang").alias("schedule"),
@@ -127,7 +127,7 @@ def asset_lookup(spark, sf_dir):
         ({WORDS_SQL}) AS word_count, 'text/plain' AS mime_type FROM documents""",
 )
 def text_stats(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select(
+    return documents(spark, sf_dir).select(
         "doc_id",
         F.octet_length("text").cast("long").alias("size_byte"),
         ids.content_hash("text").alias("asset_id"),

@@ -6,12 +6,18 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tideline.schemas import STAGES
+from tideline.sources.records import spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents for work that is heavy per text."""
+    return spread(table(spark, sf_dir, "documents"), "doc_id")
+
+
 def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as price ticks: the event type plays the ticker."""
     return table(spark, sf_dir, "events").select(

@@ -78,3 +78,13 @@ def union_ragged(*frames: DataFrame) -> DataFrame:
     for frame in frames[1:]:
         out = out.unionByName(frame, allowMissingColumns=True)
     return out
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows over all cores when the files give fewer scan tasks than there are cores.
+
+    Worth it before heavy work per row on few large row groups. Data of any size has more
+    tasks than cores and comes back as it is. ``keys`` should be nearly unique.
+    """
+    wanted = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= wanted else df.repartition(wanted, *keys)
