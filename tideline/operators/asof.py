@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tideline.operators.ordered import join_on
+from tideline.operators.ordered import in_cells, join_on, number_rows, out_of_cells, rows_before
 
 
 def latest_before(
@@ -18,30 +18,25 @@ def latest_before(
     so no pairs beyond the wanted ones are formed. Headlines come back as ``headline``.
     """
     ts, row_id = order
-    packed = F.struct(*alerts.columns)
-    story = F.struct(*headlines.columns)
+    keys = list(keys)
+    packed = F.struct(*[F.col(c) for c in alerts.columns])
+    marks = headlines.select(*keys, ts, F.lit(0).alias("__side"), F.col(row_id).alias("__id"))
     both = alerts.select(*keys, ts, F.lit(1).alias("__side"), F.col(row_id).alias("__id"), packed.alias("alert")).unionByName(
-        headlines.select(*keys, ts, F.lit(0).alias("__side"), F.col(row_id).alias("__id"), story.alias("headline")),
-        allowMissingColumns=True,
+        marks, allowMissingColumns=True
     )
-    both = both.withColumn("__cell", cell)
+    both = in_cells(both, keys, cell)
     # A headline at the alert's own time counts as before it, hence the side in the order.
-    inside = Window.partitionBy(*keys, "__cell").orderBy(ts, "__side", "__id").rowsBetween(Window.unboundedPreceding, 0)
-    counted = both.withColumn("__local", F.sum(1 - F.col("__side")).over(inside))
-    along = Window.partitionBy(*keys).orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        both.groupBy(*keys, "__cell")
-        .agg(F.sum(1 - F.col("__side")).alias("__n"))
-        .withColumn("__before", F.coalesce(F.sum("__n").over(along), F.lit(0)))
-        .drop("__n")
-    )
-    placed = join_on(counted, offsets, [*keys, "__cell"]).withColumn("__seen", F.col("__before") + F.col("__local"))
+    inside = Window.partitionBy("__at").orderBy(ts, "__side", "__id").rowsBetween(Window.unboundedPreceding, 0)
+    counted = both.withColumn("__local", F.sum(1 - F.col("__side")).over(inside)).filter(F.col("__side") == 1)
+    offsets = rows_before(both.groupBy("__at").agg(F.sum(1 - F.col("__side")).alias("__n")), keys)
     wanted = (
-        placed.filter(F.col("__side") == 1)
+        out_of_cells(counted.join(offsets, "__at"), keys)
         .withColumn("rank", F.explode(F.sequence(F.lit(1), F.lit(k))))
-        .withColumn("__seen", F.col("__seen") - F.col("rank") + 1)
-        .filter(F.col("__seen") >= 1)
-        .select(*keys, "alert", "rank", "__seen")
+        .withColumn("__number", F.col("__before") + F.col("__local") - F.col("rank") + 1)
+        .filter(F.col("__number") >= 1)
+        .select(*keys, "alert", "rank", "__number")
     )
-    numbered = placed.filter(F.col("__side") == 0).select(*keys, "__seen", "headline")
-    return join_on(wanted, numbered, [*keys, "__seen"]).select(*keys, "alert", "rank", "headline")
+    story = F.struct(*[F.col(c) for c in headlines.columns])
+    numbered = number_rows(headlines, keys, [ts, row_id], cell, "__number")
+    found = join_on(wanted, numbered.select(*keys, "__number", story.alias("headline")), [*keys, "__number"])
+    return found.select(*keys, "alert", "rank", "headline")

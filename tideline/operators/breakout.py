@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tideline.operators.candles import usable_price
 from tideline.operators.insights import top_rows
-from tideline.operators.ordered import join_on
+from tideline.operators.ordered import along_cells, in_cells, out_of_cells
 
 # Alert threshold, history length and event type of the watchdog.
 ALERT_THRESHOLD = 2000.0
@@ -37,24 +37,25 @@ def episodes(
     that has one. Only a cell's count and its first breakout travel between cells.
     """
     keys = list(keys)
-    cells = ticks.filter(usable_price()).withColumn("__cell", cell).withColumn("__hit", is_breakout(threshold))
-    inside = Window.partitionBy(*keys, "__cell").orderBy(*order)
+    # Whether a tick is a breakout is told after the shuffle: so both uses of the cells below
+    # want the same columns, and Spark shuffles the ticks once for both.
+    hit = is_breakout(threshold)
+    cells = in_cells(ticks.select(*keys, *order, "price").filter(usable_price()), keys, cell)
+    inside = Window.partitionBy("__at").orderBy(*order)
     rest = inside.rowsBetween(Window.currentRow, Window.unboundedFollowing)
     numbered = cells.withColumn("__k", F.row_number().over(inside)).withColumn(
-        "__close", F.first(F.when(F.col("__hit"), F.col("__k")), ignorenulls=True).over(rest)
+        "__close", F.first(F.when(hit, F.col("__k")), ignorenulls=True).over(rest)
     )
-    # Taken from the numbered rows, whose partitioning already is (key, cell): no new shuffle.
-    summary = numbered.groupBy(*keys, "__cell").agg(
-        F.count(F.lit(1)).alias("__n"), F.min(F.when(F.col("__hit"), F.col("__k"))).alias("__first_hit")
+    summary = numbered.groupBy("__at").agg(
+        F.count(F.lit(1)).alias("__n"), F.min(F.when(hit, F.col("__k"))).alias("__first_hit")
     )
-    along = Window.partitionBy(*keys).orderBy("__cell")
-    earlier = along.rowsBetween(Window.unboundedPreceding, -1)
-    later = along.rowsBetween(1, Window.unboundedFollowing)
+    earlier = along_cells(keys).rowsBetween(Window.unboundedPreceding, -1)
+    later = along_cells(keys).rowsBetween(1, Window.unboundedFollowing)
     summary = summary.withColumn("__before", F.coalesce(F.sum("__n").over(earlier), F.lit(0))).withColumn(
         "__later_hit", F.first(F.col("__before") + F.col("__first_hit"), ignorenulls=True).over(later)
     )
-    carried = summary.select(*keys, "__cell", "__before", "__later_hit")
-    return join_on(numbered, carried, [*keys, "__cell"]).select(
+    placed = numbered.join(summary.select("__at", "__before", "__later_hit"), "__at")
+    return out_of_cells(placed, keys).select(
         *keys,
         *order,
         "price",

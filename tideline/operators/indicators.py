@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tideline.operators.ordered import join_on, micros, time_cell, with_lookback
+from tideline.operators.ordered import floor_div, in_cells, join_on, micros, out_of_cells, time_cell, with_lookback
 
 DAY = 86_400
 KEYS = ("ticker",)
@@ -127,7 +127,7 @@ def price_drop(
     a span sees all the prices its ticks may look back on and no key is kept whole.
     """
     length = seconds * 1_000_000
-    home = F.floor(F.col("ts_us") / length).cast("long")
+    home = floor_div(F.col("ts_us"), length)
     spread = (
         ticks.withColumn("ts_us", micros("ts"))
         .withColumn("__home", home)
@@ -234,8 +234,8 @@ def _decay(span: int) -> float:
 
 def _cells(candles: DataFrame, keys: Sequence[str], seconds: int):
     """Candles with their cell and place in it, and the window of a cell up to a candle."""
-    cells = candles.withColumn("__cell", time_cell("window_start", seconds))
-    inside = Window.partitionBy(*keys, "__cell").orderBy("window_start")
+    cells = in_cells(candles, keys, time_cell("window_start", seconds))
+    inside = Window.partitionBy("__at").orderBy("window_start")
     return cells.withColumn("__k", F.row_number().over(inside)), inside.rowsBetween(Window.unboundedPreceding, 0)
 
 
@@ -255,19 +255,20 @@ def _carried(cells: DataFrame, keys: Sequence[str], seeds: dict[str, str | float
     # decay^-k must stay inside the range of a double, which bounds the candles per cell.
     limit = int(min(600 / -math.log(d) for d in decays))
     rows = F.max("__k")
-    ends = cells.groupBy(*keys, "__cell").agg(
+    ends = cells.groupBy("__at").agg(
         F.when(rows <= limit, rows).otherwise(F.raise_error(F.lit("cell_seconds is too large"))).cast("long").alias("__m"),
         *[F.max_by(f"__local_{out}", "__k").alias(f"__end_{out}") for out in seeds],
         *[
             (F.min_by(seed, "__k") if isinstance(seed, str) else F.first(F.lit(seed))).alias(f"__seed_{out}")
             for out, seed in seeds.items()
         ],
-    )
+    ).select("__at.*", "*")
     if initial is not None:
         known = initial.select(*keys, *[F.col(out).alias(f"__known_{out}") for out in seeds])
         ends = join_on(ends, known, keys, "left").withColumns(
             {f"__seed_{out}": F.coalesce(f"__known_{out}", f"__seed_{out}") for out in seeds}
         )
+    ends = ends.drop("__at")
     fields = ends.select(*keys, "__cell").schema.fields
     schema = ", ".join(
         [*[f"`{f.name}` {f.dataType.simpleString()}" for f in fields], *[f"__before_{out} double" for out in seeds]]
@@ -284,7 +285,8 @@ def _carried(cells: DataFrame, keys: Sequence[str], seeds: dict[str, str | float
         return walked.assign(**{f"__before_{out}": [b[out] for b in before] for out in seeds})
 
     carried = ends.groupBy(*keys).applyInPandas(walk, schema)
-    return join_on(cells, carried, [*keys, "__cell"])
+    carried = in_cells(carried, keys, F.col("__cell")).drop("__cell")
+    return out_of_cells(cells.join(carried, "__at"), keys)
 
 
 def _without_helpers(df: DataFrame) -> DataFrame:

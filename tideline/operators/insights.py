@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tideline.functions import blocks
-from tideline.operators.ordered import number_rows
+from tideline.operators.candles import exact_sum
+from tideline.operators.ordered import floor_div, number_rows
 
 
 def average_price(rows: DataFrame, keys: list[str], price: str = "price", has_price: Column | None = None) -> DataFrame:
@@ -15,9 +16,8 @@ def average_price(rows: DataFrame, keys: list[str], price: str = "price", has_pr
     ``has_price`` marks rows of files that have a price column; other files are skipped.
     """
     used = rows if has_price is None else rows.filter(has_price)
-    total = F.sum(F.col(price).cast("decimal(18,2)")).cast("double")
     return used.groupBy(*keys).agg(
-        F.coalesce(F.try_divide(total, F.count(F.lit(1))), F.lit(0.0)).alias("average_price"),
+        F.coalesce(F.try_divide(exact_sum(price), F.count(F.lit(1))), F.lit(0.0)).alias("average_price"),
         F.count(F.lit(1)).alias("row_count"),
     )
 
@@ -51,7 +51,7 @@ def chart_series(
     """
     numbered = number_rows(points, keys, order, cell)
     return (
-        numbered.withColumn("part", F.floor((F.col("rn") - 1) / rows_per_part).cast("long"))
+        numbered.withColumn("part", floor_div(F.col("rn") - 1, rows_per_part))
         .groupBy(*keys, "part")
         .agg(
             F.transform(F.array_sort(F.collect_list(F.struct("rn", "point"))), lambda x: x["point"]).alias("data"),

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tideline.functions.ids import run_name
-from tideline.operators.ordered import number_rows
+from tideline.operators.ordered import floor_div, number_rows
 
 
 def cron_tasks(schedules: DataFrame, tasks: DataFrame, tools: DataFrame) -> DataFrame:
@@ -35,7 +35,7 @@ def nested_schedules(joined: DataFrame, tasks_per_part: int = 10_000) -> DataFra
     rows = joined.withColumns({"__late": late, "__name": name})
     cell = F.struct(
         F.col("__late").alias("late"),
-        F.floor(F.col("execution_order") / 1000).alias("span"),
+        floor_div(F.col("execution_order").cast("long"), 1000).alias("span"),
         F.when(F.col("__late"), F.substring("__name", 1, 3)).alias("head"),
     )
     numbered = number_rows(rows, ["schedule_id"], ["__late", "execution_order", "__name"], cell)
@@ -44,7 +44,7 @@ def nested_schedules(joined: DataFrame, tasks_per_part: int = 10_000) -> DataFra
     )
     ordered = F.array_sort(F.collect_list(F.when(F.col("task_id").isNotNull(), task)))
     return (
-        numbered.withColumn("part", F.floor((F.col("rn") - 1) / tasks_per_part).cast("long"))
+        numbered.withColumn("part", floor_div(F.col("rn") - 1, tasks_per_part))
         .groupBy("schedule_id", "part")
         .agg(
             F.first("scope_id").alias("scope_id"),

@@ -9,9 +9,11 @@ row per cell across the cuts. Results equal those of the uncut window.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from decimal import Decimal
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, ShortType, StructType
 
 
 def micros(ts: str) -> Column:
@@ -19,9 +21,27 @@ def micros(ts: str) -> Column:
     return F.unix_micros(F.col(ts).cast("timestamp"))
 
 
+def floor_div(value: Column, size: int) -> Column:
+    """Whole quotient, rounded down, without passing through doubles."""
+    size = F.lit(size).cast("long")
+    return F.call_function("div", value - F.pmod(value, size), size)
+
+
 def time_cell(ts: str, seconds: int) -> Column:
     """Number of the span of the given length that holds the timestamp."""
-    return F.floor(micros(ts) / F.lit(seconds * 1_000_000)).cast("long")
+    return floor_div(micros(ts), seconds * 1_000_000)
+
+
+def time_id_key(schema: StructType, ts: str = "ts", row_id: str = "id") -> Column:
+    """A key that orders rows by (ts, id).
+
+    For whole-number ids it is one exact decimal, ts * 2^64 + id + 2^63: aggregates can
+    update that in place and stay hash based, where a struct key makes Spark sort.
+    """
+    if not isinstance(schema[row_id].dataType, (LongType, IntegerType, ShortType)):
+        return F.struct(ts, row_id)
+    high = micros(ts).cast("decimal(18,0)") * F.lit(Decimal(2**64))
+    return high + (F.col(row_id).cast("decimal(20,0)") + F.lit(Decimal(2**63)))
 
 
 def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
@@ -34,6 +54,26 @@ def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "
     return left.join(renamed, condition, how).drop(*[f"__{k}" for k in keys])
 
 
+def in_cells(df: DataFrame, keys: Sequence[str], cell: Column) -> DataFrame:
+    """Replace the key columns by ``__at``, the key and its cell as one struct.
+
+    A struct is never null and equal to one with nulls in the same places, so windows,
+    aggregates and plain joins on it all want the same partitioning: joining a cell's
+    values back to its rows does not shuffle the rows again.
+    """
+    return df.withColumn("__at", F.struct(*[F.col(k) for k in keys], cell.alias("__cell"))).drop(*keys)
+
+
+def out_of_cells(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Key columns back in place of ``__at``."""
+    return df.select(*[F.col(f"__at.{k}").alias(k) for k in keys], *[c for c in df.columns if c != "__at"])
+
+
+def along_cells(keys: Sequence[str]) -> WindowSpec:
+    """The cells of each key in order, for a table with one row per cell."""
+    return Window.partitionBy(*[F.col(f"__at.{k}") for k in keys]).orderBy("__at.__cell")
+
+
 def number_rows(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], cell: Column, out: str = "rn"
 ) -> DataFrame:
@@ -42,21 +82,17 @@ def number_rows(
     ``cell`` must not decrease along the order. Rows are numbered within (key, cell); the
     rows before each cell come from a table with one row per cell.
     """
-    cells = df.withColumn("__cell", cell)
-    local = Window.partitionBy(*keys, "__cell").orderBy(*order)
-    before = Window.partitionBy(*keys).orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        cells.groupBy(*keys, "__cell")
-        .agg(F.count(F.lit(1)).alias("__n"))
-        .withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0)))
-        .drop("__n")
-    )
-    numbered = cells.withColumn("__local", F.row_number().over(local))
-    return (
-        join_on(numbered, offsets, [*keys, "__cell"])
-        .withColumn(out, F.col("__before") + F.col("__local"))
-        .drop("__cell", "__local", "__before")
-    )
+    cells = in_cells(df, keys, cell)
+    numbered = cells.withColumn("__local", F.row_number().over(Window.partitionBy("__at").orderBy(*order)))
+    offsets = rows_before(cells.groupBy("__at").agg(F.count(F.lit(1)).alias("__n")), keys)
+    placed = numbered.join(offsets, "__at").withColumn(out, F.col("__before") + F.col("__local"))
+    return out_of_cells(placed.drop("__local", "__before"), keys)
+
+
+def rows_before(sizes: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``__before``, the sum of ``__n`` over the cells before each one of its key."""
+    earlier = along_cells(keys).rowsBetween(Window.unboundedPreceding, -1)
+    return sizes.select("__at", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before"))
 
 
 def lookback_blocks(df: DataFrame, rn: str, lookback: int, block_rows: int = 50_000) -> DataFrame:
@@ -67,8 +103,8 @@ def lookback_blocks(df: DataFrame, rn: str, lookback: int, block_rows: int = 50_
     """
     if not 0 <= lookback < block_rows:
         raise ValueError("lookback must be smaller than block_rows")
-    position = F.col(rn) - 1
-    home = F.floor(position / block_rows).cast("long")
+    position = F.col(rn).cast("long") - 1
+    home = floor_div(position, block_rows)
     near_end = F.pmod(position, F.lit(block_rows)) >= block_rows - lookback
     return (
         df.withColumn("__home", home)

@@ -60,33 +60,31 @@ def _scorer(spark: SparkSession, batch: tuple[list, np.ndarray], k: int):
     shipped = spark.sparkContext.broadcast((keys, unit))
 
     def best(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["query_id", "similarity", "id"], ascending=[True, False, True])
-        return frame.groupby("query_id", sort=False).head(k)
+        frame = frame.sort_values(["q", "similarity", "id"], ascending=[True, False, True])
+        return frame.groupby("q", sort=False).head(k)
 
     def score(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         query_ids, directions = shipped.value
-        kept = None
+        kept, floor = None, np.full(len(query_ids), -np.inf)
         for part in parts:
             part = part[part["embedding"].notna()]
             if part.empty:
                 continue
             rows = np.stack(part["embedding"].to_numpy()).astype(np.float64)
-            lengths = np.linalg.norm(rows, axis=1)
-            ids = part["id"].to_numpy()
-            scores = np.divide(rows @ directions.T, lengths[:, None], out=np.full((len(rows), len(query_ids)), np.nan), where=lengths[:, None] > 0)
-            picks = []
-            for q, query_id in enumerate(query_ids):
-                column = scores[:, q]
-                usable = np.flatnonzero(~np.isnan(column))
-                if len(usable) > k:
-                    # Everything that ties with the k-th best stays, so that ids decide.
-                    floor = np.partition(column[usable], len(usable) - k)[len(usable) - k]
-                    usable = usable[column[usable] >= floor]
-                picks.append(pd.DataFrame({"query_id": query_id, "id": ids[usable], "similarity": column[usable]}))
-            fresh = pd.concat(picks, ignore_index=True)
+            lengths = np.linalg.norm(rows, axis=1, keepdims=True)
+            scores = np.divide(rows @ directions.T, lengths, out=np.full((len(rows), len(query_ids)), -np.inf), where=lengths > 0)
+            scores[np.isnan(scores)] = -np.inf
+            if len(scores) > k:
+                floor = np.maximum(floor, np.partition(scores, -k, axis=0)[-k])
+            # Everything that ties with the k-th best stays, so that ids decide.
+            at, q = np.nonzero((scores >= floor) & (scores > -np.inf))
+            fresh = pd.DataFrame({"q": q, "id": part["id"].to_numpy()[at], "similarity": scores[at, q]})
             kept = best(fresh if kept is None else pd.concat([kept, fresh], ignore_index=True))
+            full = kept.groupby("q")["similarity"].agg(["size", "min"])
+            full = full[full["size"] >= k]
+            floor[full.index] = np.maximum(floor[full.index], full["min"])
         if kept is not None and len(kept):
-            yield kept
+            yield kept.assign(query_id=np.asarray(query_ids, dtype=object)[kept["q"]])[["query_id", "id", "similarity"]]
 
     return score
 

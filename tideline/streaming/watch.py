@@ -98,11 +98,17 @@ def indicator_handler(root: str, period: int = 14, low: float = 30.0, high: floa
         columns = ["ticker", "window_start", "close"]
         # Kept once: every further action would run the candle aggregation again.
         new = batch.select(*columns).persist()
-        rows, means = new.withColumn("fresh", F.lit(True)), None
+        rows, means, before = new.withColumn("fresh", F.lit(True)), None, None
         if batch_id > 0:
             before = snapshot(spark, f"{root}/candles", batch_id - 1)
             rows = rows.unionByName(before.withColumn("fresh", F.lit(False)))
             means = snapshot(spark, f"{root}/means", batch_id - 1)
+        if new.isEmpty():
+            # No window closed: the state goes on as it is.
+            new.unpersist()
+            publish_snapshot(before if before is not None else new, f"{root}/candles", batch_id)
+            publish_snapshot(means if means is not None else _no_means(new), f"{root}/means", batch_id)
+            return
         rsi = indicators.rsi(rows, period).filter("fresh").persist()
         macd = indicators.macd(new, initial=means)
         macd = indicators.with_previous(macd, "histogram", initial=means).persist()
@@ -127,5 +133,10 @@ def indicator_handler(root: str, period: int = 14, low: float = 30.0, high: floa
     return handle
 
 
+def _no_means(candles: DataFrame) -> DataFrame:
+    names = ("ema_fast", "ema_slow", "signal_line", "histogram")
+    return candles.select("ticker", "window_start", *[F.lit(0.0).alias(n) for n in names]).limit(0)
+
+
 def _named(crossings: DataFrame, indicator: str) -> DataFrame:
     return crossings.select("ticker", "window_start", F.lit(indicator).alias("indicator"), "cross")
