@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tideline.functions import ids, text
@@ -125,9 +125,14 @@ def delete_prefix(
     return "/".join(parts) + "/" + (asset_id or "")
 
 
+def below(prefix: str) -> Column:
+    """True for rows under the prefix. The match is literal, not a pattern."""
+    return F.coalesce(F.startswith(F.col("file_path"), F.lit(prefix)), F.lit(False))
+
+
 def delete(catalog: DataFrame, prefix: str) -> DataFrame:
-    """Rows outside the prefix. The match is literal, not a pattern."""
-    return catalog.filter(~F.coalesce(F.startswith(F.col("file_path"), F.lit(prefix)), F.lit(False)))
+    """Rows that are left; ``catalog.filter(below(prefix)).count()`` tells how many go."""
+    return catalog.filter(~below(prefix))
 
 
 def register_dataset(

@@ -73,9 +73,10 @@ def newest_blocks(insights: DataFrame, order: list[str]) -> DataFrame:
 
 
 def dashboard_documents(series: DataFrame, analyses: DataFrame, keys: list[str]) -> DataFrame:
-    """Insight documents: the newest analysis of each key joined with its price series.
+    """Insight documents: the analysis of each key joined with its price series.
 
-    A key without an analysis is ``Neutral``.
+    ``analyses`` has one row per key; reduce several to the newest with ``newest``. A key
+    without an analysis is ``Neutral``.
     """
     joined = series.join(analyses.select(*keys, "sentiment"), keys, "left")
     label = F.coalesce("sentiment", F.lit("Neutral"))

@@ -362,3 +362,34 @@ def canonical_json(spark, sf_dir):
     )
     stored = events.select("event_id", written.alias("written"))
     return stored.select("event_id", ids.content_hash(ids.canonical_json(F.col("written"))).alias("asset_id"))
+
+
+@query(
+    "user_scores",
+    """SELECT doc_id, (length(text) - length(replace(text, ' ', '')))::DOUBLE AS score FROM documents""",
+)
+def user_scores(spark, sf_dir):
+    # The model is any function over batches of texts; this one counts blanks.
+    return scoring.score_text(documents(spark, sf_dir), lambda texts: texts.str.count(" ").astype("float64"), "text").select(
+        "doc_id", "score"
+    )
+
+
+@query(
+    "series_model",
+    """WITH d AS (SELECT event_type AS ticker, CAST(ts AS DATE) AS day, "value" AS price, ts, event_id FROM events)
+        SELECT ticker, strftime(day, '%Y-%m-%d') AS day, count(*) AS n, max(price) - min(price) AS spread, arg_max(price, (ts, event_id)) AS forecast FROM d GROUP BY ALL""",
+)
+def series_model(spark, sf_dir):
+    # The model gets one ticker and day at a time; this one forecasts the last price.
+    rows = ticks(spark, sf_dir).select("id", "ts", "ticker", "price")
+    day = F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd")
+    modelled = scoring.apply_to_series(rows, _last_price, "ticker string, day string, n long, spread double, forecast double", ["ticker"], day)
+    return modelled.select("ticker", "day", "n", "spread", "forecast")
+
+
+def _last_price(pdf):
+    pdf = pdf.sort_values(["ts", "id"])
+    return pdf.iloc[[-1]][["ticker", "block"]].set_axis(["ticker", "day"], axis=1).assign(
+        n=len(pdf), spread=pdf["price"].max() - pdf["price"].min(), forecast=pdf["price"].iloc[-1]
+    )

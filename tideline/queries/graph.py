@@ -181,3 +181,18 @@ def trigger_requests(spark, sf_dir):
         F.col("override_args.trigger_price").alias("trigger_price"), F.col("event_trigger_source").alias("trigger_source"),
         F.col("override_args.detected_at").alias("detected_at"), "run_name",
     )
+
+
+@query(
+    "scope_listing",
+    """SELECT c_custkey AS scope_id, c_name AS name, CASE WHEN c_acctbal < 0 THEN 'PAUSED' ELSE 'ACTIVE' END AS status,
+        count(o_orderkey) AS schedules FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY ALL""",
+)
+def scope_listing(spark, sf_dir):
+    counts = schedules(spark, sf_dir).groupBy("scope_id").agg(F.count(F.lit(1)).alias("schedules"))
+    scopes = table(spark, sf_dir, "customer").select(
+        F.col("c_custkey").alias("scope_id"), F.col("c_name").alias("name"),
+        F.when(F.col("c_acctbal") < 0, "PAUSED").otherwise("ACTIVE").alias("status"),
+    )
+    joined = scopes.join(counts, "scope_id", "left").withColumn("schedules", F.coalesce("schedules", F.lit(0)))
+    return metadata.listing(joined, ["scope_id", "name", "status", "schedules"], ["name", "scope_id"])

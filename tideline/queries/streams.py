@@ -5,15 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.operators import breakout, catalog
+from tideline.operators import breakout, catalog, metadata
 from tideline.operators.ordered import micros, time_cell
 from tideline.plans import clean_embed, deep_analysis, stages, watchdog
+from tideline.queries.lake import document_assets
 from tideline.queries.prices import _candle_sql, shown
 from tideline.queries.registry import REGISTERED, query
-from tideline.queries.tables import schedules, table, ticks
+from tideline.queries.tables import STAGE_SQL, TASKS_SQL, schedules, table, tasks, ticks, tools
 from tideline.session import scratch_dir
 from tideline.sinks import lake
-from tideline.sources import records
+from tideline.sources import files, records
 from tideline.streaming import candles, run, watch
 
 
@@ -287,6 +288,126 @@ def staged_insights(spark, sf_dir):
     )
 
 
+@query(
+    "schedule_json",
+    f"""SELECT schedule_id, row_number() OVER (PARTITION BY schedule_id ORDER BY execution_order, task_id) - 1 AS position, task_id, task_type, tool_url AS script_url FROM (
+        SELECT t.*, 's3a://tool-scripts/' || lower(p_type) || '/' || p_partkey || '.py' AS tool_url FROM ({TASKS_SQL}) t
+        JOIN orders ON o_orderkey = t.schedule_id AND o_orderpriority = '1-URGENT' LEFT JOIN part ON p_partkey = t.tool_id)""",
+)
+def schedule_json(spark, sf_dir):
+    # The export is read back as text, as the scheduler would.
+    root = scratch_dir(spark, "export")
+    nested = metadata.nested_schedules(metadata.cron_tasks(schedules(spark, sf_dir), tasks(spark, sf_dir), tools(spark, sf_dir)))
+    lake.export_schedules(nested, f"{root}/schedules")
+    shape = _types("schedule_id bigint, part bigint, tasks array<struct<task_id:bigint,task_type:string,script_url:string>>")
+    read = spark.read.text(f"{root}/schedules").select(F.from_json("value", shape).alias("s")).select("s.*")
+    flat = read.select("schedule_id", F.posexplode("tasks").alias("position", "t"))
+    return flat.select("schedule_id", F.col("position").cast("long").alias("position"), "t.*")
+
+
+@query(
+    "insight_search",
+    """SELECT d.doc_id, source AS scope_id, CASE WHEN quality = 1 THEN 'Bullish' ELSE 'Bearish' END AS insight_type
+        FROM labels l JOIN documents d USING (doc_id) WHERE (source IN ('src2', 'src5') AND lang = 'en') OR toxic = 1
+        ORDER BY n_chars DESC, doc_id LIMIT 50""",
+)
+def insight_search(spark, sf_dir):
+    # Insight documents are appended in two runs and searched by their lineage columns.
+    root = scratch_dir(spark, "insights")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars")
+    made = table(spark, sf_dir, "labels").join(docs, "doc_id").select(
+        "doc_id", "n_chars", F.col("source").alias("scope_id"),
+        F.when(F.col("quality") == 1, "Bullish").otherwise("Bearish").alias("insight_type"),
+        F.array("source").alias("scope_ids"), F.array(F.concat(F.lit("sch-"), "lang")).alias("schedule_ids"),
+        F.array(F.when(F.col("toxic") == 1, "toxic").otherwise("clean")).alias("tags"), F.lit("4_VISUALIZE").alias("stage"),
+    )
+    for label in ("Bullish", "Bearish"):
+        lake.append_insights(made.filter(F.col("insight_type") == label), f"{root}/insights")
+    found = catalog.lineage_search(
+        spark.read.schema(made.schema).json(f"{root}/insights"), "4_VISUALIZE", ["src2", "src5"], ["sch-en"], ["toxic"],
+        newest_by=[F.desc("n_chars"), F.asc("doc_id")], limit=50,
+    )
+    return found.select("doc_id", "scope_id", "insight_type")
+
+
+@query(
+    "record_store",
+    """SELECT event_type AS scope, 'task-' || (user_id % 3) AS task, count(DISTINCT body) AS assets, sum(strlen(body))::BIGINT AS bytes FROM (
+        SELECT event_type, user_id, '{"k":' || CAST(json_extract(props, '$.k') AS INTEGER) || ',"user":' || user_id || '}' AS body FROM events) GROUP BY ALL""",
+)
+def record_store(spark, sf_dir):
+    # Arguments as content-addressed records: equal bytes are one asset, found again by id.
+    root = scratch_dir(spark, "records")
+    k = F.get_json_object("props", "$.k").cast("int")
+    body = F.to_json(F.struct(F.col("user_id").alias("user"), k.alias("k")))
+    rows = table(spark, sf_dir, "events").select(
+        body.alias("body_json"), F.col("event_type").alias("scope"), F.lit("sch").alias("schedule"),
+        F.concat(F.lit("task-"), F.col("user_id") % 3).alias("task"),
+    )
+    assets = lake.save_records(rows, "body_json", root, "1_RAW", "scope", "schedule", "task", [], F.lit("2024-01-01").cast("timestamp"))
+    stored = records.read_partitioned(spark, root).filter(F.col("stage") == "1_RAW")
+    distinct = assets.select("asset_id").distinct()
+    return (
+        stored.join(distinct, "asset_id", "left_semi")
+        .groupBy("scope", "task")
+        .agg(F.count_distinct("asset_id").alias("assets"), F.sum(F.octet_length("body").cast("long")).alias("bytes"))
+    )
+
+
+@query(
+    "catalog_snapshots",
+    f"""WITH a AS (SELECT sha256(text) AS asset_id, source, ({STAGE_SQL}) AS stage, lang FROM documents),
+        f AS (SELECT asset_id, min(source) AS source, any_value(stage) AS stage, any_value(lang) AS lang, count(DISTINCT source) AS scopes FROM a GROUP BY 1)
+        SELECT 1 AS version, stage, count(*) AS assets, sum(scopes)::BIGINT AS scopes FROM f GROUP BY stage
+        UNION ALL SELECT 2, stage, count(*), sum(scopes)::BIGINT FROM f WHERE stage <> '1_RAW' GROUP BY stage""",
+)
+def catalog_snapshots(spark, sf_dir):
+    # Version 1 is the merged catalog, version 2 the same without the first stage.
+    root = f"{scratch_dir(spark, 'catalog')}/file_assets"
+    assets = document_assets(spark, sf_dir)
+    lake.publish_snapshot(catalog.upsert(assets.limit(0), assets), root, 1, ["stage"])
+    merged = lake.snapshot(spark, root, 1)
+    lake.publish_snapshot(catalog.delete(merged, catalog.delete_prefix("1_RAW")), root, 2, ["stage"])
+    found = None
+    for version in (1, lake.latest_version(spark, root)):
+        counted = lake.snapshot(spark, root, version).groupBy("stage").agg(
+            F.count(F.lit(1)).alias("assets"), F.sum(F.size("scope_ids")).alias("scopes")
+        ).select(F.lit(version).alias("version"), "stage", "assets", "scopes")
+        found = counted if found is None else found.unionAll(counted)
+    return found
+
+
+@query(
+    "file_inspect",
+    """SELECT 'csv' AS extension, event_type AS part, count(*) AS row_count, 5 AS column_count, 'text/csv' AS mime_type FROM events GROUP BY 2
+        UNION ALL SELECT 'parquet', event_type, count(*), 5, 'application/parquet' FROM events GROUP BY 2
+        UNION ALL SELECT 'txt', event_type, count(*), -1, 'text/plain' FROM events GROUP BY 2""",
+)
+def file_inspect(spark, sf_dir):
+    # The events as CSV, Parquet and text files, then measured file by file.
+    root = scratch_dir(spark, "files")
+    events = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    events.write.option("header", True).partitionBy("event_type").csv(f"{root}/csv")
+    events.write.partitionBy("event_type").parquet(f"{root}/parquet")
+    events.select("event_type", F.col("props").alias("value")).write.partitionBy("event_type").text(f"{root}/text")
+    seen = files.inspect_files(files.scan_files(spark, root, "part-*"))
+    custom = lambda name: F.get_json_object("attributes", f"$.custom_metadata.{name}").cast("long")
+    return seen.groupBy("extension", F.regexp_extract("file_path", "event_type=([^/]+)/", 1).alias("part"), "mime_type").agg(
+        F.sum(F.coalesce(custom("row_count"), custom("line_count"))).alias("row_count"),
+        F.max(F.coalesce(custom("column_count"), F.lit(-1))).alias("column_count"),
+    )
+
+
+@query("csv_roundtrip", 'SELECT event_id, epoch_us(ts) AS ts_us, event_type, "value", props FROM events')
+def csv_roundtrip(spark, sf_dir):
+    root = scratch_dir(spark, "csv")
+    events = table(spark, sf_dir, "events").select(
+        "event_id", micros("ts").alias("ts_us"), "event_type", "value", "props"
+    )
+    events.write.option("header", True).option("escape", '"').csv(f"{root}/events")
+    return records.read_csv(spark, f"{root}/events", events.schema)
+
+
 @query(
     "deep_analysis",
     r"""WITH a AS (SELECT * FROM events WHERE "value" >= 200),

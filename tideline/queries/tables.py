@@ -99,7 +99,7 @@ def tools(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select(
         F.col("p_partkey").alias("tool_id"),
         F.col("p_name").alias("name"),
-        F.concat(F.lit("s3a://ai-tool-scripts/"), F.lower("p_type"), F.lit("/"), F.col("p_partkey"), F.lit(".py")).alias(
+        F.concat(F.lit("s3a://tool-scripts/"), F.lower("p_type"), F.lit("/"), F.col("p_partkey"), F.lit(".py")).alias(
             "script_url"
         ),
         F.when(F.col("p_size") <= 25, F.to_json(F.struct(F.lower("p_type").alias("expected_file_type")))).alias(
@@ -125,7 +125,7 @@ SCHEDULES_SQL = (
 
 TOOLS_SQL = (
     "SELECT p_partkey AS tool_id, p_name AS name, "
-    "'s3a://ai-tool-scripts/' || lower(p_type) || '/' || p_partkey || '.py' AS script_url, "
+    "'s3a://tool-scripts/' || lower(p_type) || '/' || p_partkey || '.py' AS script_url, "
     "CASE WHEN p_size <= 25 THEN lower(p_type) END AS expected_file_type, "
     "CASE WHEN p_size >= 10 THEN lower(p_type) END AS file_type FROM part"
 )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tideline.functions import ids
@@ -34,6 +34,39 @@ def addressed_records(
     return hashed.withColumn("file_path", path).withColumn("size_byte", F.octet_length("body").cast("long"))
 
 
+def save_records(
+    df: DataFrame, body_json: str, root: str, stage: str, scope: str, schedule: str, task: str, tags: list[str], created_at: Column
+) -> DataFrame:
+    """Store records under their content address and give their catalog rows.
+
+    Records of one scope, schedule and task share files; the asset id finds a record in
+    them. A file per record would be millions of small files.
+    """
+    rows = addressed_records(df, body_json, stage, scope, schedule, task)
+    stored = rows.select(F.lit(stage).alias("stage"), scope, schedule, task, "asset_id", "body")
+    write_partitions(stored, root, ["stage", scope, schedule, task])
+    return rows.select(
+        "asset_id",
+        F.concat("asset_id", F.lit(".json")).alias("file_name"),
+        "file_path",
+        ids.mime_type(F.lit("json")).alias("mime_type"),
+        "size_byte",
+        F.lit("NONE").alias("compression"),
+        F.to_json(
+            F.struct(
+                "size_byte", F.lit("SHA-256").alias("hash_algorithm"), F.struct(F.lit("json").alias("extension")).alias("custom_metadata")
+            )
+        ).alias("attributes"),
+        created_at.alias("created_at"),
+        created_at.alias("updated_at"),
+        F.array(scope).alias("scope_ids"),
+        F.array(schedule).alias("schedule_ids"),
+        F.array(task).alias("task_ids"),
+        ids.literal_array(tags).alias("tags"),
+        F.lit(stage).alias("stage"),
+    )
+
+
 def publish_snapshot(df: DataFrame, root: str, version: int, by: list[str] | None = None) -> str:
     """Write a whole new state beside the old ones. The same version is written anew, so a
     repeated attempt does no harm."""

@@ -18,7 +18,7 @@ def read_json(spark: SparkSession, path: str | list[str], schema: StructType | N
 
 
 def read_csv(spark: SparkSession, path: str | list[str], schema: StructType | None = None) -> DataFrame:
-    reader = spark.read.option("header", True)
+    reader = spark.read.option("header", True).option("escape", '"')
     return (reader.schema(schema) if schema else reader.option("inferSchema", True)).csv(path)
 
 
