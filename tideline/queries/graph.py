@@ -74,12 +74,13 @@ CASCADE_SQL = f"""WITH gone AS (SELECT c_custkey FROM customer WHERE c_mktsegmen
 
 @query(
     "cascade_delete",
-    f"""{CASCADE_SQL} SELECT t.task_id, t.schedule_id, t.tool_id, p.task_id AS depends_on_task_id
+    f"""{CASCADE_SQL} SELECT t.task_id, t.schedule_id, t.tool_id, coalesce(p.task_id, -1) AS depends_on_task_id
         FROM t LEFT JOIN t p ON p.task_id = t.depends_on_task_id""",
 )
 def cascade_delete(spark, sf_dir):
     left = _cascade(spark, sf_dir)
-    return left["tasks"].select("task_id", "schedule_id", "tool_id", "depends_on_task_id")
+    parent = F.coalesce("depends_on_task_id", F.lit(-1)).alias("depends_on_task_id")
+    return left["tasks"].select("task_id", "schedule_id", "tool_id", parent)
 
 
 @query(
@@ -108,13 +109,13 @@ def _cascade(spark, sf_dir):
 
 @query(
     "task_listing",
-    f"""SELECT task_id, task_type, coalesce(tool_id, -1) AS tool_id, execution_order, depends_on_task_id FROM ({TASKS_SQL})
+    f"""SELECT task_id, task_type, coalesce(tool_id, -1) AS tool_id, execution_order, coalesce(depends_on_task_id, -1) AS depends_on_task_id FROM ({TASKS_SQL})
         WHERE schedule_id = (SELECT max(schedule_id) FROM ({TASKS_SQL}))""",
 )
 def task_listing(spark, sf_dir):
     every = tasks(spark, sf_dir)
     wanted = table(spark, sf_dir, "lineitem").agg(F.max("l_orderkey")).first()[0]
-    shown = every.withColumn("tool_id", F.coalesce("tool_id", F.lit(-1)))
+    shown = every.withColumns({c: F.coalesce(c, F.lit(-1)) for c in ("tool_id", "depends_on_task_id")})
     return metadata.listing(
         shown, ["task_id", "task_type", "tool_id", "execution_order", "depends_on_task_id"],
         [F.col("execution_order").asc_nulls_last(), "task_id"], F.col("schedule_id") == wanted,

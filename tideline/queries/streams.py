@@ -222,7 +222,7 @@ def stream_archive(spark, sf_dir):
 
 @query(
     "lake_roundtrip",
-    """SELECT doc_id, sha256(text) AS digest, lang, CASE WHEN lang = 'en' THEN NULL ELSE n_chars END AS n_chars FROM documents""",
+    """SELECT doc_id, sha256(text) AS digest, lang, CASE WHEN lang = 'en' THEN -1 ELSE n_chars END AS n_chars FROM documents""",
 )
 def lake_roundtrip(spark, sf_dir):
     # JSON out, JSON in with ragged columns, Parquet out by scope, one scope replaced, read back.
@@ -241,7 +241,9 @@ def lake_roundtrip(spark, sf_dir):
     again = records.read_json(spark, f"{root}/raw/en", _types("doc_id bigint, text string, lang string"))
     lake.write_partitions(again.withColumns({"n_chars": F.lit(None).cast("bigint"), "scope": F.lit("en")}), f"{root}/clean", ["scope"])
     stored = records.read_partitioned(spark, f"{root}/clean")
-    return stored.select("doc_id", F.sha2("text", 256).alias("digest"), "lang", "n_chars")
+    return stored.select(
+        "doc_id", F.sha2("text", 256).alias("digest"), "lang", F.coalesce("n_chars", F.lit(-1)).alias("n_chars")
+    )
 
 
 @query(
