@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tideline.operators.candles import usable_price
 from tideline.operators.insights import top_rows
-from tideline.operators.ordered import along_cells, in_cells, out_of_cells
+from tideline.operators.ordered import cells_after, cells_before, in_cells, out_of_cells
 
 # Alert threshold, history length and event type of the watchdog.
 ALERT_THRESHOLD = 2000.0
@@ -41,18 +41,17 @@ def episodes(
     # want the same columns, and Spark shuffles the ticks once for both.
     hit = is_breakout(threshold)
     cells = in_cells(ticks.select(*keys, *order, "price").filter(usable_price()), keys, cell)
-    inside = Window.partitionBy("__at").orderBy(*order)
-    rest = inside.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    numbered = cells.withColumn("__k", F.row_number().over(inside)).withColumn(
-        "__close", F.first(F.when(hit, F.col("__k")), ignorenulls=True).over(rest)
+    inside = Window.partitionBy("__at")
+    # Backwards, so that the frame grows and is evaluated in one pass.
+    rest = inside.orderBy(F.desc("__k")).rowsBetween(Window.unboundedPreceding, 0)
+    numbered = cells.withColumn("__k", F.row_number().over(inside.orderBy(*order))).withColumn(
+        "__close", F.last(F.when(hit, F.col("__k")), ignorenulls=True).over(rest)
     )
     summary = numbered.groupBy("__at").agg(
         F.count(F.lit(1)).alias("__n"), F.min(F.when(hit, F.col("__k"))).alias("__first_hit")
     )
-    earlier = along_cells(keys).rowsBetween(Window.unboundedPreceding, -1)
-    later = along_cells(keys).rowsBetween(1, Window.unboundedFollowing)
-    summary = summary.withColumn("__before", F.coalesce(F.sum("__n").over(earlier), F.lit(0))).withColumn(
-        "__later_hit", F.first(F.col("__before") + F.col("__first_hit"), ignorenulls=True).over(later)
+    summary = summary.withColumn("__before", F.coalesce(F.sum("__n").over(cells_before(keys)), F.lit(0))).withColumn(
+        "__later_hit", F.last(F.col("__before") + F.col("__first_hit"), ignorenulls=True).over(cells_after(keys))
     )
     placed = numbered.join(summary.select("__at", "__before", "__later_hit"), "__at")
     return out_of_cells(placed, keys).select(

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tideline.operators.candles import usable_price
 from tideline.operators.ordered import floor_div, in_cells, join_on, micros, out_of_cells, time_cell, with_lookback
 
 DAY = 86_400
@@ -123,22 +124,34 @@ def price_drop(
 ) -> DataFrame:
     """Ticks priced more than ``fraction`` below the highest price of the last ``seconds``.
 
-    Each tick is placed in its own span of that length and, as history, in the next one, so
-    a span sees all the prices its ticks may look back on and no key is kept whole.
+    Spans are as long as the look-back, so what a tick at t looks back on is the start of
+    its own span up to t and the end of the span before from t - seconds. The first is a
+    running maximum. For the second the tick leaves a mark in the span before, at its time
+    less ``seconds``, and a running maximum from that span's end reaches it. Each is one
+    pass over a sorted span; a sliding frame would go over the whole hour for every tick.
+    ``id`` must identify a tick.
     """
     length = seconds * 1_000_000
-    home = floor_div(F.col("ts_us"), length)
-    spread = (
-        ticks.withColumn("ts_us", micros("ts"))
-        .withColumn("__home", home)
-        .withColumn("__span", F.explode(F.array(F.col("__home"), F.col("__home") + 1)))
+    rest = [c for c in ticks.columns if c not in keys]
+    timed = ticks.filter(usable_price()).select(*keys, F.struct(*rest).alias("tick"), micros("ts").alias("ts_us"))
+    places = F.array(
+        F.struct(F.col("ts_us").alias("at"), F.lit(0).alias("mark")),
+        F.struct((F.col("ts_us") - length).alias("at"), F.lit(1).alias("mark")),
     )
-    back = Window.partitionBy(*keys, "__span").orderBy("ts_us").rangeBetween(-length, 0)
+    placed = timed.withColumn("__place", F.explode(places)).select(*keys, "tick", "__place.at", "__place.mark")
+    spans = in_cells(placed, keys, floor_div(F.col("at"), length))
+    span = Window.partitionBy("__at")
+    upto = span.orderBy("at").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    back_to = span.orderBy(F.desc("at"), "mark").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    own_price = F.when(F.col("mark") == 0, F.col("tick.price"))
+    highs = spans.withColumns({"__own": F.max(own_price).over(upto), "__end": F.max(own_price).over(back_to)})
+    high = F.when(F.col("mark") == 0, F.col("__own")).otherwise(F.col("__end"))
+    # A part that is high enough alone decides; if only one is, it is the higher one.
+    hits = out_of_cells(highs.withColumn("high", high), keys).filter(F.col("tick.price") < (1.0 - fraction) * F.col("high"))
     return (
-        spread.withColumn("high_before", F.max("price").over(back))
-        .filter(F.col("__span") == F.col("__home"))
-        .filter(F.col("price") < (1.0 - fraction) * F.col("high_before"))
-        .drop("__home", "__span")
+        hits.groupBy(*keys, F.col("tick.id").alias("__id"))
+        .agg(F.first("tick").alias("tick"), F.max("high").alias("high_before"))
+        .select(*keys, "tick.*", "high_before")
     )
 
 

@@ -69,9 +69,23 @@ def out_of_cells(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.select(*[F.col(f"__at.{k}").alias(k) for k in keys], *[c for c in df.columns if c != "__at"])
 
 
-def along_cells(keys: Sequence[str]) -> WindowSpec:
-    """The cells of each key in order, for a table with one row per cell."""
-    return Window.partitionBy(*[F.col(f"__at.{k}") for k in keys]).orderBy("__at.__cell")
+def cells_before(keys: Sequence[str]) -> WindowSpec:
+    """The cells of each key before the row's own, for a table with one row per cell."""
+    return _along(keys, F.asc("__at.__cell"))
+
+
+def cells_after(keys: Sequence[str]) -> WindowSpec:
+    """The cells after the row's own, from the last to the next.
+
+    Ordered backwards: Spark evaluates a frame that only grows in one pass, but one that
+    shrinks towards the end (``currentRow`` to ``unboundedFollowing``) anew for each row.
+    """
+    return _along(keys, F.desc("__at.__cell"))
+
+
+def _along(keys: Sequence[str], order: Column) -> WindowSpec:
+    key = [F.col(f"__at.{k}") for k in keys]
+    return Window.partitionBy(*key).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
 
 
 def number_rows(
@@ -91,8 +105,7 @@ def number_rows(
 
 def rows_before(sizes: DataFrame, keys: Sequence[str]) -> DataFrame:
     """``__before``, the sum of ``__n`` over the cells before each one of its key."""
-    earlier = along_cells(keys).rowsBetween(Window.unboundedPreceding, -1)
-    return sizes.select("__at", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before"))
+    return sizes.select("__at", F.coalesce(F.sum("__n").over(cells_before(keys)), F.lit(0)).alias("__before"))
 
 
 def lookback_blocks(df: DataFrame, rn: str, lookback: int, block_rows: int = 50_000) -> DataFrame:
