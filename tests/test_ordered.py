@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tideline.operators import asof, breakout, candles, indicators
+from tideline.operators.sessions import activity_sessions
 from tideline.operators.ordered import lookback_blocks, number_rows, time_cell, with_lookback
 
 START = dt.datetime(2024, 1, 1)
@@ -204,3 +205,25 @@ def test_candles_ignore_unusable_prices_and_break_ties_by_id(spark):
     assert got[None].n == 1
     sliding = candles.ohlcv(frame(spark, rows[:1]), "10 minutes", "5 minutes")
     assert sliding.count() == 2
+
+
+@pytest.mark.parametrize("cell", [60, 1000, 3600, 10**7])
+def test_sessions_do_not_depend_on_the_cells(spark, cell):
+    rows = series(500, 11) + [(9001, START - dt.timedelta(hours=2), "tie", 1.0), (9002, START - dt.timedelta(hours=1, minutes=50), "tie", 1.0)]
+    want = set()
+    for key, group in by_key(sorted(rows, key=lambda r: (r[1], r[0]))).items():
+        open_session = []
+        for row in [*group, None]:
+            if open_session and (row is None or row[1] > open_session[-1] + dt.timedelta(seconds=600)):
+                want.add((key, open_session[0], open_session[-1], len(open_session)))
+                open_session = []
+            if row is not None:
+                open_session.append(row[1])
+    got = activity_sessions(frame(spark, rows), ["ticker"], 600, cell).collect()
+    assert {tuple(r) for r in got} == want and len(got) == len(want)
+
+
+def test_sessions_agree_with_the_session_window_at_the_exact_gap(spark):
+    rows = [(i, START + dt.timedelta(seconds=600 * i + (i > 3)), "a", 1.0) for i in range(6)]
+    window = frame(spark, rows).groupBy(F.session_window("ts", "10 minutes"), "ticker").count().count()
+    assert activity_sessions(frame(spark, rows), ["ticker"], 600).count() == window

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tests.test_ordered import START, brute_breakouts, frame, series, usable
 from tideline.operators import indicators
 from tideline.operators.ordered import time_cell
+from tideline.operators.sessions import activity_sessions
 from tideline.plans import watchdog
 from tideline.sinks import lake
 from tideline.sources import ticks as tick_source
@@ -116,10 +117,10 @@ def test_sessions_in_a_stream_match_the_batch(spark, folder, tmp_path):
     rows = good(series(150))
     feed(source, "0.txt", [message(r) for r in rows])
     ticks = tick_source.good_ticks(tick_source.parsed(tick_source.message_files(spark, str(source))))
-    closed = candles.activity_sessions(ticks, "ticker", "1 hour", "1 minute")
+    closed = candles.stream_sessions(ticks, "ticker", "1 hour", "1 minute")
     run.finish(run.to_files(closed, f"{folder}/out", f"{folder}/c"))
     got = {tuple(r) for r in spark.read.parquet(f"{folder}/out").collect()}
-    batch = candles.activity_sessions(frame(spark, rows), "ticker", "1 hour")
+    batch = activity_sessions(frame(spark, rows), ["ticker"], 3600, cell_seconds=5400)
     ended = batch.filter(F.col("last_ts") + F.expr("interval 61 minutes") < max(r[1] for r in rows))
     assert got == {tuple(r) for r in ended.collect()} and got
 

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tideline.functions.ids import run_name
 from tideline.operators.ordered import floor_div, number_rows
+from tideline.schemas import ALLOWED
 
 
 def cron_tasks(schedules: DataFrame, tasks: DataFrame, tools: DataFrame) -> DataFrame:
@@ -20,7 +21,7 @@ def cron_tasks(schedules: DataFrame, tasks: DataFrame, tools: DataFrame) -> Data
         "schedule_id", "scope_id", "cron_expression"
     )
     with_tasks = tasks.join(cron, "schedule_id").join(tools, "tool_id", "left")
-    without = cron.join(tasks.select("schedule_id"), "schedule_id", "left_anti")
+    without = cron.join(tasks.select("schedule_id").distinct(), "schedule_id", "left_anti")
     return with_tasks.unionByName(without, allowMissingColumns=True)
 
 
@@ -125,6 +126,11 @@ def cascade_delete(
     return {"scopes": scopes, "schedules": schedules, "tasks": tasks, "tools": tools}
 
 
+def allowed(column: str, kind: str) -> Column:
+    """True where an enumerated column holds one of its values; null is allowed."""
+    return F.col(column).isNull() | F.col(column).isin(*ALLOWED[kind])
+
+
 def listing(df: DataFrame, columns: list[str], order: list, where=None) -> DataFrame:
     """Filtered, ordered projection: the one form all metadata listings share."""
     rows = df if where is None else df.filter(where)

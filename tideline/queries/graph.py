@@ -197,3 +197,16 @@ def scope_listing(spark, sf_dir):
     )
     joined = scopes.join(counts, "scope_id", "left").withColumn("schedules", F.coalesce("schedules", F.lit(0)))
     return metadata.listing(joined, ["scope_id", "name", "status", "schedules"], ["name", "scope_id"])
+
+
+@query(
+    "enum_check",
+    """SELECT CASE o_orderpriority WHEN '1-URGENT' THEN 'CRON' WHEN '2-HIGH' THEN 'CONTINUOUS' WHEN '3-MEDIUM' THEN 'ONCE' ELSE o_orderpriority END AS execution_type,
+        o_orderpriority IN ('1-URGENT', '2-HIGH', '3-MEDIUM') AS valid, count(*) AS n FROM orders GROUP BY ALL""",
+)
+def enum_check(spark, sf_dir):
+    known = F.when(F.col("o_orderpriority") == "1-URGENT", "CRON").when(F.col("o_orderpriority") == "2-HIGH", "CONTINUOUS")
+    kind = known.when(F.col("o_orderpriority") == "3-MEDIUM", "ONCE").otherwise(F.col("o_orderpriority"))
+    rows = table(spark, sf_dir, "orders").select(kind.alias("execution_type"))
+    checked = rows.withColumn("valid", metadata.allowed("execution_type", "execution_type"))
+    return checked.groupBy("execution_type", "valid").agg(F.count(F.lit(1)).alias("n"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tideline.operators import breakout, catalog, metadata
 from tideline.operators.ordered import micros, time_cell
+from tideline.operators.sessions import activity_sessions
 from tideline.plans import clean_embed, deep_analysis, stages, watchdog
 from tideline.queries.lake import document_assets
 from tideline.queries.prices import _candle_sql, shown
@@ -139,7 +140,7 @@ def stream_latest(spark, sf_dir):
     return lake.snapshot(spark, f"{root}/state", version).select("ticker", "id", "price")
 
 
-SESSIONS_SQL = """WITH g AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER w + INTERVAL 6 HOUR THEN 0 ELSE 1 END AS opens FROM events
+SESSIONS_SQL = """WITH g AS (SELECT user_id, ts, CASE WHEN ts <= lag(ts) OVER w + INTERVAL 6 HOUR THEN 0 ELSE 1 END AS opens FROM events
           WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
         s AS (SELECT *, sum(opens) OVER (PARTITION BY user_id ORDER BY ts) AS session FROM g),
         o AS (SELECT user_id, epoch_us(min(ts)) AS first_us, epoch_us(max(ts)) AS last_us, count(*) AS events, max(ts) AS last_ts FROM s GROUP BY user_id, session)"""
@@ -147,7 +148,7 @@ SESSIONS_SQL = """WITH g AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER w +
 
 @query("sessions", f"{SESSIONS_SQL} SELECT user_id, first_us, last_us, events FROM o")
 def sessions(spark, sf_dir):
-    found = candles.activity_sessions(ticks(spark, sf_dir), "user_id", "6 hours")
+    found = activity_sessions(ticks(spark, sf_dir), ["user_id"], 6 * 3600)
     return found.select("user_id", micros("first_ts").alias("first_us"), micros("last_ts").alias("last_us"), "events")
 
 
@@ -158,7 +159,7 @@ def sessions(spark, sf_dir):
 )
 def stream_sessions(spark, sf_dir):
     root = scratch_dir(spark, "sessions")
-    closed = candles.activity_sessions(event_stream(spark, sf_dir), "user_id", "6 hours", "10 minutes")
+    closed = candles.stream_sessions(event_stream(spark, sf_dir), "user_id", "6 hours", "10 minutes")
     run.finish(run.to_files(closed, f"{root}/out", f"{root}/checkpoint"))
     found = spark.read.schema(closed.schema).parquet(f"{root}/out")
     return found.select("user_id", micros("first_ts").alias("first_us"), micros("last_ts").alias("last_us"), "events")
@@ -335,7 +336,7 @@ def insight_search(spark, sf_dir):
 @query(
     "record_store",
     """SELECT event_type AS scope, 'task-' || (user_id % 3) AS task, count(DISTINCT body) AS assets, sum(strlen(body))::BIGINT AS bytes FROM (
-        SELECT event_type, user_id, '{"k":' || CAST(json_extract(props, '$.k') AS INTEGER) || ',"user":' || user_id || '}' AS body FROM events) GROUP BY ALL""",
+        SELECT DISTINCT event_type, user_id, '{"k":' || CAST(json_extract(props, '$.k') AS INTEGER) || ',"user":' || user_id || '}' AS body FROM events) GROUP BY ALL""",
 )
 def record_store(spark, sf_dir):
     # Arguments as content-addressed records: equal bytes are one asset, found again by id.

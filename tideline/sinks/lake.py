@@ -43,8 +43,9 @@ def save_records(
     them. A file per record would be millions of small files.
     """
     rows = addressed_records(df, body_json, stage, scope, schedule, task)
-    stored = rows.select(F.lit(stage).alias("stage"), scope, schedule, task, "asset_id", "body")
-    write_partitions(stored, root, ["stage", scope, schedule, task])
+    levels = [scope, schedule, task]
+    stored = rows.select(*levels, "asset_id", "body").dropDuplicates([*levels, "asset_id"])
+    write_partitions(stored.withColumn("stage", F.lit(stage)), root, ["stage", *levels])
     return rows.select(
         "asset_id",
         F.concat("asset_id", F.lit(".json")).alias("file_name"),

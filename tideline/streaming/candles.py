@@ -21,14 +21,15 @@ def without_duplicates(ticks: DataFrame, late_by: str, ids: tuple[str, ...] = ("
     return ticks.withWatermark("ts", late_by).dropDuplicatesWithinWatermark(list(ids))
 
 
-def activity_sessions(rows: DataFrame, key: str, gap: str, late_by: str | None = None) -> DataFrame:
-    """Spans of activity per key that end after ``gap`` without events.
+def stream_sessions(rows: DataFrame, key: str, gap: str, late_by: str) -> DataFrame:
+    """Spans of activity per key that ended: ``gap`` passed without events.
 
-    For a stream give ``late_by``. Events of a session combine before the shuffle.
+    With local merging (see ``build_session``) a task sends one row per key and session to
+    the shuffle. The batch form is ``operators.sessions``.
     """
-    timed = rows.withWatermark("ts", late_by) if late_by else rows
     return (
-        timed.groupBy(F.session_window("ts", gap).alias("s"), key)
+        rows.withWatermark("ts", late_by)
+        .groupBy(F.session_window("ts", gap).alias("s"), key)
         .agg(F.count(F.lit(1)).alias("events"), F.max("ts").alias("last_ts"))
         .select(key, F.col("s.start").alias("first_ts"), "last_ts", "events")
     )
