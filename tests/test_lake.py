@@ -289,3 +289,19 @@ def _double(pdf: pd.DataFrame) -> pd.DataFrame:
 
 def test_scratch_is_under_the_shared_folder(spark):
     assert scratch_dir(spark, "x").startswith(spark.conf.get("spark.checkpoint.dir"))
+
+
+def test_stages_without_prices(spark, folder):
+    raw = spark.createDataFrame([("1_RAW", "s", "c", "t", "news")], "stage string, scope string, schedule string, task string, content string")
+    row = stages.run(spark, raw, folder, F.current_timestamp()).first()
+    assert row.insight_type == "Bearish" and row.ticker == "N/A" and row.blocks[0].label == "N/A Signal"
+    assert [(p.time, p.price) for p in row.blocks[1].data] == [("N/A", 0.0)]
+
+
+def test_newest_insights(spark):
+    rows = spark.range(60).select(
+        F.col("id").cast("string").alias("id"), F.timestamp_seconds(F.col("id") % 7).alias("created_at"), F.lit("4_VISUALIZE").alias("stage"),
+        F.array(F.lit("s")).alias("scope_ids"), F.array(F.lit("c")).alias("schedule_ids"), F.array(F.lit("t")).alias("tags"),
+    )
+    page = catalog.newest_insights(rows, "4_VISUALIZE", limit=catalog.DASHBOARD_LIMIT).collect()
+    assert [r.created_at.second for r in page] == [6] * 8 + [5] * 2 and catalog.newest_insights(rows, "4_VISUALIZE").count() == 50

@@ -11,6 +11,10 @@ from pyspark.sql import functions as F
 from tideline.functions import ids, text
 from tideline.operators.lineage import catalog_match, check_stage, lineage_match, metadata_match, stamp
 
+# How many results a search gives, and how many a dashboard asks for.
+SEARCH_LIMIT = 50
+DASHBOARD_LIMIT = 10
+
 KEPT = ("file_name", "file_path", "mime_type", "size_byte", "compression", "attributes", "schedule_ids", "task_ids", "stage")
 
 
@@ -104,6 +108,20 @@ def lineage_search(
     return found if limit is None else found.limit(limit)
 
 
+def newest_insights(
+    insights: DataFrame,
+    stage: str,
+    scope_ids: Sequence[str] = (),
+    schedule_ids: Sequence[str] = (),
+    tags: Sequence[str] = (),
+    limit: int = SEARCH_LIMIT,
+) -> DataFrame:
+    """The newest insights that match, as a search page shows them; ``id`` breaks ties."""
+    return lineage_search(
+        insights, stage, scope_ids, schedule_ids, tags, [F.desc("created_at"), F.asc("id")], limit
+    )
+
+
 def lookup(catalog: DataFrame, asset_id: str) -> DataFrame:
     return catalog.filter(F.col("asset_id") == asset_id).select("file_path", "file_name", "mime_type")
 

@@ -13,12 +13,14 @@ from tideline.operators.ordered import floor_div, number_rows
 def average_price(rows: DataFrame, keys: list[str], price: str = "price", has_price: Column | None = None) -> DataFrame:
     """Sum of prices over all rows, null prices included in the count; 0 without rows.
 
-    ``has_price`` marks rows of files that have a price column; other files are skipped.
+    ``has_price`` marks rows of files that have a price column. Other rows count for
+    nothing, but their keys stay, with an average of 0.
     """
-    used = rows if has_price is None else rows.filter(has_price)
+    counts = F.lit(True) if has_price is None else has_price
+    used = rows.withColumn("__price", F.when(counts, F.col(price))).withColumn("__used", F.when(counts, 1))
     return used.groupBy(*keys).agg(
-        F.coalesce(F.try_divide(exact_sum(price), F.count(F.lit(1))), F.lit(0.0)).alias("average_price"),
-        F.count(F.lit(1)).alias("row_count"),
+        F.coalesce(F.try_divide(exact_sum("__price"), F.count("__used")), F.lit(0.0)).alias("average_price"),
+        F.count("__used").alias("row_count"),
     )
 
 

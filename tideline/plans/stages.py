@@ -86,4 +86,7 @@ def run(spark: SparkSession, raw: DataFrame, root: str, created_at: Column, bull
     rows = read_catalogued(spark, found, root, "2_ETL", "parquet")
     rows = rows.withColumns({"scope": level("scope"), "schedule": level("schedule")}).drop("file_path")
     keys = ["scope", "schedule"]
-    return display(rows, analyse(rows, keys, bullish_from), keys, created_at)
+    priced = F.lit("price" in rows.columns)
+    lacking = {"price": "double", "timestamp": "string", "ticker": "string", "id": "string"}
+    rows = rows.withColumns({c: F.lit(None).cast(t) for c, t in lacking.items() if c not in rows.columns})
+    return display(rows, analyse(rows, keys, bullish_from, priced), keys, created_at)
