@@ -28,8 +28,14 @@ def effective_arguments(scope_id: Column, schedule_id: Column, task_id: Column,
         F.lit("schedule_id"), schedule_id.cast("string"),
         F.lit("task_id"), task_id.cast("string"),
     )
-    base = F.map_concat(_without(defaults, stored), stored)
-    return F.map_concat(_without(base, overrides), overrides)
+    given = F.struct(defaults.alias("defaults"), stored.alias("stored"), overrides.alias("overrides"))
+
+    def merge(maps: Column) -> Column:
+        base = F.map_concat(_without(maps["defaults"], maps["stored"]), maps["stored"])
+        return F.map_concat(_without(base, maps["overrides"]), maps["overrides"])
+
+    # Bound by a lambda, so that each map is built once and not for every key looked up.
+    return F.element_at(F.transform(F.array(given), merge), 1)
 
 
 def sorted_text(entries: Column) -> Column:

@@ -12,7 +12,7 @@ from tideline.plans import clean_embed, deep_analysis, stages, watchdog
 from tideline.queries.lake import document_assets
 from tideline.queries.prices import _candle_sql, shown
 from tideline.queries.registry import REGISTERED, query
-from tideline.queries.tables import STAGE_SQL, TASKS_SQL, schedules, table, tasks, ticks, tools
+from tideline.queries.tables import STAGE_SQL, TASKS_SQL, documents, schedules, table, tasks, ticks, tools
 from tideline.session import scratch_dir
 from tideline.sinks import lake
 from tideline.sources import files, records
@@ -430,7 +430,7 @@ def deep_analysis_query(spark, sf_dir):
     rows = ticks(spark, sf_dir)
     alerts = rows.filter(breakout.is_breakout(200.0))
     # A document is the headline of the event with its number.
-    texts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    texts = documents(spark, sf_dir).select(F.col("doc_id").alias("id"), "text")
     headlines = rows.select("id", "ts", "user_id").join(texts, "id")
     found = deep_analysis.deep_analysis(alerts, headlines, ["user_id"], time_cell("ts", 86_400), 3, GOOD, BAD)
     return found.select(
