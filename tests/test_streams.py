@@ -133,3 +133,19 @@ def test_archive_and_republish(spark, folder, tmp_path):
     ticks = tick_source.good_ticks(tick_source.parsed(tick_source.message_files(spark, str(source))))
     run.finish(candles.archive(ticks, f"{folder}/raw", f"{folder}/c"))
     assert {r.id for r in spark.read.parquet(f"{folder}/raw").collect()} == {r[0] for r in rows}
+
+
+def test_context_over_batches(spark, folder):
+    rows = good(series(200, 8))
+    handle = watch.context_handler(folder, ["ticker"], time_cell("ts", 3600), 3, F.col("id") % 4 == 0, F.col("id") % 4 > 0)
+    for batch_id, low in enumerate((0, 70, 140)):
+        handle(frame(spark, rows[low : low + 70]), batch_id)
+    got = {(r.alert.id, r["rank"]): r.headline.id for r in spark.read.parquet(f"{folder}/context/batch=*").collect()}
+    want = {}
+    for a in (r for r in rows if r[0] % 4 == 0):
+        before = [s for s in rows if s[0] % 4 and s[2] == a[2] and s[1] <= a[1]]
+        for rank, s in enumerate(sorted(before, key=lambda s: (s[1], s[0]), reverse=True)[:3], 1):
+            want[(a[0], rank)] = s[0]
+    # A headline at the alert's very time may arrive only with the next batch.
+    late = [r for r in rows if r[1] in (rows[69][1], rows[139][1])]
+    assert len(late) == 2 and got == want

@@ -66,7 +66,7 @@ def episodes(
 def alerts_of(
     placed: DataFrame, history: int = HISTORY, keys: Sequence[str] = ("ticker",), order: Sequence[str] = ("ts", "id")
 ) -> DataFrame:
-    """One row per breakout with the prices of its episode, the last ``history`` of them.
+    """One row per breakout with the prices and times of its episode, the last ``history``.
 
     Episodes share no ticks, so the history rows together are no more than the ticks, and
     no array is longer than ``history``.
@@ -77,14 +77,15 @@ def alerts_of(
         .agg(
             F.max(F.struct("rn", *order, "price")).alias("__last"),
             F.count(F.lit(1)).alias("history_len"),
-            F.transform(F.array_sort(F.collect_list(F.struct("rn", "price"))), lambda x: x["price"]).alias("history"),
+            F.array_sort(F.collect_list(F.struct("rn", "price", order[0]))).alias("__ticks"),
         )
         .select(
             *keys,
             *[F.col(f"__last.{c}").alias(c) for c in order],
             F.col("__last.price").alias("price"),
             "history_len",
-            "history",
+            F.transform("__ticks", lambda x: x["price"]).alias("history"),
+            F.transform("__ticks", lambda x: x[order[0]]).alias("history_ts"),
         )
     )
 

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tideline.functions import blocks
-from tideline.operators import asof, scoring
+from tideline.operators import asof, scoring, similarity
 
 
 def deep_analysis(
@@ -35,3 +35,26 @@ def deep_analysis(
             "signal": blocks.signal(label),
         }
     )
+
+
+def with_passages(spark: SparkSession, judged: DataFrame, passages: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
+    """Add ``passages``, ids of the ``k`` passages nearest to each alert's vector, nearest first.
+
+    ``vectors`` is (query_id, embedding) with the alert's id; an alert without one gets none.
+    """
+    found = similarity.similar_topk(spark, passages, vectors, k)
+    nearest = found.groupBy(F.col("query_id").alias("id")).agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("rank", F.col("id").alias("passage")))), lambda x: x["passage"]).alias("passages")
+    )
+    joined = judged.join(nearest, "id", "left")
+    return joined.withColumn("passages", F.coalesce("passages", F.array().cast(nearest.schema["passages"].dataType)))
+
+
+def report(judged: DataFrame) -> DataFrame:
+    """Add display blocks: the signal and a chart of the prices that led to the alert.
+
+    Needs the ``history`` and ``history_ts`` that breakout alerts carry.
+    """
+    data = F.zip_with("history_ts", "history", lambda t, p: F.struct(t.cast("string").alias("time"), p.alias("price")))
+    key = F.col("id").cast("string")
+    return judged.withColumn("blocks", blocks.dashboard_blocks(F.col("ticker"), F.col("sentiment"), data, key))

@@ -112,8 +112,7 @@ def catalog_delete(spark, sf_dir):
 @query(
     "asset_lookup",
     f"""WITH a AS ({ASSETS_SQL}) SELECT DISTINCT file_path, file_name, 'text/plain' AS mime_type FROM a
-        WHERE asset_id = sha256((SELECT text FROM benchmark ORDER BY item_id LIMIT 1))
-        OR asset_id IN (SELECT max(asset_id) FROM a)""",
+        WHERE asset_id = (SELECT max(asset_id) FROM a)""",
 )
 def asset_lookup(spark, sf_dir):
     assets = document_assets(spark, sf_dir)

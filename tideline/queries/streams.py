@@ -437,3 +437,52 @@ def deep_analysis_query(spark, sf_dir):
         "id", "price", F.round("score", 6).alias("score"),
         F.array_join(F.transform("context", lambda x: x.cast("string")), ",").alias("context"), "sentiment", "signal",
     )
+
+
+@query("stream_context", REGISTERED["asof_context"].sql)
+def stream_context(spark, sf_dir):
+    root = scratch_dir(spark, "context")
+    handler = watch.context_handler(
+        root, ["user_id"], time_cell("ts", 86_400), 3, breakout.is_breakout(200.0), F.col("ticker").isin("view", "signup")
+    )
+    run.finish(run.each_batch(event_stream(spark, sf_dir), handler, f"{root}/checkpoint"))
+    found = run.batches_written(spark, f"{root}/context", _types("alert struct<id:bigint>, headline struct<id:bigint>, rank int"))
+    return found.select(F.col("alert.id").alias("alert_id"), F.col("headline.id").alias("headline_id"), "rank")
+
+
+@query(
+    "alert_passages",
+    """WITH a AS (SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS q FROM events JOIN embeddings ON vec_id = event_id WHERE "value" >= 200),
+        s AS (SELECT query_id, vec_id, list_cosine_similarity(CAST(embedding AS DOUBLE[]), q) AS sim FROM embeddings, a),
+        r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(sim, 12) DESC, vec_id) AS rank FROM s),
+        p AS (SELECT query_id, string_agg(vec_id::VARCHAR, ',' ORDER BY rank) AS passages FROM r WHERE rank <= 5 GROUP BY 1)
+        SELECT event_id AS id, event_type AS ticker, coalesce(passages, '') AS passages FROM events LEFT JOIN p ON query_id = event_id WHERE "value" >= 200""",
+)
+def alert_passages(spark, sf_dir):
+    # An alert's vector is the embedding with its number, where there is one.
+    alerts = ticks(spark, sf_dir).filter(breakout.is_breakout(200.0))
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    asked = alerts.select("id").join(vectors, "id").withColumnRenamed("id", "query_id")
+    found = deep_analysis.with_passages(spark, alerts, vectors, asked, 5)
+    return found.select("id", "ticker", F.array_join(F.transform("passages", lambda x: x.cast("string")), ",").alias("passages"))
+
+
+@query(
+    "alert_reports",
+    """WITH t AS (SELECT event_id AS id, ts, event_type AS ticker, "value" AS price FROM events),
+        e AS (SELECT *, coalesce(sum(CASE WHEN price >= 200 THEN 1 ELSE 0 END) OVER (PARTITION BY ticker ORDER BY ts, id
+          ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS episode FROM t),
+        h AS (SELECT *, row_number() OVER (PARTITION BY ticker, episode ORDER BY ts DESC, id DESC) AS back,
+          max(price) OVER (PARTITION BY ticker, episode) AS top FROM e),
+        k AS (SELECT * FROM h WHERE back <= 100 AND top >= 200)
+        SELECT arg_max(id, (ts, id)) AS id, ticker || ' Signal' AS label, 'HOLD' AS signal, count(*) AS points,
+        strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS first_time, arg_max(price, (ts, id)) AS last_price FROM k GROUP BY ticker, episode""",
+)
+def alert_reports(spark, sf_dir):
+    alerts = breakout.breakout_history(ticks(spark, sf_dir), time_cell("ts", 3600), threshold=200.0)
+    shown = deep_analysis.report(alerts.withColumn("sentiment", F.lit("Neutral")))
+    metric, chart = F.element_at("blocks", 1), F.element_at("blocks", 2)["data"]
+    return shown.select(
+        "id", metric["label"].alias("label"), metric["value"].alias("signal"), F.size(chart).cast("long").alias("points"),
+        F.substring(F.element_at(chart, 1)["time"], 1, 19).alias("first_time"), F.element_at(chart, -1)["price"].alias("last_price"),
+    )

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tideline.operators import breakout, indicators, metadata
+from tideline.operators import asof, breakout, indicators, metadata
 from tideline.operators.insights import newest, top_rows
 from tideline.sinks.lake import publish_snapshot, snapshot
 from tideline.sources.ticks import dead_letters, good_ticks, parsed
@@ -86,6 +86,31 @@ def latest_handler(root: str) -> Handler:
     return handle
 
 
+def context_handler(
+    root: str, keys: list[str], cell: Column, k: int, is_alert: Column, is_headline: Column
+) -> Handler:
+    """Each alert with the latest ``k`` headlines that arrived up to its time.
+
+    One stream carries both. The state is the last ``k`` headlines per key, so a batch is
+    the batch operator over these and its own. Under ``root``: ``context`` and ``headlines``.
+    """
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        rows = batch.persist()
+        try:
+            headlines = rows.filter(is_headline)
+            if batch_id > 0:
+                headlines = headlines.unionByName(snapshot(batch.sparkSession, f"{root}/headlines", batch_id - 1))
+            found = asof.latest_before(rows.filter(is_alert), headlines, keys, cell, k)
+            found.write.mode("overwrite").parquet(f"{root}/context/batch={batch_id}")
+            last = top_rows(headlines, keys, [F.desc("ts"), F.desc("id")], k).drop("rank")
+            publish_snapshot(last, f"{root}/headlines", batch_id)
+        finally:
+            rows.unpersist()
+
+    return handle
+
+
 def indicator_handler(root: str, period: int = 14, low: float = 30.0, high: float = 70.0) -> Handler:
     """RSI and MACD crossings on final candles as they come out.
 
