@@ -15,6 +15,7 @@ from tideline.plans import clean_embed, stages
 from tideline.schemas import FILE_ASSET, LAKE_ROW, RAW_RECORD
 from tideline.sinks import lake
 from tideline.sources import files, records
+from tideline.sources.jdbc import database_rows
 
 NEWS = [
     {"title": "t1", "content": "hello", "published_date": "2024-01-01", "url": "http://x/1"},
@@ -305,3 +306,8 @@ def test_newest_insights(spark):
     )
     page = catalog.newest_insights(rows, "4_VISUALIZE", limit=catalog.DASHBOARD_LIMIT).collect()
     assert [r.created_at.second for r in page] == [6] * 8 + [5] * 2 and catalog.newest_insights(rows, "4_VISUALIZE").count() == 50
+
+
+def test_database_rows(spark):
+    rows = spark.createDataFrame([("a", ["x", "y"], []), ("b", None, ["z"])], "id string, scope_ids array<string>, tags array<string>")
+    assert [tuple(r) for r in database_rows(rows).collect()] == [("a", "{x,y}", "{}"), ("b", None, "{z}")]

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tideline.operators import asof, breakout, candles, indicators
 from tideline.operators.sessions import activity_sessions
-from tideline.operators.ordered import lookback_blocks, number_rows, time_cell, with_lookback
+from tideline.operators.ordered import lookback_blocks, number_rows, range_cells, time_cell, with_lookback
 
 START = dt.datetime(2024, 1, 1)
 
@@ -227,3 +227,13 @@ def test_sessions_agree_with_the_session_window_at_the_exact_gap(spark):
     rows = [(i, START + dt.timedelta(seconds=600 * i + (i > 3)), "a", 1.0) for i in range(6)]
     window = frame(spark, rows).groupBy(F.session_window("ts", "10 minutes"), "ticker").count().count()
     assert activity_sessions(frame(spark, rows), ["ticker"], 600).count() == window
+
+
+def test_range_cells_even_out_a_burst(spark):
+    # All ticks of a hot key within one second: no span of time would split them.
+    rows = [(i, START + dt.timedelta(microseconds=i * 7), "hot" if i % 4 else "cold", float(i % 97)) for i in range(4000)]
+    cells = range_cells(frame(spark, rows), ["ticker"], ["ts", "id"], 16)
+    sizes = [r["count"] for r in cells.groupBy("ticker", "cell").count().collect()]
+    assert max(sizes) < 1000 and sum(sizes) == 4000
+    got = breakout.breakout_history(cells, F.col("cell"), 96.0, 50).collect()
+    assert {r.id: (r.ticker, r.history) for r in got} == brute_breakouts(rows, 96.0, 50)

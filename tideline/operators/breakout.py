@@ -40,7 +40,7 @@ def episodes(
     # Whether a tick is a breakout is told after the shuffle: so both uses of the cells below
     # want the same columns, and Spark shuffles the ticks once for both.
     hit = is_breakout(threshold)
-    cells = in_cells(ticks.select(*keys, *order, "price").filter(usable_price()), keys, cell)
+    cells = in_cells(ticks.filter(usable_price()), keys, cell).select("__at", *order, "price")
     inside = Window.partitionBy("__at")
     # Backwards, so that the frame grows and is evaluated in one pass.
     rest = inside.orderBy(F.desc("__k")).rowsBetween(Window.unboundedPreceding, 0)

@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, ShortType, StructType
 
+from tideline.session import scratch_dir
+
 
 def micros(ts: str) -> Column:
     """Microseconds since 1970 of a timestamp column (session time zone UTC)."""
@@ -44,6 +46,19 @@ def time_id_key(schema: StructType, ts: str = "ts", row_id: str = "id") -> Colum
     return high + (F.col(row_id).cast("decimal(20,0)") + F.lit(Decimal(2**63)))
 
 
+def range_cells(df: DataFrame, keys: Sequence[str], order: Sequence[str], cells: int, out: str = "cell") -> DataFrame:
+    """Rows with cells of even size, whatever their distribution, from range partitioning.
+
+    For series whose bursts leave no span of time short enough. The partitions come from
+    samples, so the rows are written to the shared scratch folder once and every later use
+    reads the same cells. ``F.col(out)`` is then a cell for the functions below.
+    """
+    path = scratch_dir(df.sparkSession, "cells")
+    ranged = df.repartitionByRange(cells, *keys, *order).withColumn(out, F.spark_partition_id().cast("long"))
+    ranged.write.parquet(path)
+    return df.sparkSession.read.schema(ranged.schema).parquet(path)
+
+
 def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     """Equi-join in which null keys match each other; key columns are kept once."""
     renamed = right.select([F.col(c).alias(f"__{c}") if c in keys else F.col(c) for c in right.columns])

@@ -26,9 +26,12 @@ def read_table(
     return spark.read.jdbc(url, table, split_on, lower, upper, partitions, properties=properties or {})
 
 
+def database_rows(df: DataFrame) -> DataFrame:
+    """Rows as a database takes them: arrays as ``{a,b}`` text."""
+    arrays = [f.name for f in df.schema.fields if isinstance(f.dataType, ArrayType)]
+    return df.withColumns({name: array_text(F.col(name).cast("array<string>")) for name in arrays}) if arrays else df
+
+
 def append_rows(df: DataFrame, url: str, table: str, properties: dict[str, str] | None = None, connections: int = 16) -> None:
-    """Append rows over at most ``connections`` connections; arrays go in as ``{a,b}`` text."""
-    for field in df.schema.fields:
-        if isinstance(field.dataType, ArrayType):
-            df = df.withColumn(field.name, array_text(F.col(field.name).cast("array<string>")))
-    df.coalesce(connections).write.jdbc(url, table, mode="append", properties=properties or {})
+    """Append rows over at most ``connections`` connections."""
+    database_rows(df).coalesce(connections).write.jdbc(url, table, mode="append", properties=properties or {})
