@@ -136,3 +136,9 @@ def test_card_fallbacks(spark):
     shown = blocks.card(F.lit(None).cast("string"), F.lit("Bullish"), F.lit(0.895), F.lit(""), F.lit("content"))
     row = spark.range(1).select(shown.alias("c")).first()["c"]
     assert (row.ticker, row.text) == ("N/A", "content") and row.confidence in ("89%", "90%")
+
+
+def test_output_path_unless_given(spark):
+    maps = [F.create_map(F.lit("a"), F.lit("1")), F.create_map(F.lit("output_path"), F.lit("mine"))]
+    row = spark.range(1).select(*[arguments.with_output_path(m, F.lit("r1"), F.lit("t1")).alias(f"m{i}") for i, m in enumerate(maps)]).first()
+    assert row.m0 == {"a": "1", "output_path": "s3a://processed-data/task_outputs/run=r1/task=t1/"} and row.m1 == {"output_path": "mine"}

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tideline.functions.ids import BUCKET
+
 
 def parsed_object(text: Column | str) -> Column:
     """JSON text as VARIANT; an empty object for null, empty or malformed text."""
@@ -38,6 +40,13 @@ def effective_arguments(scope_id: Column, schedule_id: Column, task_id: Column,
     return F.element_at(F.transform(F.array(given), merge), 1)
 
 
+def with_output_path(arguments: Column, run_id: Column, task_id: Column) -> Column:
+    """Arguments with the run's own output folder, unless they name one."""
+    path = F.concat(F.lit(f"s3a://{BUCKET}/task_outputs/run="), run_id, F.lit("/task="), task_id, F.lit("/"))
+    named = F.map_contains_key(arguments, "output_path")
+    return F.when(named, arguments).otherwise(F.map_concat(arguments, F.create_map(F.lit("output_path"), path)))
+
+
 def sorted_text(entries: Column) -> Column:
     """``k=v`` pairs in key order."""
     pairs = F.transform(F.array_sort(F.map_entries(entries)), lambda e: F.concat_ws("=", e["key"], e["value"]))

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tideline.functions import ids
 from tideline.operators.catalog import register_dataset
 from tideline.operators.lineage import check_stage
+from tideline.session import scratch_dir
+from tideline.sinks.lake import write_partition
 
 
 def harmonise(raw: DataFrame, source: Column) -> DataFrame:
@@ -64,18 +65,16 @@ def run(
 ) -> DataFrame:
     """Write lake rows and knowledge rows of one scope and schedule; returns the catalog row.
 
-    The narrow harmonised rows are kept between the two sinks (on disk when memory is
-    short). The wide vectors are computed while they are written.
+    The harmonised rows are first written, narrow and columnar, to the shared scratch folder.
+    Both sinks read that table, so raw records are parsed once and a lost executor costs no
+    more than its own tasks. The wide vectors exist only while they are written.
     """
-    from tideline.sinks.lake import write_partition
-
-    kept = harmonise(raw, source).filter(F.col("content").isNotNull()).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        cleaned = clean(kept, F.lit(scope_id), F.lit(schedule_id), tags, dim=dim)
-        write_partition(lake_rows(cleaned), lake_path, scope_id, schedule_id)
-        write_partition(knowledge_rows(cleaned), knowledge_path, scope_id, schedule_id)
-    finally:
-        kept.unpersist()
+    staged = scratch_dir(spark, "harmonised")
+    rows = harmonise(raw, source).filter(F.col("content").isNotNull())
+    rows.select("title", "content", "published_date", "source_reference").write.parquet(staged)
+    cleaned = clean(spark.read.parquet(staged), F.lit(scope_id), F.lit(schedule_id), tags, dim=dim)
+    write_partition(lake_rows(cleaned), lake_path, scope_id, schedule_id)
+    write_partition(knowledge_rows(cleaned), knowledge_path, scope_id, schedule_id)
     path = f"{lake_path}/scope={scope_id}/schedule={schedule_id}"
     return register_dataset(
         spark.read.parquet(path), "id", f"etl_output_{schedule_id}", path, source_name, "2_ETL", scope_id, schedule_id, tags
