@@ -4,10 +4,12 @@ import duckdb
 import pytest
 
 import __spark_entry__ as spark_entry
+from tideline.queries import REGISTERED
 from tests.conftest import SMALL
 from tools.check import TABLES, rows_of
 
-QUERIES, SQL = spark_entry.queries(), spark_entry.oracle_sql()
+QUERIES = {name: item.build for name, item in REGISTERED.items()}
+SQL = {name: item.sql for name, item in REGISTERED.items() if item.sql is not None}
 
 
 @pytest.fixture(scope="module")
@@ -20,7 +22,8 @@ def db():
 
 
 def test_all_sql_belongs_to_a_query():
-    assert set(SQL) <= set(QUERIES)
+    assert set(spark_entry.oracle_sql()) <= set(spark_entry.queries())
+    assert set(QUERIES) <= set(spark_entry.queries())
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
