@@ -231,7 +231,8 @@ def nearest(
 
     def compare(data: pd.DataFrame, ask: pd.DataFrame) -> pd.DataFrame:
         if data.empty or ask.empty:
-            return pd.DataFrame({"qid": [], "vid": [], "ids": [], "score": []})
+            kinds = {"qid": "int64", "vid": "int64", "ids": object, "score": "float64"}
+            return pd.DataFrame({name: pd.Series(dtype=kind) for name, kind in kinds.items()})
         x, first = vectors_of(data["vec"]), np.array([i[0] for i in data["ids"]])
         unit = x / np.linalg.norm(x, axis=1, keepdims=True)
         out = []
