@@ -75,25 +75,33 @@ def test_dataset_id_names_the_content_not_the_files(spark, folder):
     assert ids[0] == ids[1] != ids[2]
 
 
-def test_catalogued_reads_by_list_and_by_semi_join(spark, folder):
+def test_catalogued_reads_of_files_and_folders(spark, folder):
     raw = spark.createDataFrame(
-        [("1_RAW", s, "c", "t", i, float(i)) for i, s in enumerate(["a", "a", "b", "d"])],
+        [("1_RAW", s, "c", "t", i, float(i)) for i, s in enumerate(["a", "a", "b:c", "d e"])],
         "stage string, scope string, schedule string, task string, id long, price double",
     )
     stages.save(raw, folder, "json")
-    hits = stages.folder_catalog(raw, folder, "json", F.current_timestamp()).filter(F.col("scope_ids")[0].isin("a", "d"))
     shape = raw.select("id", "price").schema
-    listed = records.read_catalogued(spark, hits, folder, "1_RAW", "json", shape)
-    joined = records.read_catalogued(spark, hits, folder, "1_RAW", "json", shape, max_paths=1)
-    assert sorted(r.id for r in listed.collect()) == sorted(r.id for r in joined.collect()) == [0, 1, 3]
-    assert records.read_catalogued(spark, hits.limit(0), folder, "1_RAW", "json", shape).count() == 0
+    read = lambda hits: sorted(r.id for r in records.read_catalogued(spark, hits, folder, "json", shape).collect())
+    folders = stages.folder_catalog(raw, folder, "json", F.current_timestamp())
+    assert read(folders) == [0, 1, 2, 3]
+    some = folders.filter(F.col("scope_ids")[0].isin("a", "d e"))
+    assert read(some) == [0, 1, 3] and read(some.unionByName(some)) == [0, 1, 3] and read(some.limit(0)) == []
+    files_of = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").load(folder)
+    hits = files_of.select(F.col("path").alias("file_path"))
+    assert read(hits) == [0, 1, 2, 3]
+    assert read(hits.filter(F.col("file_path").contains("b%3Ac"))) == [2]
+    nested = spark.createDataFrame([(f"{folder}/stage=1_RAW/",)], "file_path string")
+    assert read(nested) == [0, 1, 2, 3]
+    lost = spark.range(20_000).select(F.format_string("/nowhere/%d", "id").alias("file_path"))
+    assert read(lost) == [] and read(lost.union(some.select("file_path"))) == [0, 1, 3]
 
 
 def test_ragged_parquet_keeps_lacking_columns_null(spark, folder):
     spark.createDataFrame([(1, 2.0)], "id int, price double").write.parquet(f"{folder}/a")
     spark.createDataFrame([(2,)], "id int").write.parquet(f"{folder}/b")
     hits = spark.createDataFrame([(f"{folder}/a",), (f"{folder}/b",)], "file_path string")
-    got = records.read_catalogued(spark, hits, folder, "2_ETL", "parquet").collect()
+    got = records.read_catalogued(spark, hits, folder, "parquet").collect()
     assert {(r.id, r.price) for r in got} == {(1, 2.0), (2, None)}
 
 
@@ -155,13 +163,23 @@ def test_csv(spark, folder):
     assert RAW_RECORD["price"].dataType.simpleString() == "double"
 
 
-def test_addressed_records(spark):
-    frame = spark.createDataFrame([('{"b":1, "a":2}',), ('{"a":2,"b":1}',)], "j string").withColumns(
-        {"scope": F.lit("s"), "schedule": F.lit("c"), "task": F.lit("t")}
-    )
-    got = lake.addressed_records(frame, "j", "1_RAW", "scope", "schedule", "task").collect()
-    assert got[0].asset_id == got[1].asset_id and got[0].body == '{"a":2,"b":1}'
-    assert got[0].file_path == f"s3a://processed-data/1_RAW/s/c/t/{got[0].asset_id}.json"
+def test_records_saved_twice_stay_and_are_found(spark, folder):
+    def rows(*bodies):
+        frame = spark.createDataFrame([(b,) for b in bodies], "j string")
+        return frame.withColumns({"scope": F.lit("a:b"), "schedule": F.lit("h 1"), "task": F.lit(None).cast("string")})
+
+    def save(*bodies):
+        return lake.save_records(rows(*bodies), "j", f"{folder}/store", "1_RAW", "scope", "schedule", "task", [], F.current_timestamp())
+
+    first = save('{"b":1, "a":2}', '{"a":2,"b":1}').collect()
+    assert first[0].asset_id == first[1].asset_id and first[0].size_byte == len('{"a":2,"b":1}')
+    second = save('{"k":2}', '{"a":2,"b":1}')
+    again = save('{"k":2}')
+    hits = second.unionByName(again).unionByName(spark.createDataFrame(first, second.schema))
+    got = lake.read_records(spark, f"{folder}/store", hits).collect()
+    assert sorted(r.body for r in got) == ['{"a":2,"b":1}', '{"k":2}']
+    assert {(r.scope, r.schedule, r.task) for r in got} == {("a:b", "h 1", None)}
+    assert lake.read_records(spark, f"{folder}/none", hits).count() == 0
 
 
 def test_insights_append_and_schedule_export(spark, folder):

@@ -80,10 +80,24 @@ def canonical_json(struct_json: Column) -> Column:
     return dump(struct_json)
 
 
-def asset_path(stage: Column, scope: Column, schedule: Column, task: Column, asset_id: Column, extension: Column) -> Column:
+def asset_path(
+    stage: Column, scope: Column, schedule: Column, task: Column, asset_id: Column, extension: Column, bucket: str = BUCKET
+) -> Column:
     """``s3a://bucket/stage/scope/schedule/task/asset.ext``"""
     name = F.concat(asset_id, F.lit("."), extension)
-    return F.concat_ws("/", F.lit(f"s3a://{BUCKET}"), stage, scope, schedule, task, name)
+    return F.concat_ws("/", F.lit(f"s3a://{bucket}"), stage, scope, schedule, task, name)
+
+
+# Fixed value: the characters a partition folder's name cannot hold; Spark writes them as %XX.
+ESCAPED_IN_FOLDERS = "\x01-\x1f\"#%'*/:=?\\\\\x7f{\\[\\]^"
+
+
+def folder_name(value: Column) -> Column:
+    """A partition value as Spark names its folder."""
+    text = F.coalesce(F.nullif(value.cast("string"), F.lit("")), F.lit("__HIVE_DEFAULT_PARTITION__"))
+    letters = F.filter(F.split(text, ""), lambda c: c != "")
+    escaped = F.transform(letters, lambda c: F.when(c.rlike(f"^[{ESCAPED_IN_FOLDERS}]$"), F.concat(F.lit("%"), F.lpad(F.hex(F.ascii(c)), 2, "0"))).otherwise(c))
+    return F.when(text.rlike(f"[{ESCAPED_IN_FOLDERS}]"), F.array_join(escaped, "")).otherwise(text)
 
 
 def uri_bucket(uri: str, strict: bool = False) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tideline.operators.ordered import time_id_key
+from tideline.operators.ordered import time_id_key, with_row_ids
 
 
 def usable_price(price: str = "price") -> Column:
@@ -22,9 +22,10 @@ def ohlcv(ticks: DataFrame, width: str, slide: str | None = None, keys: tuple[st
     """Candles per key and time window; ``volume`` is the summed price, ``n`` the tick count.
 
     Ticks combine map-side, so a hot ticker sends one partial row per window and task. Open
-    and close are decided by (ts, id); the sum is exact and so does not depend on the order
-    of rows.
+    and close are decided by (ts, id); ticks without an id get one from their content. The sum
+    is exact and so does not depend on the order of rows.
     """
+    ticks = with_row_ids(ticks)
     first_last = time_id_key(ticks.schema)
     span = F.window("ts", width, slide) if slide else F.window("ts", width)
     return (

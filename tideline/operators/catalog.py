@@ -132,6 +132,7 @@ def delete_prefix(
     schedule_id: str | None = None,
     task_id: str | None = None,
     asset_id: str | None = None,
+    bucket: str = ids.BUCKET,
 ) -> str:
     """Path prefix of everything below the given level. A level needs all levels above it."""
     check_stage(stage)
@@ -139,7 +140,7 @@ def delete_prefix(
     given = [bool(x) for x in levels]
     if given != sorted(given, reverse=True):
         raise ValueError("a lower level needs the upper ones")
-    parts = [f"s3a://{ids.BUCKET}", stage, *[x for x in levels[:3] if x]]
+    parts = [f"s3a://{bucket}", stage, *[x for x in levels[:3] if x]]
     return "/".join(parts) + "/" + (asset_id or "")
 
 

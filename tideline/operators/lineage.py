@@ -92,10 +92,11 @@ def _entry_equals(parsed: Column, key: str, value: Any) -> Column:
         return (kind == "BOOLEAN") & (F.try_variant_get(entry, "$", "boolean") == value)
     if isinstance(value, (int, float)):
         number = (kind == "BIGINT") | (kind == "DOUBLE") | kind.startswith("DECIMAL")
-        # Compared as decimals where possible: a large id would lose digits as a double.
-        typed = "decimal(38,10)" if abs(value) < 1e27 else "double"
-        wanted = F.lit(repr(value)).cast(typed)
-        return number & (F.try_variant_get(entry, "$", typed) == wanted)
+        same = F.try_variant_get(entry, "$", "double") == float(value)
+        if float(value).is_integer() and abs(value) < 1e38:
+            # A large id would lose digits as a double; as a whole number it is compared exactly.
+            same = same & (F.try_variant_get(entry, "$", "decimal(38,0)") == F.lit(str(int(value))).cast("decimal(38,0)"))
+        return number & F.coalesce(same, F.lit(False))
     if isinstance(value, str):
         return (kind == "STRING") & (F.try_variant_get(entry, "$", "string") == value)
     return F.to_json(entry) == F.to_json(F.parse_json(F.lit(json.dumps(value))))

@@ -13,7 +13,7 @@ from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, LongType, ShortType, StructType
+from pyspark.sql.types import IntegerType, LongType, ShortType, StringType, StructType
 
 from tideline.session import scratch_dir
 
@@ -34,6 +34,16 @@ def time_cell(ts: str, seconds: int) -> Column:
     return floor_div(micros(ts), seconds * 1_000_000)
 
 
+def with_row_ids(df: DataFrame, row_id: str = "id") -> DataFrame:
+    """Rows without an id, or of a table without ids, get a hash of their other columns."""
+    own = F.xxhash64(*[c for c in df.columns if c != row_id])
+    if row_id not in df.columns:
+        return df.withColumn(row_id, own)
+    kind = df.schema[row_id].dataType
+    own = own.cast("string") if isinstance(kind, StringType) else own.cast(kind)
+    return df.withColumn(row_id, F.coalesce(row_id, own))
+
+
 def time_id_key(schema: StructType, ts: str = "ts", row_id: str = "id") -> Column:
     """A key that orders rows by (ts, id).
 

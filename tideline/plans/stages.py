@@ -22,7 +22,7 @@ def save(rows: DataFrame, root: str, kind: str) -> None:
 
 def folder_catalog(rows: DataFrame, root: str, kind: str, created_at: Column) -> DataFrame:
     """Catalog rows of the folders that ``save`` wrote."""
-    folder = F.concat_ws("/", F.lit(root), *[F.concat(F.lit(f"{c}="), F.col(c)) for c in LEVELS])
+    folder = F.concat_ws("/", F.lit(root), *[F.concat(F.lit(f"{c}="), ids.folder_name(F.col(c))) for c in LEVELS])
     folders = rows.groupBy(*LEVELS).agg(F.count(F.lit(1)).alias("row_count"))
     return folders.select(
         ids.content_hash(folder).alias("asset_id"),
@@ -76,14 +76,14 @@ def run(spark: SparkSession, raw: DataFrame, root: str, created_at: Column, bull
     save(raw, root, "json")
     files = folder_catalog(raw, root, "json", created_at)
     found = catalog.search(files, stage="1_RAW")
-    records = read_catalogued(spark, found, root, "1_RAW", "json", raw.drop(*LEVELS).schema)
+    records = read_catalogued(spark, found, f"{root}/stage=1_RAW", "json", raw.drop(*LEVELS).schema)
     level = lambda name: F.regexp_extract("file_path", f"/{name}=([^/]+)/", 1)
     placed = records.withColumns({"scope": level("scope"), "schedule": level("schedule")}).drop("file_path")
     cleaned = etl(placed, "etl")
     save(cleaned, root, "parquet")
     clean_files = folder_catalog(cleaned, root, "parquet", created_at)
     found = catalog.search(clean_files, {"extension": "parquet"}, stage="2_ETL")
-    rows = read_catalogued(spark, found, root, "2_ETL", "parquet")
+    rows = read_catalogued(spark, found, f"{root}/stage=2_ETL", "parquet", cleaned.drop(*LEVELS).schema)
     rows = rows.withColumns({"scope": level("scope"), "schedule": level("schedule")}).drop("file_path")
     keys = ["scope", "schedule"]
     priced = F.lit("price" in rows.columns)

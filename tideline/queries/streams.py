@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tideline.operators import breakout, catalog, metadata
+from tideline.operators import candles as candle_ops
 from tideline.operators.ordered import micros, time_cell
 from tideline.operators.sessions import activity_sessions
 from tideline.plans import clean_embed, deep_analysis, stages, watchdog
@@ -119,6 +120,39 @@ def stream_dead_letters(spark, sf_dir):
     )
 
 
+def _odd_messages(spark, sf_dir: str) -> DataFrame:
+    """Ticks as the messages of a source without ids; every seventh has no usable price or time."""
+    stamp = F.unix_micros("ts") / F.lit(1_000_000.0)
+    body = F.to_json(F.struct("ticker", "price", stamp.alias("timestamp")))
+    poison = F.element_at(
+        F.array(
+            F.lit('{"ticker":"x","price":1.0,"timestamp":"NaN"}'), F.lit('{"ticker":"x","price":1.0,"timestamp":1e300}'),
+            F.lit('{"ticker":"x","price":"Infinity","timestamp":1.0}'), F.lit('{"ticker":"x","price":1e19,"timestamp":1.0}'),
+            F.lit('{"ticker":"x","price":null,"timestamp":1.0}'), F.lit("[1"),
+        ),
+        (F.col("id") % 6 + 1).cast("int"),
+    )
+    return event_stream(spark, sf_dir).select(F.when(F.col("id") % 7 == 0, poison).otherwise(body).alias("value"))
+
+
+@query(
+    "stream_odd_messages",
+    f"""SELECT ticker, strftime(window_start, '%Y-%m-%d %H:%M:%S') AS window_start, open, high, low, "close", volume, n FROM (
+        {_candle_sql(5).replace("FROM events", "FROM (SELECT * FROM events WHERE event_id % 7 <> 0) events")})
+        UNION ALL SELECT 'dead letters', '', 0, 0, 0, 0, 0, count(*) FROM events WHERE event_id % 7 = 0""",
+)
+def stream_odd_messages(spark, sf_dir):
+    root = scratch_dir(spark, "odd")
+    run.finish(run.each_batch(_odd_messages(spark, sf_dir), watch.split_handler(root), f"{root}/checkpoint"))
+    dead = run.batches_written(spark, f"{root}/dead_letters", _types("value string"))
+    good = run.batches_written(spark, f"{root}/ticks", _types("id bigint, ts timestamp, ticker string, price double"))
+    five = shown(candle_ops.ohlcv(good, "5 minutes"), "open", "high", "low", "close", "volume", "n")
+    zeros = [F.lit(0.0).alias(c) for c in ("open", "high", "low", "close", "volume")]
+    return five.unionByName(
+        dead.agg(F.count(F.lit(1)).alias("n")).select(F.lit("dead letters").alias("ticker"), F.lit("").alias("window_start"), *zeros, "n")
+    )
+
+
 @query("stream_dedup", 'SELECT event_id AS id, event_type AS ticker, "value" AS price FROM events')
 def stream_dedup(spark, sf_dir):
     # Every tick is delivered twice.
@@ -339,22 +373,26 @@ def insight_search(spark, sf_dir):
         SELECT DISTINCT event_type, user_id, '{"k":' || CAST(json_extract(props, '$.k') AS INTEGER) || ',"user":' || user_id || '}' AS body FROM events) GROUP BY ALL""",
 )
 def record_store(spark, sf_dir):
-    # Arguments as content-addressed records: equal bytes are one asset, found again by id.
+    # Arguments as content-addressed records, saved in two overlapping parts: equal bytes are one
+    # asset, the second save keeps the first's, and the catalog finds all of them again.
     root = scratch_dir(spark, "records")
     k = F.get_json_object("props", "$.k").cast("int")
     body = F.to_json(F.struct(F.col("user_id").alias("user"), k.alias("k")))
     rows = table(spark, sf_dir, "events").select(
         body.alias("body_json"), F.col("event_type").alias("scope"), F.lit("sch").alias("schedule"),
-        F.concat(F.lit("task-"), F.col("user_id") % 3).alias("task"),
-    )
-    assets = lake.save_records(rows, "body_json", root, "1_RAW", "scope", "schedule", "task", [], F.lit("2024-01-01").cast("timestamp"))
-    stored = records.read_partitioned(spark, root).filter(F.col("stage") == "1_RAW")
-    distinct = assets.select("asset_id").distinct()
-    return (
-        stored.join(distinct, "asset_id", "left_semi")
-        .groupBy("scope", "task")
-        .agg(F.count_distinct("asset_id").alias("assets"), F.sum(F.octet_length("body").cast("long")).alias("bytes"))
+        F.concat(F.lit("task-"), F.col("user_id") % 3).alias("task"), "event_id",
     )
+    assets = None
+    for part in (F.col("event_id") % 3 < 2, F.col("event_id") % 3 > 0):
+        saved = lake.save_records(
+            rows.filter(part), "body_json", root, "1_RAW", "scope", "schedule", "task", [], F.lit("2024-01-01").cast("timestamp")
+        )
+        assets = saved if assets is None else assets.unionByName(saved)
+    hits = catalog.search(assets, {"extension": "json"}, stage="1_RAW", schedule_id="sch")
+    found = lake.read_records(spark, root, hits)
+    # The asset id is the hash of the bytes that were read back.
+    sound = F.count_if(F.col("asset_id") == F.sha2("body", 256))
+    return found.groupBy("scope", "task").agg(sound.alias("assets"), F.sum(F.octet_length("body").cast("long")).alias("bytes"))
 
 
 @query(

@@ -4,8 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tideline.functions import ids
+from tideline.operators.ordered import join_on
+from tideline.session import scratch_dir
+from tideline.sources.records import or_empty
 
 
 def write_partition(df: DataFrame, root: str, scope_id: str, schedule_id: str) -> None:
@@ -24,50 +28,73 @@ def write_partitions(df: DataFrame, root: str, by: list[str], kind: str = "parqu
     writer.format(kind).save(root)
 
 
-def addressed_records(
-    df: DataFrame, body_json: str, stage: str, scope: str, schedule: str, task: str, extension: str = "json"
-) -> DataFrame:
-    """Each record's canonical bytes, their hash as asset id, and the path that follows."""
-    body = df.withColumn("body", ids.canonical_json(F.col(body_json)))
-    hashed = body.withColumn("asset_id", ids.content_hash("body"))
-    path = ids.asset_path(F.lit(stage), F.col(scope), F.col(schedule), F.col(task), F.col("asset_id"), F.lit(extension))
-    return hashed.withColumn("file_path", path).withColumn("size_byte", F.octet_length("body").cast("long"))
+def record_levels(root: str, stage: Column, scope: Column, schedule: Column, task: Column) -> Column:
+    """The folder that holds the records of a stage, scope, schedule and task."""
+    parts = (("stage", stage), ("scope", scope), ("schedule", schedule), ("task", task))
+    return F.concat_ws("/", F.lit(root), *[F.concat(F.lit(f"{name}="), ids.folder_name(value)) for name, value in parts])
 
 
 def save_records(
     df: DataFrame, body_json: str, root: str, stage: str, scope: str, schedule: str, task: str, tags: list[str], created_at: Column
 ) -> DataFrame:
-    """Store records under their content address and give their catalog rows.
+    """Add records to the store under their content address and give their catalog rows.
 
-    Records of one scope, schedule and task share files; the asset id finds a record in
-    them. A file per record would be millions of small files.
+    Records of one scope, schedule and task share files, and the catalog's ``file_path`` names
+    their folder; ``read_records`` finds a record there by its asset id. A file per record would
+    be millions of small files. What is stored already is not stored again, so saving twice, or
+    a repeated attempt, changes nothing, and other records stay. The bytes are made once: the
+    catalog rows come from the same staged table as the files.
     """
-    rows = addressed_records(df, body_json, stage, scope, schedule, task)
-    levels = [scope, schedule, task]
-    stored = rows.select(*levels, "asset_id", "body").dropDuplicates([*levels, "asset_id"])
-    write_partitions(stored.withColumn("stage", F.lit(stage)), root, ["stage", *levels])
+    spark = df.sparkSession
+    staged = scratch_dir(spark, "records")
+    body = df.select(F.col(scope).alias("scope"), F.col(schedule).alias("schedule"), F.col(task).alias("task"), F.col(body_json).alias("__json"))
+    body = body.withColumn("body", ids.canonical_json(F.col("__json"))).drop("__json")
+    hashed = body.withColumn("asset_id", ids.content_hash("body"))
+    hashed.write.parquet(staged)
+    rows = spark.read.schema(hashed.schema).parquet(staged)
+
+    new = rows.dropDuplicates(["scope", "schedule", "task", "asset_id"]).withColumn("stage", F.lit(stage))
+    levels = ["stage", "scope", "schedule", "task"]
+    shape = new.select("body", "asset_id", *levels).schema
+    known = or_empty(spark, lambda: spark.read.schema(shape).parquet(root), shape).filter(F.col("stage") == stage)
+    new = join_on(new, known.select(*levels, "asset_id"), [*levels, "asset_id"], "left_anti").select("body", "asset_id", *levels)
+    new.hint("rebalance", *levels).write.mode("append").partitionBy(*levels).parquet(root)
     return rows.select(
         "asset_id",
         F.concat("asset_id", F.lit(".json")).alias("file_name"),
-        "file_path",
+        record_levels(root, F.lit(stage), F.col("scope"), F.col("schedule"), F.col("task")).alias("file_path"),
         ids.mime_type(F.lit("json")).alias("mime_type"),
-        "size_byte",
+        F.octet_length("body").cast("long").alias("size_byte"),
         F.lit("NONE").alias("compression"),
         F.to_json(
             F.struct(
-                "size_byte", F.lit("SHA-256").alias("hash_algorithm"), F.struct(F.lit("json").alias("extension")).alias("custom_metadata")
+                F.octet_length("body").cast("long").alias("size_byte"),
+                F.lit("SHA-256").alias("hash_algorithm"),
+                F.struct(F.lit("json").alias("extension")).alias("custom_metadata"),
             )
         ).alias("attributes"),
         created_at.alias("created_at"),
         created_at.alias("updated_at"),
-        F.array(scope).alias("scope_ids"),
-        F.array(schedule).alias("schedule_ids"),
-        F.array(task).alias("task_ids"),
+        F.array("scope").alias("scope_ids"),
+        F.array("schedule").alias("schedule_ids"),
+        F.array("task").alias("task_ids"),
         ids.literal_array(tags).alias("tags"),
         F.lit(stage).alias("stage"),
     )
 
 
+def read_records(spark: SparkSession, root: str, hits: DataFrame) -> DataFrame:
+    """(asset_id, body, stage, scope, schedule, task) of the records a catalog search found.
+
+    ``hits`` has asset_id and file_path. The store is partitioned by the levels in the path, so
+    Spark reads only folders that hits name."""
+    shape = StructType.fromDDL("body string, asset_id string, stage string, scope string, schedule string, task string")
+    stored = or_empty(spark, lambda: spark.read.schema(shape).parquet(root), shape)
+    folder = record_levels(root, F.col("stage"), F.col("scope"), F.col("schedule"), F.col("task"))
+    wanted = hits.select(F.col("asset_id"), F.col("file_path").alias("__folder")).distinct()
+    return stored.withColumn("__folder", folder).join(wanted, ["asset_id", "__folder"], "left_semi").drop("__folder")
+
+
 def publish_snapshot(df: DataFrame, root: str, version: int, by: list[str] | None = None) -> str:
     """Write a whole new state beside the old ones. The same version is written anew, so a
     repeated attempt does no harm."""

@@ -33,5 +33,6 @@ def database_rows(df: DataFrame) -> DataFrame:
 
 
 def append_rows(df: DataFrame, url: str, table: str, properties: dict[str, str] | None = None, connections: int = 16) -> None:
-    """Append rows over at most ``connections`` connections."""
-    database_rows(df).coalesce(connections).write.jdbc(url, table, mode="append", properties=properties or {})
+    """Append rows over ``connections`` connections. Rows are dealt out for the writing alone, so
+    what comes before keeps its own number of tasks."""
+    database_rows(df).repartition(connections).write.jdbc(url, table, mode="append", properties=properties or {})

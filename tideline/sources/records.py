@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -42,34 +42,38 @@ def read_partitioned(spark: SparkSession, root: str, schema: StructType | None =
     return reader.format(kind).load(root)
 
 
+def plain_path(path: Column, encoded: bool = False) -> Column:
+    """A path without the scheme of local files and without a slash at its end. File metadata
+    gives paths URI-encoded."""
+    if encoded:
+        path = F.try_url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
+    return F.regexp_replace(F.regexp_replace(path, "^file:/+", "/"), "/+$", "")
+
+
 def read_catalogued(
     spark: SparkSession,
     hits: DataFrame,
-    root: str,
-    stage: str,
+    under: str,
     kind: str,
     schema: StructType | None = None,
     multiline: bool = False,
-    max_paths: int = 10_000,
 ) -> DataFrame:
     """Rows of all datasets a catalog search found, with ``file_path``; lacking columns are null.
 
-    Up to ``max_paths`` paths are handed to the reader. Beyond that the whole stage is read
-    and semi-joined with the found paths, so the list never passes through the driver.
+    ``hits`` name files or folders at any depth below ``under``. They meet the files, of which
+    only names are listed for this, by each file's own path and those of the folders above it;
+    the rows are then semi-joined with the files found. So any number of hits is one plan, and
+    none of them passes through the driver. Without ``schema`` Parquet footers are merged.
     """
-    reader = spark.read.option("multiLine", multiline).option("mergeSchema", kind == "parquet")
-    reader = reader.option("recursiveFileLookup", True)
-    reader = reader.schema(schema) if schema else reader
-    listed = [row[0] for row in hits.select("file_path").distinct().limit(max_paths + 1).collect()]
-    if not listed:
-        empty = spark.createDataFrame([], schema or "content string")
-        return empty.withColumn("file_path", F.lit(None).cast("string"))
-    if len(listed) <= max_paths:
-        return with_file(reader.format(kind).load(listed))
-    rows = with_file(reader.format(kind).load(f"{root}/stage={stage}"))
-    folder = F.regexp_extract("file_path", r"^(?:file:(?://)?)?(.*)/[^/]*$", 1)
-    found = hits.select(F.regexp_replace("file_path", r"^file:(?://)?", "").alias("__folder")).distinct()
-    return rows.withColumn("__folder", folder).join(found, "__folder", "left_semi").drop("__folder")
+    reader = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", f"*.{kind}*")
+    listed = reader.format("binaryFile").load(under).select(plain_path(F.col("path")).alias("__file"))
+    steps = F.split("__file", "/")
+    above = F.transform(F.sequence(F.lit(2), F.size(steps)), lambda n: F.array_join(F.slice(steps, 1, n), "/"))
+    wanted = hits.select(plain_path(F.col("file_path")).alias("__hit")).distinct()
+    files = listed.withColumn("__hit", F.explode(above)).join(wanted, "__hit").select("__file").distinct()
+    reader = reader.option("multiLine", multiline).option("mergeSchema", kind == "parquet" and schema is None)
+    rows = with_file((reader.schema(schema) if schema else reader).format(kind).load(under))
+    return rows.withColumn("__file", plain_path(F.col("file_path"), encoded=True)).join(files, "__file", "left_semi").drop("__file")
 
 
 def union_ragged(*frames: DataFrame) -> DataFrame:

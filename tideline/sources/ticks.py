@@ -21,29 +21,38 @@ def message_topic(spark: SparkSession, servers: str, topic: str, max_messages: i
     reader = spark.readStream.format("kafka").option("kafka.bootstrap.servers", servers).option("subscribe", topic)
     if max_messages is not None:
         reader = reader.option("maxOffsetsPerTrigger", max_messages)
-    return reader.load().select(F.col("value").cast("string").alias("value"))
+    return reader.load().select(F.col("value").cast("string").alias("value"), "partition", "offset")
+
+
+# A usable price fits the exact sums of the candles, a usable time the years to 9999.
+PRICE_BELOW = 1e18
+SECONDS_BELOW = 253_402_300_800.0
 
 
 def parsed(messages: DataFrame) -> DataFrame:
-    """Messages with the tick they hold and ``bad``: not a tick, or without a usable price.
+    """Messages with the tick they hold and ``bad``: not a tick, or without a usable price or
+    time (null, NaN, infinite, out of range). No later step can fail on a good one.
 
-    The event time is the message's ``timestamp``, seconds since 1970 with a fraction.
+    The event time is the message's ``timestamp``, seconds since 1970 with a fraction. A message
+    need not have an id; then it is a hash of its content and, where the source gives them, of
+    its partition and offset, so that a redelivered message keeps its id.
     """
-    tick = F.from_json("value", TICK)
-    rows = messages.withColumn("tick", tick)
-    broken = (
-        F.col("tick").isNull()
-        | F.col("tick.ticker").isNull()
-        | F.col("tick.timestamp").isNull()
-        | F.col("tick.price").isNull()
-        | F.isnan("tick.price")
-    )
-    return rows.withColumn("bad", F.coalesce(broken, F.lit(True)))
+    rows = messages.withColumn("tick", F.from_json("value", TICK))
+
+    def inside(name: str, bound: float):
+        # NaN and the infinities are above any bound.
+        return F.coalesce(F.abs(F.col(f"tick.{name}")) < bound, F.lit(False))
+
+    usable = F.col("tick.ticker").isNotNull() & inside("price", PRICE_BELOW) & inside("timestamp", SECONDS_BELOW)
+    return rows.withColumn("bad", ~F.coalesce(usable, F.lit(False)))
 
 
 def good_ticks(rows: DataFrame) -> DataFrame:
-    at = F.timestamp_micros(F.round(F.col("tick.timestamp") * 1_000_000).cast("long"))
-    return rows.filter(~F.col("bad")).select("tick.id", at.alias("ts"), "tick.ticker", "tick.price")
+    micros = F.round(F.col("tick.timestamp") * 1_000_000).try_cast("long")
+    place = [c for c in ("partition", "offset") if c in rows.columns]
+    own = F.xxhash64("tick.ticker", "tick.timestamp", "tick.price", *place)
+    tick_id = F.coalesce("tick.id", own).alias("id")
+    return rows.filter(~F.col("bad")).select(tick_id, F.timestamp_micros(micros).alias("ts"), "tick.ticker", "tick.price")
 
 
 def dead_letters(rows: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from tideline.operators import candles
+from tideline.operators.ordered import with_row_ids
 from tideline.streaming.run import to_files
 
 
@@ -17,8 +18,10 @@ def stream_ohlcv(ticks: DataFrame, width: str, late_by: str, slide: str | None =
 
 
 def without_duplicates(ticks: DataFrame, late_by: str, ids: tuple[str, ...] = ("id",)) -> DataFrame:
-    """Drops redelivered ticks that arrive within ``late_by`` of the first delivery."""
-    return ticks.withWatermark("ts", late_by).dropDuplicatesWithinWatermark(list(ids))
+    """Drops redelivered ticks that arrive within ``late_by`` of the first delivery.
+
+    Ticks without an id are told apart by their content."""
+    return with_row_ids(ticks).withWatermark("ts", late_by).dropDuplicatesWithinWatermark(list(ids))
 
 
 def stream_sessions(rows: DataFrame, key: str, gap: str, late_by: str) -> DataFrame:
