@@ -1,6 +1,7 @@
 """Cut-up windows against plain Python over whole series, with a hot key and small cells."""
 
 import datetime as dt
+import math
 import random
 
 import pytest
@@ -167,12 +168,26 @@ def test_macd_goes_on_from_earlier_values(spark):
         assert list(r)[2:] == pytest.approx(list(want[(r[0], r[1])])[2:], abs=1e-8)
 
 
-def test_a_cell_too_long_for_doubles_is_refused(spark):
-    many = spark.range(4000).select(
-        F.lit("a").alias("ticker"), F.timestamp_seconds(F.col("id")).alias("window_start"), F.lit(1.0).alias("close")
-    )
-    with pytest.raises(Exception, match="cell_seconds"):
-        indicators.macd(many).collect()
+def test_dense_candles_follow_the_recurrence(spark):
+    closes = [100 + 10 * math.sin(i / 50) + i % 7 for i in range(8640)]
+    rows = [("a", START + dt.timedelta(seconds=10 * i), c) for i, c in enumerate(closes)]
+    data = spark.createDataFrame(rows, "ticker string, window_start timestamp, close double")
+    got = [r.macd for r in indicators.macd(data).orderBy("window_start").collect()]
+    assert got == pytest.approx([f - s for f, s in zip(emas(closes, 12), emas(closes, 26))], abs=1e-8)
+
+
+@pytest.mark.parametrize("spans", [1, 4, 64])
+def test_price_drop_in_many_spans_of_an_hour(spark, spans):
+    rng = random.Random(3)
+    rows = [(i, START + dt.timedelta(milliseconds=rng.randrange(9_000_000) // 500 * 500), "a", rng.choice([90.0, 95.0, 99.0, 100.0, 101.0])) for i in range(1500)]
+    got = {r.id: r.high_before for r in indicators.price_drop(frame(spark, rows), 3600, 0.05, spans=spans).collect()}
+    want = {}
+    for i, ts, _, price in rows:
+        high = max(p for _, t, _, p in rows if ts - dt.timedelta(hours=1) <= t <= ts)
+        if price < 0.95 * high:
+            want[i] = high
+    assert got == want
+
 
 
 def test_rsi_is_null_until_the_window_is_full(spark):

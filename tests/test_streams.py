@@ -61,6 +61,35 @@ def test_a_repeated_batch_writes_the_same(spark, folder):
     assert lake.latest_version(spark, f"{folder}/state") == 1
 
 
+def test_late_ticks_come_after_earlier_batches(spark, folder):
+    at = lambda minutes: START + dt.timedelta(minutes=minutes)
+    steps = [
+        [(1, at(100), "a", 1.0), (2, at(101), "a", 2.0)],
+        [(3, at(1), "a", 300.0)],
+        [(4, at(2), "a", 4.0), (5, at(0), "a", 3.0)],
+        [(6, at(200), "a", 400.0)],
+    ]
+    handle = watch.breakout_handler(folder, time_cell("ts", 3600), 90.0, 10)
+    for number, rows in enumerate(steps):
+        handle(frame(spark, rows), number)
+    alerts = spark.read.parquet(f"{folder}/alerts/batch=*").collect()
+    assert {r.id: r.history for r in alerts} == {3: [1.0, 2.0, 300.0], 6: [3.0, 4.0, 400.0]}
+
+
+def test_a_late_alert_finds_its_headlines(spark, folder):
+    at = lambda minutes: START + dt.timedelta(minutes=minutes)
+    steps = [
+        [(1, at(1), "a", 1.0), (2, at(2), "a", 2.0)],
+        [(3, at(30), "a", 3.0), (4, at(31), "a", 4.0), (5, at(32), "a", 5.0)],
+        [(6, at(3), "a", 100.0)],
+    ]
+    handle = watch.context_handler(folder, ["ticker"], time_cell("ts", 3600), 2, F.col("price") >= 100, F.col("price") < 100)
+    for number, rows in enumerate(steps):
+        handle(frame(spark, rows), number)
+    found = spark.read.parquet(f"{folder}/context/batch=*").orderBy("rank").collect()
+    assert [(r.alert.id, r.headline.id) for r in found] == [(6, 2), (6, 1)]
+
+
 def test_latest_state_over_batches(spark, folder):
     rows = good(series(120))
     handle = watch.latest_handler(folder)
@@ -71,6 +100,25 @@ def test_latest_state_over_batches(spark, folder):
     assert lake.latest_version(spark, f"{folder}/none") is None
 
 
+def test_messages_without_ids_and_with_unusable_values(spark):
+    lines = [
+        '{"ticker":"a","price":1.5,"timestamp":10.0}', '{"ticker":"a","price":2.5,"timestamp":10.0}',
+        '{"ticker":"a","price":2.5,"timestamp":10.0}', '{"ticker":"a","price":1,"timestamp":"NaN"}', '{"ticker":"a","price":1,"timestamp":1e300}',
+        '{"ticker":"a","price":1e19,"timestamp":1}', '{"ticker":"a","price":"Infinity","timestamp":1}', '{"ticker":"a","price":"-Infinity","timestamp":1}',
+        '{"ticker":"a","timestamp":1}', "{}", "", None, "[",
+    ]
+    rows = tick_source.parsed(spark.createDataFrame([(x,) for x in lines], "value string"))
+    good = tick_source.good_ticks(rows)
+    ids = [r.id for r in good.collect()]
+    assert len(ids) == 3 and len(set(ids)) == 2 and None not in ids
+    assert tick_source.dead_letters(rows).count() == 10
+    five = candles.candles.ohlcv(good, "5 minutes").first()
+    assert {five.open, five.close} <= {1.5, 2.5} and (five.n, five.volume) == (3, 6.5)
+    bare = good.withColumn("id", F.lit(None).cast("long"))
+    assert candles.candles.ohlcv(bare, "5 minutes").first().open is not None
+    assert candles.candles.ohlcv(bare.drop("id"), "5 minutes").first().close is not None
+
+
 def test_late_and_duplicate_ticks(spark, folder, tmp_path):
     source = tmp_path / "in"
     source.mkdir()

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tideline.operators.candles import usable_price
-from tideline.operators.ordered import floor_div, in_cells, join_on, micros, out_of_cells, time_cell, with_lookback
+from tideline.operators.ordered import floor_div, in_cells, join_on, micros, number_rows, out_of_cells, time_cell, with_lookback, with_row_ids
 
 DAY = 86_400
 KEYS = ("ticker",)
@@ -119,40 +119,58 @@ def engulfing(candles: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     return frame.filter(F.col("pattern").isNotNull())
 
 
+# Spans a look-back is cut into; divides any whole number of seconds in microseconds.
+LOOK_BACK_SPANS = 64
+
+
 def price_drop(
-    ticks: DataFrame, seconds: int = 3600, fraction: float = 0.05, keys: Sequence[str] = KEYS
+    ticks: DataFrame, seconds: int = 3600, fraction: float = 0.05, keys: Sequence[str] = KEYS, spans: int = LOOK_BACK_SPANS
 ) -> DataFrame:
     """Ticks priced more than ``fraction`` below the highest price of the last ``seconds``.
 
-    Spans are as long as the look-back, so what a tick at t looks back on is the start of
-    its own span up to t and the end of the span before from t - seconds. The first is a
-    running maximum. For the second the tick leaves a mark in the span before, at its time
-    less ``seconds``, and a running maximum from that span's end reaches it. Each is one
-    pass over a sorted span; a sliding frame would go over the whole hour for every tick.
-    ``id`` must identify a tick.
+    The look-back is cut into ``spans`` (which must divide its microseconds), so no task holds
+    an hour of a ticker. What a tick looks back on is its own span up to it, a running maximum;
+    the whole spans between, one maximum each; and the end of the span the look-back begins in.
+    That last part matters only where the whole span's maximum is above the rest and would make
+    a drop; only for those ticks are that span's rows looked at, by a running maximum from its
+    end. Ticks without an id are told apart by their content.
     """
     length = seconds * 1_000_000
+    if length % spans:
+        raise ValueError("spans must divide the look-back")
+    keys = list(keys)
+    ticks = with_row_ids(ticks.filter(usable_price()))
     rest = [c for c in ticks.columns if c not in keys]
-    timed = ticks.filter(usable_price()).select(*keys, F.struct(*rest).alias("tick"), micros("ts").alias("ts_us"))
-    places = F.array(
-        F.struct(F.col("ts_us").alias("at"), F.lit(0).alias("mark")),
-        F.struct((F.col("ts_us") - length).alias("at"), F.lit(1).alias("mark")),
+    timed = ticks.select(*keys, F.struct(*rest).alias("tick"), micros("ts").alias("at"))
+    cells = in_cells(timed, keys, floor_div(F.col("at"), length // spans))
+    inside = Window.partitionBy("__at")
+    upto = inside.orderBy("at").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    # The checksum makes all uses read the same columns, and so share one shuffle.
+    checksum = F.max(F.xxhash64(*[F.col(c) for c in cells.columns])).over(inside)
+    highs = cells.withColumns({"high": F.max("tick.price").over(upto), "__sum": checksum})
+
+    along = Window.partitionBy(*[F.col(f"__at.{k}") for k in keys]).orderBy("__at.__cell")
+    tops = highs.groupBy("__at").agg(F.max("tick.price").alias("__top"), F.max("__sum").alias("__seen")).select(
+        "__at", "__seen", F.max("__top").over(along.rangeBetween(1 - spans, -1)).alias("__between"),
+        F.max("__top").over(along.rangeBetween(-spans, -spans)).alias("__start"),
     )
-    placed = timed.withColumn("__place", F.explode(places)).select(*keys, "tick", "__place.at", "__place.mark")
-    spans = in_cells(placed, keys, floor_div(F.col("at"), length))
-    span = Window.partitionBy("__at")
-    upto = span.orderBy("at").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    back_to = span.orderBy(F.desc("at"), "mark").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    own_price = F.when(F.col("mark") == 0, F.col("tick.price"))
-    highs = spans.withColumns({"__own": F.max(own_price).over(upto), "__end": F.max(own_price).over(back_to)})
-    high = F.when(F.col("mark") == 0, F.col("__own")).otherwise(F.col("__end"))
-    # A part that is high enough alone decides; if only one is, it is the higher one.
-    hits = out_of_cells(highs.withColumn("high", high), keys).filter(F.col("tick.price") < (1.0 - fraction) * F.col("high"))
-    return (
-        hits.groupBy(*keys, F.col("tick.id").alias("__id"))
-        .agg(F.first("tick").alias("tick"), F.max("high").alias("high_before"))
-        .select(*keys, "tick.*", "high_before")
+    joined = highs.join(tops, "__at").filter("__sum <= __seen").withColumn("high", F.greatest("high", "__between"))
+    dropped = F.col("tick.price") < (1.0 - fraction) * F.col("high")
+    open_ = F.coalesce((F.col("__start") > F.col("high")) & (F.col("tick.price") < (1.0 - fraction) * F.col("__start")), F.lit(False))
+    known = joined.filter(~open_ & dropped).select("__at", "tick", "high")
+
+    begins = F.struct(*[F.col(f"__at.{k}").alias(k) for k in keys], (F.col("__at.__cell") - spans).alias("__cell"))
+    marks = joined.filter(open_).select(
+        begins.alias("__at"), (F.col("at") - length).alias("at"), F.lit(1).alias("mark"), "tick", "high", F.lit(None).cast("double").alias("price")
     )
+    asked = marks.select("__at").distinct()
+    rows = joined.join(asked, "__at", "left_semi").select(
+        "__at", "at", F.lit(0).alias("mark"), F.lit(None).alias("tick"), F.lit(None).alias("high"), F.col("tick.price").alias("price")
+    )
+    back_to = inside.orderBy(F.desc("at"), "mark").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ended = marks.unionByName(rows).withColumn("high", F.greatest("high", F.max("price").over(back_to))).filter("mark = 1")
+    hits = known.unionByName(ended.filter(dropped).select("__at", "tick", "high"))
+    return out_of_cells(hits, keys).select(*keys, "tick.*", F.col("high").alias("high_before"))
 
 
 def ema(
@@ -171,7 +189,7 @@ def ema(
     when the candles go on from earlier ones.
     """
     decays = {out: _decay(span) for out, (_, span) in means.items()}
-    cells, upto = _cells(candles, keys, cell_seconds)
+    cells, upto = _cells(candles, keys, cell_seconds, list(decays.values()))
     for out, (value, _) in means.items():
         cells = cells.withColumn(f"__local_{out}", _decayed_sum(F.col(value), decays[out], upto))
     seeds = {out: value for out, (value, _) in means.items()}
@@ -179,7 +197,7 @@ def ema(
     def step(state: dict[str, float], rows: int, local: dict[str, float]) -> dict[str, float]:
         return {out: decay**rows * state[out] + local[out] for out, decay in decays.items()}
 
-    joined = _carried(cells, keys, seeds, list(decays.values()), step, initial)
+    joined = _carried(cells, keys, seeds, step, initial)
     for out, decay in decays.items():
         before = F.pow(F.lit(decay), F.col("__k")) * F.col(f"__before_{out}")
         joined = joined.withColumn(out, before + F.col(f"__local_{out}"))
@@ -204,7 +222,7 @@ def macd(
     """
     decays = {"ema_fast": _decay(fast), "ema_slow": _decay(slow), "signal_line": _decay(signal)}
     gamma = decays["signal_line"]
-    cells, upto = _cells(candles, keys, cell_seconds)
+    cells, upto = _cells(candles, keys, cell_seconds, list(decays.values()))
     for out in ("ema_fast", "ema_slow"):
         cells = cells.withColumn(f"__local_{out}", _decayed_sum(F.col(price), decays[out], upto))
     between = F.col("__local_ema_fast") - F.col("__local_ema_slow")
@@ -230,7 +248,7 @@ def macd(
         return after
 
     seeds = {"ema_fast": price, "ema_slow": price, "signal_line": 0.0}
-    joined = _carried(cells, keys, seeds, list(decays.values()), step, initial)
+    joined = _carried(cells, keys, seeds, step, initial)
     for out, decay in decays.items():
         value = F.pow(F.lit(decay), F.col("__k")) * F.col(f"__before_{out}") + F.col(f"__local_{out}")
         if out == "signal_line":
@@ -245,11 +263,17 @@ def _decay(span: int) -> float:
     return 1.0 - 2.0 / (span + 1)
 
 
-def _cells(candles: DataFrame, keys: Sequence[str], seconds: int):
-    """Candles with their cell and place in it, and the window of a cell up to a candle."""
-    cells = in_cells(candles, keys, time_cell("window_start", seconds))
-    inside = Window.partitionBy("__at").orderBy("window_start")
-    return cells.withColumn("__k", F.row_number().over(inside)), inside.rowsBetween(Window.unboundedPreceding, 0)
+def _cells(candles: DataFrame, keys: Sequence[str], seconds: int, decays: list[float]):
+    """Candles with their cell and place in it, and the window of a cell up to a candle.
+
+    Candles are numbered in spans of ``seconds`` and then cut by number, so that a cell holds the
+    same few candles however dense they are: decay^-k must stay inside the range of a double.
+    """
+    rows = min(1000, *(int(600 / -math.log(d)) if d > 0 else 1 for d in decays))
+    numbered = number_rows(candles, keys, ["window_start"], time_cell("window_start", seconds), "__rn")
+    place = F.col("__rn").cast("long") - 1
+    cells = in_cells(numbered, keys, floor_div(place, rows)).withColumn("__k", (F.pmod(place, F.lit(rows)) + 1).cast("int"))
+    return cells.drop("__rn"), Window.partitionBy("__at").orderBy("__k").rowsBetween(Window.unboundedPreceding, 0)
 
 
 def _decayed_sum(value: Column, decay: float, upto) -> Column:
@@ -258,18 +282,15 @@ def _decayed_sum(value: Column, decay: float, upto) -> Column:
     return F.lit(1.0 - decay) * F.pow(F.lit(decay), F.col("__k")) * scaled
 
 
-def _carried(cells: DataFrame, keys: Sequence[str], seeds: dict[str, str | float], decays: list[float], step, initial) -> DataFrame:
+def _carried(cells: DataFrame, keys: Sequence[str], seeds: dict[str, str | float], step, initial) -> DataFrame:
     """Add ``__before_<mean>``, the means before each cell.
 
     ``step(state, rows, local)`` takes the means across one cell; ``seeds`` gives the first
     state as a column of the first candle or a number. Only one row per cell is walked.
     """
     keys = list(keys)
-    # decay^-k must stay inside the range of a double, which bounds the candles per cell.
-    limit = int(min(600 / -math.log(d) for d in decays))
-    rows = F.max("__k")
     ends = cells.groupBy("__at").agg(
-        F.when(rows <= limit, rows).otherwise(F.raise_error(F.lit("cell_seconds is too large"))).cast("long").alias("__m"),
+        F.max("__k").cast("long").alias("__m"),
         *[F.max_by(f"__local_{out}", "__k").alias(f"__end_{out}") for out in seeds],
         *[
             (F.min_by(seed, "__k") if isinstance(seed, str) else F.first(F.lit(seed))).alias(f"__seed_{out}")

@@ -120,17 +120,24 @@ def number_rows(
 
     ``cell`` must not decrease along the order. Rows are numbered within (key, cell); the
     rows before each cell come from a table with one row per cell.
+
+    Both sides come from one shuffle, and so from one run of what ``df`` is made by. Spark
+    reuses a shuffle only for equal columns, and drops those a side does not read. So each cell
+    carries a checksum of all its columns, which both sides read and the join compares.
     """
     cells = in_cells(df, keys, cell)
-    numbered = cells.withColumn("__local", F.row_number().over(Window.partitionBy("__at").orderBy(*order)))
-    offsets = rows_before(cells.groupBy("__at").agg(F.count(F.lit(1)).alias("__n")), keys)
-    placed = numbered.join(offsets, "__at").withColumn(out, F.col("__before") + F.col("__local"))
-    return out_of_cells(placed.drop("__local", "__before"), keys)
+    inside = Window.partitionBy("__at")
+    checksum = F.max(F.xxhash64(*[F.col(c) for c in cells.columns])).over(inside)
+    numbered = cells.withColumn("__local", F.row_number().over(inside.orderBy(*order))).withColumn("__sum", checksum)
+    sizes = numbered.groupBy("__at").agg(F.max("__local").cast("long").alias("__n"), F.max("__sum").alias("__seen"))
+    offsets = rows_before(sizes, keys, "__seen")
+    placed = numbered.join(offsets, "__at").filter("__sum <= __seen").withColumn(out, F.col("__before") + F.col("__local"))
+    return out_of_cells(placed.drop("__local", "__before", "__sum", "__seen"), keys)
 
 
-def rows_before(sizes: DataFrame, keys: Sequence[str]) -> DataFrame:
+def rows_before(sizes: DataFrame, keys: Sequence[str], *rest: str) -> DataFrame:
     """``__before``, the sum of ``__n`` over the cells before each one of its key."""
-    return sizes.select("__at", F.coalesce(F.sum("__n").over(cells_before(keys)), F.lit(0)).alias("__before"))
+    return sizes.select("__at", *rest, F.coalesce(F.sum("__n").over(cells_before(keys)), F.lit(0)).alias("__before"))
 
 
 def lookback_blocks(df: DataFrame, rn: str, lookback: int, block_rows: int = 50_000) -> DataFrame:

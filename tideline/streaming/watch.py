@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tideline.operators import asof, breakout, indicators, metadata
 from tideline.operators.insights import newest, top_rows
+from tideline.operators.ordered import micros
 from tideline.sinks.lake import publish_snapshot, snapshot
 from tideline.sources.ticks import dead_letters, good_ticks, parsed
 
@@ -26,20 +27,25 @@ def breakout_handler(
     batch starts from the same state and writes the same files. With ``schedules`` and
     ``subscriptions`` (ticker, schedule_id) run requests are written too.
 
+    Ticks count in the order (batch, ts, id): a late tick comes after all that arrived in
+    earlier batches, as for a worker that reads one message after the other.
+
     Under ``root``: ``alerts``, ``triggers`` and ``state``.
     """
+    order = ("batch", "ts", "id")
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        rows = batch.select("ticker", "ts", "id", "price")
+        rows = batch.select("ticker", "ts", "id", "price").withColumn("batch", F.lit(batch_id).cast("long"))
         if batch_id > 0:
             rows = rows.unionByName(snapshot(spark, f"{root}/state", batch_id - 1))
-        placed = breakout.episodes(rows, cell, threshold).persist()
+        # Cells go by batch first, as the order does.
+        placed = breakout.episodes(rows, F.struct(F.col("batch"), cell.alias("cell")), threshold, order=order).persist()
         try:
             alerts_path = f"{root}/alerts/batch={batch_id}"
             breakout.alerts_of(placed, history).write.mode("overwrite").parquet(alerts_path)
             # A history full of prices needs room for the alert that will close it.
-            publish_snapshot(breakout.open_history(placed, history - 1), f"{root}/state", batch_id)
+            publish_snapshot(breakout.open_history(placed, history - 1, order=order), f"{root}/state", batch_id)
         finally:
             placed.unpersist()
         if schedules is not None and subscriptions is not None:
@@ -87,12 +93,14 @@ def latest_handler(root: str) -> Handler:
 
 
 def context_handler(
-    root: str, keys: list[str], cell: Column, k: int, is_alert: Column, is_headline: Column
+    root: str, keys: list[str], cell: Column, k: int, is_alert: Column, is_headline: Column, late_by: int = 3600
 ) -> Handler:
     """Each alert with the latest ``k`` headlines that arrived up to its time.
 
-    One stream carries both. The state is the last ``k`` headlines per key, so a batch is
-    the batch operator over these and its own. Under ``root``: ``context`` and ``headlines``.
+    One stream carries both. An alert is answered in the batch it arrives in. The state is the
+    headlines of the last ``late_by`` seconds before the newest event time, and per key the last
+    ``k`` before those: so an alert up to ``late_by`` seconds late still finds every headline it
+    would have found in time. Under ``root``: ``context`` and ``headlines``.
     """
 
     def handle(batch: DataFrame, batch_id: int) -> None:
@@ -103,8 +111,11 @@ def context_handler(
                 headlines = headlines.unionByName(snapshot(batch.sparkSession, f"{root}/headlines", batch_id - 1))
             found = asof.latest_before(rows.filter(is_alert), headlines, keys, cell, k)
             found.write.mode("overwrite").parquet(f"{root}/context/batch={batch_id}")
-            last = top_rows(headlines, keys, [F.desc("ts"), F.desc("id")], k).drop("rank")
-            publish_snapshot(last, f"{root}/headlines", batch_id)
+            newest_us = rows.select(micros("ts").alias("t")).unionAll(headlines.select(micros("ts"))).agg(F.max("t")).first()[0]
+            horizon = (newest_us or 0) - late_by * 1_000_000
+            recent = headlines.filter(micros("ts") > horizon)
+            before = top_rows(headlines.filter(micros("ts") <= horizon), keys, [F.desc("ts"), F.desc("id")], k).drop("rank")
+            publish_snapshot(recent.unionByName(before.select(*recent.columns)), f"{root}/headlines", batch_id)
         finally:
             rows.unpersist()
 
