@@ -83,7 +83,7 @@ def test_catalogued_reads_of_files_and_folders(spark, folder):
     stages.save(raw, folder, "json")
     shape = raw.select("id", "price").schema
     read = lambda hits: sorted(r.id for r in records.read_catalogued(spark, hits, folder, "json", shape).collect())
-    folders = stages.folder_catalog(raw, folder, "json", F.current_timestamp())
+    folders = stages.folder_catalog(spark, folder, "1_RAW", "json", shape, F.current_timestamp())
     assert read(folders) == [0, 1, 2, 3]
     some = folders.filter(F.col("scope_ids")[0].isin("a", "d e"))
     assert read(some) == [0, 1, 3] and read(some.unionByName(some)) == [0, 1, 3] and read(some.limit(0)) == []
@@ -317,6 +317,30 @@ def test_stages_without_prices(spark, folder):
     assert [(p.time, p.price) for p in row.blocks[1].data] == [("N/A", 0.0)]
 
 
+def test_stages_with_any_ids_and_a_second_run(spark, folder):
+    shape = "stage string, scope string, schedule string, task string, id string, ticker string, price double, timestamp string"
+    rows = [("1_RAW", "a:b", "h 1", "t/%", "1", "A", 300.0, "2024-01-01 00:00:00"), ("1_RAW", "c", "ü+", "t", "2", "B", 10.0, "2024-01-01 00:00:01")]
+    raw = spark.createDataFrame(rows, shape)
+    found = stages.run(spark, raw, folder, F.current_timestamp())
+    want = {("a:b", "h 1", "Bullish", 300.0), ("c", "ü+", "Bearish", 10.0)}
+    assert {(r.scope, r.schedule, r.insight_type, r.blocks[1].data[0].price) for r in found.collect()} == want
+    assets = lake.snapshot(spark, f"{folder}/file_assets", lake.latest_version(spark, f"{folder}/file_assets"))
+    assert {r.stage: r.n for r in assets.groupBy("stage").agg(F.count("*").alias("n")).collect()} == {"1_RAW": 2, "2_ETL": 2, "3_ANALYZE": 2}
+    assert assets.filter("size_byte <= 0").count() == 0
+    more = spark.createDataFrame([("1_RAW", "d", "x", "t", "3", "C", 1.0, "2024-01-01 00:00:02")], shape)
+    assert stages.run(spark, more, folder, F.current_timestamp()).select("scope").distinct().count() == 3
+
+
+def test_etl_without_rows_clears_its_partition(spark, folder):
+    raw = spark.createDataFrame([("t", "text", "u")], "title string, content string, url string")
+    run = lambda rows: clean_embed.run(spark, rows, F.lit("in"), "in", "a:b", "h 1", f"{folder}/lake", f"{folder}/vec", dim=4).first()
+    assert json.loads(run(raw.limit(0)).attributes)["row_count"] == 0
+    assert json.loads(run(raw).attributes)["row_count"] == 1
+    assert spark.read.parquet(f"{folder}/lake").first().scope == "a:b"
+    assert json.loads(run(raw.limit(0)).attributes)["row_count"] == 0
+    assert spark.read.parquet(f"{folder}/lake").count() == spark.read.parquet(f"{folder}/vec").count() == 0
+
+
 def test_newest_insights(spark):
     rows = spark.range(60).select(
         F.col("id").cast("string").alias("id"), F.timestamp_seconds(F.col("id") % 7).alias("created_at"), F.lit("4_VISUALIZE").alias("stage"),

@@ -89,15 +89,22 @@ def asset_path(
 
 
 # Fixed value: the characters a partition folder's name cannot hold; Spark writes them as %XX.
-ESCAPED_IN_FOLDERS = "\x01-\x1f\"#%'*/:=?\\\\\x7f{\\[\\]^"
+ESCAPED_IN_FOLDERS = "".join(map(chr, range(1, 32))) + "\"#%'*/:=?\\\x7f{[]^"
+EMPTY_FOLDER = "__HIVE_DEFAULT_PARTITION__"
 
 
-def folder_name(value: Column) -> Column:
+def folder_text(value: str | None) -> str:
     """A partition value as Spark names its folder."""
-    text = F.coalesce(F.nullif(value.cast("string"), F.lit("")), F.lit("__HIVE_DEFAULT_PARTITION__"))
+    return "".join(f"%{ord(c):02X}" if c in ESCAPED_IN_FOLDERS else c for c in value or EMPTY_FOLDER)
+
+
+def folder_name(value: Column) -> Column:
+    """The same for a column."""
+    text = F.coalesce(F.nullif(value.cast("string"), F.lit("")), F.lit(EMPTY_FOLDER))
     letters = F.filter(F.split(text, ""), lambda c: c != "")
-    escaped = F.transform(letters, lambda c: F.when(c.rlike(f"^[{ESCAPED_IN_FOLDERS}]$"), F.concat(F.lit("%"), F.lpad(F.hex(F.ascii(c)), 2, "0"))).otherwise(c))
-    return F.when(text.rlike(f"[{ESCAPED_IN_FOLDERS}]"), F.array_join(escaped, "")).otherwise(text)
+    odd = lambda c: F.instr(F.lit(ESCAPED_IN_FOLDERS), c) > 0
+    escape = lambda c: F.when(odd(c), F.concat(F.lit("%"), F.lpad(F.hex(F.ascii(c)), 2, "0"))).otherwise(c)
+    return F.array_join(F.transform(letters, escape), "")
 
 
 def uri_bucket(uri: str, strict: bool = False) -> Column:

@@ -11,7 +11,7 @@ from tideline.functions import ids
 from tideline.operators.catalog import register_dataset
 from tideline.operators.lineage import check_stage
 from tideline.session import scratch_dir
-from tideline.sinks.lake import write_partition
+from tideline.sinks.lake import partition_path, write_partition
 
 
 def harmonise(raw: DataFrame, source: Column) -> DataFrame:
@@ -67,15 +67,17 @@ def run(
 
     The harmonised rows are first written, narrow and columnar, to the shared scratch folder.
     Both sinks read that table, so raw records are parsed once and a lost executor costs no
-    more than its own tasks. The wide vectors exist only while they are written.
+    more than its own tasks. The wide vectors exist only while they are written. Without rows
+    the partition is left empty, whatever it held, and registered as such.
     """
     staged = scratch_dir(spark, "harmonised")
     rows = harmonise(raw, source).filter(F.col("content").isNotNull())
-    rows.select("title", "content", "published_date", "source_reference").write.parquet(staged)
-    cleaned = clean(spark.read.parquet(staged), F.lit(scope_id), F.lit(schedule_id), tags, dim=dim)
+    narrow = rows.select("title", "content", "published_date", "source_reference")
+    narrow.write.parquet(staged)
+    cleaned = clean(spark.read.schema(narrow.schema).parquet(staged), F.lit(scope_id), F.lit(schedule_id), tags, dim=dim)
     write_partition(lake_rows(cleaned), lake_path, scope_id, schedule_id)
     write_partition(knowledge_rows(cleaned), knowledge_path, scope_id, schedule_id)
-    path = f"{lake_path}/scope={scope_id}/schedule={schedule_id}"
+    path = partition_path(lake_path, scope_id, schedule_id)
     return register_dataset(
-        spark.read.parquet(path), "id", f"etl_output_{schedule_id}", path, source_name, "2_ETL", scope_id, schedule_id, tags
+        spark.read.schema(lake_rows(cleaned).schema).parquet(path), "id", f"etl_output_{schedule_id}", path, source_name, "2_ETL", scope_id, schedule_id, tags
     )

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType, StringType, StructField, StructType
 
 from tideline.functions import blocks, ids
 from tideline.operators import catalog, insights
-from tideline.sinks.lake import write_partitions
+from tideline.sinks.lake import (
+    append_insights, latest_version, publish_snapshot, read_records, record_levels, save_records, snapshot, write_partitions,
+)
 from tideline.sources.records import read_catalogued
 
 # Fixed value: what the basic ETL step stores in place of a vector.
@@ -20,25 +23,40 @@ def save(rows: DataFrame, root: str, kind: str) -> None:
     write_partitions(rows, root, LEVELS, kind)
 
 
-def folder_catalog(rows: DataFrame, root: str, kind: str, created_at: Column) -> DataFrame:
-    """Catalog rows of the folders that ``save`` wrote."""
-    folder = F.concat_ws("/", F.lit(root), *[F.concat(F.lit(f"{c}="), ids.folder_name(F.col(c))) for c in LEVELS])
-    folders = rows.groupBy(*LEVELS).agg(F.count(F.lit(1)).alias("row_count"))
+def folder_catalog(spark: SparkSession, root: str, stage: str, kind: str, shape: StructType, created_at: Column) -> DataFrame:
+    """Catalog rows of a stage's folders, from one reading of what ``save`` wrote there.
+
+    Sizes are the files' own. The asset id hashes sums over the rows, so it names the content
+    whatever the files or their order.
+    """
+    levels = [StructField(name, StringType()) for name in LEVELS[1:]]
+    rows = spark.read.schema(StructType([*shape.fields, *levels])).format(kind).load(f"{root}/stage={stage}")
+    content = F.xxhash64(*[F.to_json(c) if isinstance(shape[c].dataType, MapType) else F.col(c) for c in shape.names])
+    files = rows.groupBy(*LEVELS[1:], "_metadata.file_path").agg(
+        F.max("_metadata.file_size").alias("size"), F.count(F.lit(1)).alias("rows"), F.sum(content.cast("decimal(38,0)")).alias("sum")
+    )
+    folders = files.groupBy(*LEVELS[1:]).agg(
+        F.sum("size").cast("long").alias("size_byte"), F.sum("rows").alias("row_count"), F.sum("sum").alias("sum")
+    )
+    folder = record_levels(root, F.lit(stage), F.col("scope"), F.col("schedule"), F.col("task"))
+    named = F.concat_ws(",", F.lit(stage), "scope", "schedule", "task", F.col("row_count").cast("string"), F.col("sum").cast("string"))
     return folders.select(
-        ids.content_hash(folder).alias("asset_id"),
-        F.concat_ws("-", *LEVELS).alias("file_name"),
+        ids.content_hash(named).alias("asset_id"),
+        F.concat_ws("-", F.lit(stage), *LEVELS[1:]).alias("file_name"),
         folder.alias("file_path"),
         ids.mime_type(F.lit(kind)).alias("mime_type"),
-        F.lit(0).cast("long").alias("size_byte"),
+        "size_byte",
         F.lit("SNAPPY" if kind == "parquet" else "NONE").alias("compression"),
-        F.to_json(F.struct("row_count", F.struct(F.lit(kind).alias("extension")).alias("custom_metadata"))).alias("attributes"),
+        F.to_json(
+            F.struct("size_byte", "row_count", F.struct(F.lit(kind).alias("extension"), "row_count").alias("custom_metadata"))
+        ).alias("attributes"),
         created_at.alias("created_at"),
         created_at.alias("updated_at"),
         F.array("scope").alias("scope_ids"),
         F.array("schedule").alias("schedule_ids"),
         F.array("task").alias("task_ids"),
         F.array().cast("array<string>").alias("tags"),
-        "stage",
+        F.lit(stage).alias("stage"),
     )
 
 
@@ -70,23 +88,52 @@ def display(rows: DataFrame, analyses: DataFrame, keys: list[str], created_at: C
     )
 
 
+def registered(spark: SparkSession, assets: DataFrame, root: str) -> DataFrame:
+    """The catalog with the given rows merged into it, as its next version."""
+    before = latest_version(spark, root)
+    known = assets.limit(0) if before is None else snapshot(spark, root, before)
+    publish_snapshot(catalog.upsert(known, assets), root, (before or 0) + 1)
+    return snapshot(spark, root, (before or 0) + 1)
+
+
 def run(spark: SparkSession, raw: DataFrame, root: str, created_at: Column, bullish_from: float = blocks.BULLISH_FROM) -> DataFrame:
     """Raw records to insight documents through the lake, each stage finding its input by
-    a catalog search. ``raw`` has scope, schedule, task, stage and record columns."""
-    save(raw, root, "json")
-    files = folder_catalog(raw, root, "json", created_at)
-    found = catalog.search(files, stage="1_RAW")
-    records = read_catalogued(spark, found, f"{root}/stage=1_RAW", "json", raw.drop(*LEVELS).schema)
-    level = lambda name: F.regexp_extract("file_path", f"/{name}=([^/]+)/", 1)
-    placed = records.withColumns({"scope": level("scope"), "schedule": level("schedule")}).drop("file_path")
-    cleaned = etl(placed, "etl")
-    save(cleaned, root, "parquet")
-    clean_files = folder_catalog(cleaned, root, "parquet", created_at)
-    found = catalog.search(clean_files, {"extension": "parquet"}, stage="2_ETL")
-    rows = read_catalogued(spark, found, f"{root}/stage=2_ETL", "parquet", cleaned.drop(*LEVELS).schema)
-    rows = rows.withColumns({"scope": level("scope"), "schedule": level("schedule")}).drop("file_path")
+    a catalog search. ``raw`` has scope, schedule, task, stage and record columns.
+
+    Below ``root``: the lake's stages 1 and 2, the analyses as catalogued records (stage 3), the
+    catalog's versions, and the insights, which are appended. Scope and schedule travel in the
+    rows as scope_id and schedule_id, so any characters are right in them. Returns all insights.
+    """
+    lake, store, assets = f"{root}/lake", f"{root}/records", f"{root}/file_assets"
     keys = ["scope", "schedule"]
+    own = {"scope_id": F.col("scope"), "schedule_id": F.col("schedule")}
+    back = {"scope": F.col("scope_id"), "schedule": F.col("schedule_id")}
+
+    kept = raw.withColumns(own)
+    shape = kept.drop(*LEVELS).schema
+    save(kept, lake, "json")
+    files = registered(spark, folder_catalog(spark, lake, "1_RAW", "json", shape, created_at), assets)
+    found = catalog.search(files, {"extension": "json"}, stage="1_RAW")
+    records = read_catalogued(spark, found, f"{lake}/stage=1_RAW", "json", shape)
+
+    cleaned = etl(records.withColumns(back).drop("file_path"), "etl")
+    shape = cleaned.drop(*LEVELS).schema
+    save(cleaned, lake, "parquet")
+    files = registered(spark, folder_catalog(spark, lake, "2_ETL", "parquet", shape, created_at), assets)
+    found = catalog.search(files, {"extension": "parquet"}, stage="2_ETL")
+    rows = read_catalogued(spark, found, f"{lake}/stage=2_ETL", "parquet", shape).withColumns(back).drop("file_path")
     priced = F.lit("price" in rows.columns)
     lacking = {"price": "double", "timestamp": "string", "ticker": "string", "id": "string"}
     rows = rows.withColumns({c: F.lit(None).cast(t) for c, t in lacking.items() if c not in rows.columns})
-    return display(rows, analyse(rows, keys, bullish_from, priced), keys, created_at)
+
+    result = analyse(rows, keys, bullish_from, priced)
+    body = F.to_json(F.struct("scope", "schedule", "status", "sentiment", "average_price", "logic_used"))
+    bodies = result.select(*keys, F.lit("analysis").alias("task"), body.alias("body"))
+    saved = save_records(bodies, "body", store, "3_ANALYZE", "scope", "schedule", "task", [], created_at)
+    found = catalog.search(registered(spark, saved, assets), {"extension": "json"}, stage="3_ANALYZE")
+    shape = result.select(*keys, "status", "sentiment", "average_price", "logic_used").schema
+    analyses = read_records(spark, store, found).select(F.from_json("body", shape).alias("a")).select("a.*")
+
+    documents = display(rows, analyses, keys, created_at).withColumn("scope_id", F.col("scope"))
+    append_insights(documents, f"{root}/insights")
+    return spark.read.schema(documents.schema).json(f"{root}/insights")

@@ -292,7 +292,7 @@ def etl_run(spark, sf_dir):
     raw = table(spark, sf_dir, "documents").select(
         F.concat_ws("-", "lang", "doc_id").alias("title"), F.col("text").alias("content"), F.col("source").alias("url")
     )
-    asset = clean_embed.run(spark, raw, F.lit("documents"), "documents", "scope-1", "sch-1", f"{root}/clean", f"{root}/knowledge", ["demo"], dim=8)
+    asset = clean_embed.run(spark, raw, F.lit("documents"), "documents", "scope-1", "sch-1", f"{root}/clean", f"{root}/knowledge", ["demo"])
     rows = F.get_json_object("attributes", "$.row_count").cast("long")
     found = asset.select(F.lit("file_assets").alias("kind"), rows.alias("n"), F.col("mime_type").alias("note"))
     for kind, path, column in (("lake", "clean", "content"), ("knowledge", "knowledge", "chunk_text")):

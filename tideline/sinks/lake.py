@@ -12,10 +12,15 @@ from tideline.session import scratch_dir
 from tideline.sources.records import or_empty
 
 
+def partition_path(root: str, scope_id: str, schedule_id: str) -> str:
+    return f"{root}/scope={ids.folder_text(scope_id)}/schedule={ids.folder_text(schedule_id)}"
+
+
 def write_partition(df: DataFrame, root: str, scope_id: str, schedule_id: str) -> None:
-    """Replace one scope and schedule of a Parquet lake; all others stay."""
-    stamped = df.withColumns({"scope": F.lit(scope_id), "schedule": F.lit(schedule_id)})
-    write_partitions(stamped, root, ["scope", "schedule"], even=False)
+    """Replace one scope and schedule of a Parquet lake; all others stay.
+
+    The folder itself is written, so that no rows replace the old ones too."""
+    df.write.mode("overwrite").parquet(partition_path(root, scope_id, schedule_id))
 
 
 def write_partitions(df: DataFrame, root: str, by: list[str], kind: str = "parquet", even: bool = True) -> None:
