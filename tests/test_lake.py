@@ -271,13 +271,25 @@ def test_similarity_equals_brute_force(spark):
     for q in (9, 1, 50):
         scores = [(round(float(unit[q] @ unit[i]), 9), i) for i in range(120) if i != 3]
         want[q] = [i for _, i in sorted(scores, key=lambda s: (-s[0], s[1]))[:4]]
-    for batch in (1024, 2):
-        found = similarity.similar_topk(spark, passages.repartition(3), queries, 4, batch_queries=batch).collect()
+    for block in (1024, 2):
+        found = similarity.similar_topk(spark, passages.repartition(3), queries, 4, block_queries=block, block_passages=20 * block).collect()
         got = {}
         for r in sorted(found, key=lambda r: (r.query_id, r["rank"])):
             got.setdefault(r.query_id, []).append(r.id)
         assert {q: sorted(x) for q, x in got.items()} == {q: sorted(x) for q, x in want.items()}
     assert similarity.similar_topk(spark, passages, queries.limit(0), 4).count() == 0
+    assert similarity.similar_topk(spark, passages.limit(0), queries, 4).count() == 0
+
+
+def test_approximate_similarity_finds_most(spark):
+    rng = np.random.default_rng(2)
+    centres = rng.normal(size=(40, 16))
+    vectors = np.concatenate([c + 0.1 * rng.normal(size=(25, 16)) for c in centres])
+    passages = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)] + [(9999, None), (9998, [0.0] * 16)], "id long, embedding array<double>")
+    queries = spark.createDataFrame([(i, vectors[i].tolist()) for i in range(0, 1000, 20)], "query_id long, embedding array<double>")
+    exact = {(r.query_id, r.id) for r in similarity.similar_topk(spark, passages, queries, 5).collect()}
+    found = {(r.query_id, r.id) for r in similarity.similar_approx(passages, queries, 5).collect()}
+    assert len(exact) == 250 and len(exact & found) >= 0.9 * len(exact)
 
 
 def test_user_functions(spark):

@@ -1,11 +1,11 @@
-"""Top-k passages by cosine similarity."""
+"""Top-k passages by cosine similarity, exact and approximate."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
+from pyspark.ml.feature import BucketedRandomProjectionLSH
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,75 +18,83 @@ def similar_topk(
     queries: DataFrame,
     k: int,
     prefilter: Column | None = None,
-    batch_queries: int = 1024,
+    block_queries: int = 1024,
+    block_passages: int = 100_000,
 ) -> DataFrame:
     """The ``k`` passages nearest to each query, with rank and similarity.
 
-    ``passages`` is (id, embedding) and ``queries`` (query_id, embedding). Queries are shipped
-    to the tasks in batches of bounded size, with one pass over the passages per batch.
-    Each task keeps k rows per query over all it reads, and only those are shuffled.
-    Zero vectors have no direction and match nothing. Equal scores rank by id.
+    ``passages`` is (id, embedding) and ``queries`` (query_id, embedding). Both are dealt into
+    blocks by a hash; each block of queries meets each block of passages in one task, which keeps
+    its k best per query, and only those are merged. So the plan is one pass whatever the number
+    of queries, no vector passes through the driver, and a task holds one block of either side.
+    The work is that of all pairs; ``similar_approx`` does less. Zero vectors have no direction
+    and match nothing. Equal scores rank by id.
     """
     if prefilter is not None:
         passages = passages.filter(prefilter)
-    passages = passages.select("id", "embedding")
+    # Aliased, so that both sides may come from one table.
+    passages = passages.filter("embedding is not null").select(F.col("id").alias("id"), F.col("embedding").alias("passage"))
+    queries = queries.filter("embedding is not null").select(F.col("query_id").alias("query_id"), F.col("embedding").alias("query"))
     kinds = {f.name: f.dataType.simpleString() for f in (*passages.schema.fields, *queries.schema.fields)}
     schema = f"query_id {kinds['query_id']}, id {kinds['id']}, similarity double"
-    found = None
-    for batch in _batches(queries, batch_queries):
-        part = passages.mapInPandas(_scorer(spark, batch, k), schema)
-        found = part if found is None else found.unionAll(part)
-    if found is None:
-        found = spark.createDataFrame([], schema)
+    n_query = max(1, -(-queries.count() // block_queries))
+    n_passage = max(1, -(-passages.count() // block_passages))
+
+    def dealt(rows: DataFrame, key: str, own: str, blocks: int, other: str, others: int) -> DataFrame:
+        placed = rows.withColumn(own, F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int"))
+        return placed.withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(others - 1))))
+
+    asked = dealt(queries, "query_id", "__q", n_query, "__p", n_passage).groupBy("__q", "__p")
+    held = dealt(passages, "id", "__p", n_passage, "__q", n_query).groupBy("__q", "__p")
+    found = asked.cogroup(held).applyInPandas(lambda q, p: _nearest(q, p, k), schema)
     return top_rows(found, ["query_id"], [F.desc("similarity"), F.asc("id")], k)
 
 
-def _batches(queries: DataFrame, size: int) -> Iterator[tuple[list, np.ndarray]]:
-    keys, vectors = [], []
-    for row in queries.select("query_id", "embedding").toLocalIterator():
-        keys.append(row[0])
-        vectors.append(row[1])
-        if len(keys) == size:
-            yield keys, np.asarray(vectors, dtype=np.float64)
-            keys, vectors = [], []
-    if keys:
-        yield keys, np.asarray(vectors, dtype=np.float64)
-
-
-def _scorer(spark: SparkSession, batch: tuple[list, np.ndarray], k: int):
-    keys, vectors = batch
-    norms = np.linalg.norm(vectors, axis=1, keepdims=True)
-    unit = np.divide(vectors, norms, out=np.full_like(vectors, np.nan), where=norms > 0)
-    shipped = spark.sparkContext.broadcast((keys, unit))
-
-    def best(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["q", "similarity", "id"], ascending=[True, False, True])
-        return frame.groupby("q", sort=False).head(k)
-
-    def score(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        query_ids, directions = shipped.value
-        kept, floor = None, np.full(len(query_ids), -np.inf)
-        for part in parts:
-            part = part[part["embedding"].notna()]
-            if part.empty:
-                continue
-            rows = np.stack(part["embedding"].to_numpy()).astype(np.float64)
-            lengths = np.linalg.norm(rows, axis=1, keepdims=True)
-            scores = np.divide(rows @ directions.T, lengths, out=np.full((len(rows), len(query_ids)), -np.inf), where=lengths > 0)
-            scores[np.isnan(scores)] = -np.inf
-            if len(scores) > k:
-                floor = np.maximum(floor, np.partition(scores, -k, axis=0)[-k])
-            # Everything that ties with the k-th best stays, so that ids decide.
-            at, q = np.nonzero((scores >= floor) & (scores > -np.inf))
-            fresh = pd.DataFrame({"q": q, "id": part["id"].to_numpy()[at], "similarity": scores[at, q]})
-            kept = best(fresh if kept is None else pd.concat([kept, fresh], ignore_index=True))
-            full = kept.groupby("q")["similarity"].agg(["size", "min"])
-            full = full[full["size"] >= k]
-            floor[full.index] = np.maximum(floor[full.index], full["min"])
-        if kept is not None and len(kept):
-            yield kept.assign(query_id=np.asarray(query_ids, dtype=object)[kept["q"]])[["query_id", "id", "similarity"]]
-
-    return score
+def _unit(vectors: pd.Series) -> np.ndarray:
+    """Rows of length one; a vector without a direction gives nan."""
+    rows = np.stack(vectors.to_numpy()).astype(np.float64)
+    lengths = np.linalg.norm(rows, axis=1, keepdims=True)
+    return np.divide(rows, lengths, out=np.full_like(rows, np.nan), where=lengths > 0)
+
+
+def _nearest(queries: pd.DataFrame, passages: pd.DataFrame, k: int) -> pd.DataFrame:
+    if queries.empty or passages.empty:
+        return pd.DataFrame({"query_id": queries["query_id"][:0], "id": passages["id"][:0], "similarity": pd.Series(dtype=float)})
+    scores = _unit(queries["query"]) @ _unit(passages["passage"]).T
+    scores[np.isnan(scores)] = -np.inf
+    # Everything that ties with the k-th best stays, so that ids decide.
+    floor = np.partition(scores, -k, axis=1)[:, [-k]] if scores.shape[1] > k else np.full((len(scores), 1), -np.inf)
+    q, at = np.nonzero((scores >= floor) & (scores > -np.inf))
+    found = pd.DataFrame({"query_id": queries["query_id"].to_numpy()[q], "id": passages["id"].to_numpy()[at], "similarity": scores[q, at]})
+    found = found.sort_values(["query_id", "similarity", "id"], ascending=[True, False, True])
+    return found.groupby("query_id", sort=False).head(k)
+
+
+def similar_approx(
+    passages: DataFrame, queries: DataFrame, k: int, distance: float = 0.8, tables: int = 8, width: float = 0.5, seed: int = 11
+) -> DataFrame:
+    """As ``similar_topk`` for most of the passages within ``distance`` of a query.
+
+    Random projections of the unit vectors are cut into buckets of ``width``, in ``tables``
+    independent ways; vectors that share a bucket are compared. More tables or wider buckets
+    find more and compare more. The distance is that of unit vectors, sqrt(2 - 2 cosine).
+    """
+
+    def unit(rows: DataFrame, key: str) -> DataFrame:
+        length = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x * x))
+        rows = rows.filter("exists(embedding, x -> x <> 0)").select(F.col(key).alias(key), F.col("embedding").cast("array<double>").alias("embedding"))
+        rows = rows.withColumn("length", length)
+        return rows.select(key, array_to_vector(F.transform("embedding", lambda x: x / F.col("length"))).alias("v"))
+
+    left, right = unit(queries, "query_id"), unit(passages, "id")
+    model = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", bucketLength=width, numHashTables=tables, seed=seed).fit(right)
+    near = model.approxSimilarityJoin(left, right, distance, "d")
+    product = F.zip_with(vector_to_array("datasetA.v"), vector_to_array("datasetB.v"), lambda x, y: x * y)
+    scored = near.select(
+        F.col("datasetA.query_id").alias("query_id"), F.col("datasetB.id").alias("id"),
+        F.aggregate(product, F.lit(0.0), lambda s, x: s + x).alias("similarity"),
+    )
+    return top_rows(scored, ["query_id"], [F.desc("similarity"), F.asc("id")], k)
 
 
 def centroids(vectors: DataFrame, by: str) -> DataFrame:
