@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.feature import BucketedRandomProjectionLSH
-from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -80,21 +78,25 @@ def similar_approx(
     find more and compare more. The distance is that of unit vectors, sqrt(2 - 2 cosine).
     """
 
-    def unit(rows: DataFrame, key: str) -> DataFrame:
-        length = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x * x))
-        rows = rows.filter("exists(embedding, x -> x <> 0)").select(F.col(key).alias(key), F.col("embedding").cast("array<double>").alias("embedding"))
-        rows = rows.withColumn("length", length)
-        return rows.select(key, array_to_vector(F.transform("embedding", lambda x: x / F.col("length"))).alias("v"))
-
-    left, right = unit(queries, "query_id"), unit(passages, "id")
-    model = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", bucketLength=width, numHashTables=tables, seed=seed).fit(right)
-    near = model.approxSimilarityJoin(left, right, distance, "d")
-    product = F.zip_with(vector_to_array("datasetA.v"), vector_to_array("datasetB.v"), lambda x, y: x * y)
-    scored = near.select(
-        F.col("datasetA.query_id").alias("query_id"), F.col("datasetB.id").alias("id"),
-        F.aggregate(product, F.lit(0.0), lambda s, x: s + x).alias("similarity"),
-    )
-    return top_rows(scored, ["query_id"], [F.desc("similarity"), F.asc("id")], k)
+    first = passages.filter("size(embedding) > 0").select(F.size("embedding")).first()
+    width_of = first[0] if first else 1
+    rng = np.random.default_rng(seed)
+    lines = [(rng.normal(size=width_of).tolist(), float(rng.uniform(0, width))) for _ in range(tables)]
+
+    def product(left: Column, right: Column) -> Column:
+        return F.aggregate(F.zip_with(left, right, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+
+    def hashed(rows: DataFrame, key: str, name: str) -> DataFrame:
+        plain = rows.select(F.col(key).alias(key), F.col("embedding").cast("array<double>").alias(name))
+        length = F.sqrt(product(F.col(name), F.col(name)))
+        unit = plain.withColumn(name, F.transform(name, lambda x: F.try_divide(x, length))).filter(f"{name} is not null and {name}[0] is not null")
+        places = [F.floor((product(F.col(name), F.array(*map(F.lit, line))) + F.lit(shift)) / width) for line, shift in lines]
+        return unit.select("*", F.posexplode(F.array(*places)).alias("table", "bucket"))
+
+    near = hashed(queries, "query_id", "q").join(hashed(passages, "id", "p"), ["table", "bucket"])
+    near = near.dropDuplicates(["query_id", "id"]).select("query_id", "id", product(F.col("q"), F.col("p")).alias("similarity"))
+    close = near.filter(F.col("similarity") >= 1 - distance * distance / 2)
+    return top_rows(close, ["query_id"], [F.desc("similarity"), F.asc("id")], k)
 
 
 def centroids(vectors: DataFrame, by: str) -> DataFrame:
