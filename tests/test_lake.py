@@ -182,6 +182,23 @@ def test_records_saved_twice_stay_and_are_found(spark, folder):
     assert lake.read_records(spark, f"{folder}/none", hits).count() == 0
 
 
+def test_deleted_records_are_gone_from_store_and_catalog(spark, folder):
+    frame = spark.createDataFrame([("a:b", "t", '{"k":1}'), ("a:b", "t", '{"k":2}'), ("a:b", "u", '{"k":3}'), ("c", "t", '{"k":4}')], "scope string, task string, j string")
+    frame = frame.withColumn("schedule", F.lit("h"))
+    assets = lake.save_records(frame, "j", f"{folder}/store", "1_RAW", "scope", "schedule", "task", [], F.current_timestamp())
+    assets.write.parquet(f"{folder}/assets")
+    assets = spark.read.parquet(f"{folder}/assets")
+    bodies = lambda: sorted(r.body for r in lake.read_records(spark, f"{folder}/store", assets).collect())
+    one = assets.filter(F.sha2(F.lit('{"k":1}'), 256) == F.col("asset_id")).first().asset_id
+    left, count = lake.delete_records(spark, assets, f"{folder}/store", "1_RAW", "a:b", "h", "t", one)
+    assert count == 1 and left.count() == 3 and bodies() == ['{"k":2}', '{"k":3}', '{"k":4}']
+    left, count = lake.delete_records(spark, left, f"{folder}/store", "1_RAW", "a:b")
+    assert count == 2 and [r.scope_ids for r in left.collect()] == [["c"]] and bodies() == ['{"k":4}']
+    assert lake.delete_records(spark, left, f"{folder}/store", "2_ETL")[1] == 0
+    with pytest.raises(ValueError):
+        lake.delete_records(spark, left, f"{folder}/store", "1_RAW", None, "h")
+
+
 def test_insights_append_and_schedule_export(spark, folder):
     data = F.array(F.struct(F.lit("t").alias("time"), F.lit(1.0).alias("price")))
     series = spark.range(1).select(F.lit("s").alias("scope_id"), F.lit("A").alias("ticker"), F.lit(0).alias("part"), data.alias("data"))

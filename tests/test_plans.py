@@ -4,10 +4,10 @@ import re
 
 import pytest
 
-import __spark_entry__ as spark_entry
 from tests.conftest import SMALL
+from tideline.queries import REGISTERED
 
-QUERIES = spark_entry.queries()
+QUERIES = {name: item.build for name, item in REGISTERED.items()}
 STREAMED = {name for name in QUERIES if name.startswith("stream_")} | {"watchdog_triggers", "staged_insights", "etl_run"}
 
 
@@ -50,3 +50,20 @@ def test_ticks_are_shuffled_once_for_breakouts(spark):
     frame.collect()
     final = plan(frame).split("== Initial Plan ==")[0]
     assert "ReusedExchange" in final
+
+
+@pytest.mark.parametrize(
+    "name, most",
+    [(n, 1) for n in ("moving_average", "rsi", "macd", "volume_spike", "level_break", "reversal")]
+    + [(n, 2) for n in ("dashboard_blocks", "asof_context", "drop_1h")],
+)
+def test_events_are_scanned_and_aggregated_once(spark, name, most):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        frame = QUERIES[name](spark, SMALL)
+        frame.collect()
+        final = plan(frame).split("== Initial Plan ==")[0]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert final.count("FileScan parquet") <= most

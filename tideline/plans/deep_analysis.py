@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tideline.functions import blocks
-from tideline.operators import asof, scoring, similarity
+from tideline.operators import asof, breakout, scoring, similarity
+from tideline.session import scratch_dir
 
 
 def deep_analysis(
@@ -58,3 +59,22 @@ def report(judged: DataFrame) -> DataFrame:
     data = F.zip_with("history_ts", "history", lambda t, p: F.struct(t.cast("string").alias("time"), p.alias("price")))
     key = F.col("id").cast("string")
     return judged.withColumn("blocks", blocks.dashboard_blocks(F.col("ticker"), F.col("sentiment"), data, key))
+
+
+def run(
+    spark: SparkSession, ticks: DataFrame, headlines: DataFrame, passages: DataFrame, keys: list[str], cell: Column,
+    episode_cell: Column, threshold: float, k_headlines: int, k_passages: int, positive: Iterable[str], negative: Iterable[str],
+) -> DataFrame:
+    """One document per breakout: the alert, the prices that led to it, its headlines and their
+    verdict, the passages nearest to it, and the blocks that show all this.
+
+    ``passages`` is (id, embedding); an alert's own vector is the one with its id. The alerts,
+    which several steps use, are first written to the shared scratch folder.
+    """
+    found = breakout.breakout_history(ticks, episode_cell, threshold).join(ticks.select("id", *[c for c in keys if c != "ticker"]), "id")
+    staged = scratch_dir(spark, "alerts")
+    found.write.parquet(staged)
+    alerts = spark.read.schema(found.schema).parquet(staged)
+    judged = deep_analysis(alerts, headlines, keys, cell, k_headlines, positive, negative)
+    asked = alerts.select("id").join(passages, "id").withColumnRenamed("id", "query_id")
+    return report(with_passages(spark, judged, passages, asked, k_passages))

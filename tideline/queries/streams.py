@@ -524,3 +524,32 @@ def alert_reports(spark, sf_dir):
         "id", metric["label"].alias("label"), metric["value"].alias("signal"), F.size(chart).cast("long").alias("points"),
         F.substring(F.element_at(chart, 1)["time"], 1, 19).alias("first_time"), F.element_at(chart, -1)["price"].alias("last_price"),
     )
+
+
+def _sql(name: str) -> str:
+    return REGISTERED[name].sql
+
+
+@query(
+    "alert_documents",
+    f"""SELECT id, d.price, d.score, d.context, d.sentiment, d.signal, p.passages, r.label, r.points, r.first_time, r.last_price
+        FROM ({_sql("deep_analysis")}) d JOIN ({_sql("alert_passages")}) p USING (id) JOIN ({_sql("alert_reports")}) r USING (id)""",
+)
+def alert_documents(spark, sf_dir):
+    # What one triggered run works out, as one document per alert.
+    from tideline.queries.analysis import BAD, GOOD
+
+    rows = ticks(spark, sf_dir)
+    texts = documents(spark, sf_dir).select(F.col("doc_id").alias("id"), "text")
+    headlines = rows.select("id", "ts", "user_id").join(texts, "id")
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    found = deep_analysis.run(
+        spark, rows, headlines, vectors, ["user_id"], time_cell("ts", 86_400), time_cell("ts", 3600), 200.0, 3, 5, GOOD, BAD
+    )
+    metric, chart = F.element_at("blocks", 1), F.element_at("blocks", 2)["data"]
+    listed = lambda name: F.array_join(F.transform(name, lambda x: x.cast("string")), ",").alias(name)
+    return found.select(
+        "id", "price", F.round("score", 6).alias("score"), listed("context"), "sentiment", metric["value"].alias("signal"), listed("passages"),
+        metric["label"].alias("label"), F.size(chart).cast("long").alias("points"),
+        F.substring(F.element_at(chart, 1)["time"], 1, 19).alias("first_time"), F.element_at(chart, -1)["price"].alias("last_price"),
+    )

@@ -100,6 +100,36 @@ def read_records(spark: SparkSession, root: str, hits: DataFrame) -> DataFrame:
     return stored.withColumn("__folder", folder).join(wanted, ["asset_id", "__folder"], "left_semi").drop("__folder")
 
 
+def delete_records(
+    spark: SparkSession, assets: DataFrame, root: str, stage: str, scope: str | None = None, schedule: str | None = None,
+    task: str | None = None, asset_id: str | None = None,
+) -> tuple[DataFrame, int]:
+    """Remove the stored records below a level, or one of them, with their catalog rows.
+
+    A level needs all levels above it. Whole folders are removed by the file system; a single
+    record's folder is written anew without it. Returns the catalog rows left and how many went.
+    """
+    levels = {"stage": stage, "scope": scope, "schedule": schedule, "task": task}
+    given = [x is not None for x in (*levels.values(), asset_id)]
+    if given != sorted(given, reverse=True):
+        raise ValueError("a lower level needs the upper ones")
+    folder = "/".join([root, *[f"{name}={ids.folder_text(value)}" for name, value in levels.items() if value is not None]])
+    gone = (F.col("file_path") == folder) | F.startswith(F.col("file_path"), F.lit(f"{folder}/"))
+    if asset_id is not None:
+        gone = gone & (F.col("asset_id") == asset_id)
+    gone = F.coalesce(gone, F.lit(False))
+    count = assets.filter(gone).count()
+    if asset_id is None:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    else:
+        shape = StructType.fromDDL("body string, asset_id string")
+        kept = scratch_dir(spark, "kept")
+        or_empty(spark, lambda: spark.read.schema(shape).parquet(folder), shape).filter(F.col("asset_id") != asset_id).write.parquet(kept)
+        spark.read.schema(shape).parquet(kept).write.mode("overwrite").parquet(folder)
+    return assets.filter(~gone), count
+
+
 def publish_snapshot(df: DataFrame, root: str, version: int, by: list[str] | None = None) -> str:
     """Write a whole new state beside the old ones. The same version is written anew, so a
     repeated attempt does no harm."""

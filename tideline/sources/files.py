@@ -5,7 +5,6 @@ from __future__ import annotations
 import csv
 import io
 import json
-from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -30,58 +29,38 @@ def scan_files(spark: SparkSession, path: str, glob: str | None = None) -> DataF
     )
 
 
+TABLES = ("csv", "parquet")
+
+
 def inspect_files(files: DataFrame) -> DataFrame:
     """Add ``attributes``: size, hash algorithm and statistics that fit the file type.
 
-    A file that cannot be read keeps its row, with the failure under ``inspection_error``.
-    Text is measured natively, tables in Arrow batches; images are measured by
-    ``image_stats``.
+    A file that cannot be read keeps its row, with the failure under ``inspection_error``. All
+    types are told apart in one pass over the bytes: text is measured natively, and only the
+    bytes of tables go to Python. Images are measured by ``image_stats``.
     """
-    name_columns = [c for c in files.columns if c != "content"]
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in files.schema.fields if f.name != "content")
-    tables = files.filter(F.col("extension").isin("csv", "parquet")).mapInPandas(_table_stats, schema + ", custom string")
-    decoded = files.filter(F.col("extension") == "txt").withColumn("text", F.try_validate_utf8("content"))
-    texts = decoded.select(
-        *name_columns,
-        F.to_json(
-            F.when(
-                F.col("text").isNotNull(),
-                F.struct(
-                    F.col("extension"),
-                    text.line_count("text").alias("line_count"),
-                    text.word_count("text").alias("word_count"),
-                    F.lit("utf-8").alias("encoding"),
-                    F.lit(None).cast("string").alias("inspection_error"),
-                ),
-            ).otherwise(
-                F.struct(
-                    F.col("extension"),
-                    F.lit(None).cast("int").alias("line_count"),
-                    F.lit(None).cast("int").alias("word_count"),
-                    F.lit(None).cast("string").alias("encoding"),
-                    F.lit("invalid utf-8").alias("inspection_error"),
-                )
-            )
-        ).alias("custom"),
+
+    @F.pandas_udf("string")
+    def table_stats(kinds: pd.Series, bodies: pd.Series) -> pd.Series:
+        return pd.Series([None if body is None else _measure(kind, body) for kind, body in zip(kinds, bodies)], dtype=object)
+
+    is_table, is_text = F.col("extension").isin(*TABLES), F.col("extension") == "txt"
+    read = files.withColumn("text", F.when(is_text, F.try_validate_utf8("content")))
+    measured = F.to_json(
+        F.struct(
+            "extension", text.line_count("text").alias("line_count"), text.word_count("text").alias("word_count"),
+            F.lit("utf-8").alias("encoding"),
+        )
     )
-    others = files.filter(~F.col("extension").isin("csv", "parquet", "txt")).select(
-        *name_columns, F.to_json(F.struct("extension")).alias("custom")
+    broken = F.to_json(F.struct("extension", F.lit("invalid utf-8").alias("inspection_error")))
+    custom = (
+        F.when(is_table, table_stats("extension", F.when(is_table, F.col("content"))))
+        .when(is_text, F.when(F.col("text").isNotNull(), measured).otherwise(broken))
+        .otherwise(F.to_json(F.struct("extension")))
     )
     head = F.to_json(F.struct("size_byte", F.lit("SHA-256").alias("hash_algorithm")))
-    whole = F.concat(F.expr("substr({0}, 1, length({0}) - 1)".format("__head")), F.lit(',"custom_metadata":'), "custom", F.lit("}"))
-    return (
-        tables.unionByName(texts)
-        .unionByName(others)
-        .withColumn("__head", head)
-        .withColumn("attributes", whole)
-        .drop("__head", "custom")
-    )
-
-
-def _table_stats(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for part in parts:
-        custom = [_measure(kind, body) for kind, body in zip(part["extension"], part["content"])]
-        yield part.drop(columns=["content"]).assign(custom=custom)
+    whole = F.concat(F.substr(head, F.lit(1), F.length(head) - 1), F.lit(',"custom_metadata":'), custom, F.lit("}"))
+    return read.withColumn("attributes", whole).drop("content", "text")
 
 
 def _measure(kind: str, body: bytes) -> str:
