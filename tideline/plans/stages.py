@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import MapType, StringType, StructField, StructType
@@ -96,6 +98,30 @@ def registered(spark: SparkSession, assets: DataFrame, root: str) -> DataFrame:
     return snapshot(spark, root, (before or 0) + 1)
 
 
+def found_rows(spark: SparkSession, root: str, assets: str, stage: str, kind: str, shape: StructType, **ids_given: str) -> DataFrame:
+    """The rows of all folders of a stage that the newest catalog finds, with ``file_path``."""
+    files = snapshot(spark, assets, latest_version(spark, assets))
+    found = catalog.search(files, {"extension": kind}, stage=stage, **ids_given)
+    return read_catalogued(spark, found, f"{root}/stage={stage}", kind, shape)
+
+
+def catalogued_stage(
+    spark: SparkSession, root: str, assets: str, read: tuple[str, str, StructType], write: tuple[str, str],
+    work: Callable[[DataFrame], DataFrame], created_at: Column, **ids_given: str,
+) -> StructType:
+    """One stage of a schedule around ``work``: its input is what a catalog search finds, its
+    output is stored and merged into the catalog.
+
+    ``read`` is (stage, kind, columns) and ``write`` (stage, kind). ``work`` gets the found rows
+    and returns rows with ``stage, scope, schedule, task``. Returns the columns that were stored.
+    """
+    made = work(found_rows(spark, root, assets, *read, **ids_given).drop("file_path"))
+    shape = made.drop(*LEVELS).schema
+    save(made, root, write[1])
+    registered(spark, folder_catalog(spark, root, *write, shape, created_at), assets)
+    return shape
+
+
 def run(spark: SparkSession, raw: DataFrame, root: str, created_at: Column, bullish_from: float = blocks.BULLISH_FROM) -> DataFrame:
     """Raw records to insight documents through the lake, each stage finding its input by
     a catalog search. ``raw`` has scope, schedule, task, stage and record columns.
@@ -112,16 +138,11 @@ def run(spark: SparkSession, raw: DataFrame, root: str, created_at: Column, bull
     kept = raw.withColumns(own)
     shape = kept.drop(*LEVELS).schema
     save(kept, lake, "json")
-    files = registered(spark, folder_catalog(spark, lake, "1_RAW", "json", shape, created_at), assets)
-    found = catalog.search(files, {"extension": "json"}, stage="1_RAW")
-    records = read_catalogued(spark, found, f"{lake}/stage=1_RAW", "json", shape)
-
-    cleaned = etl(records.withColumns(back).drop("file_path"), "etl")
-    shape = cleaned.drop(*LEVELS).schema
-    save(cleaned, lake, "parquet")
-    files = registered(spark, folder_catalog(spark, lake, "2_ETL", "parquet", shape, created_at), assets)
-    found = catalog.search(files, {"extension": "parquet"}, stage="2_ETL")
-    rows = read_catalogued(spark, found, f"{lake}/stage=2_ETL", "parquet", shape).withColumns(back).drop("file_path")
+    registered(spark, folder_catalog(spark, lake, "1_RAW", "json", shape, created_at), assets)
+    shape = catalogued_stage(
+        spark, lake, assets, ("1_RAW", "json", shape), ("2_ETL", "parquet"), lambda rows: etl(rows.withColumns(back), "etl"), created_at
+    )
+    rows = found_rows(spark, lake, assets, "2_ETL", "parquet", shape).withColumns(back).drop("file_path")
     priced = F.lit("price" in rows.columns)
     lacking = {"price": "double", "timestamp": "string", "ticker": "string", "id": "string"}
     rows = rows.withColumns({c: F.lit(None).cast(t) for c, t in lacking.items() if c not in rows.columns})

@@ -130,12 +130,16 @@ def delete_records(
     return assets.filter(~gone), count
 
 
-def publish_snapshot(df: DataFrame, root: str, version: int, by: list[str] | None = None) -> str:
+def publish_snapshot(df: DataFrame, root: str, version: int, by: list[str] | None = None, keep: int | None = None) -> str:
     """Write a whole new state beside the old ones. The same version is written anew, so a
-    repeated attempt does no harm."""
+    repeated attempt does no harm. With ``keep`` only so many versions stay."""
     path = f"{root}/version={version:012d}"
     writer = df.write.mode("overwrite")
     (writer.partitionBy(*by) if by else writer).parquet(path)
+    if keep is not None and version >= keep:
+        jvm = df.sparkSession.sparkContext._jvm
+        old = jvm.org.apache.hadoop.fs.Path(f"{root}/version={version - keep:012d}")
+        old.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(old, True)
     return path
 
 

@@ -15,6 +15,9 @@ from tideline.sources.ticks import dead_letters, good_ticks, parsed
 
 Handler = Callable[[DataFrame, int], None]
 
+# Versions of a state that stay: the newest, and what a repeated batch starts from.
+KEPT = 3
+
 
 def breakout_handler(
     root: str, cell: Column, threshold: float = breakout.ALERT_THRESHOLD, history: int = breakout.HISTORY,
@@ -45,7 +48,7 @@ def breakout_handler(
             alerts_path = f"{root}/alerts/batch={batch_id}"
             breakout.alerts_of(placed, history).write.mode("overwrite").parquet(alerts_path)
             # A history full of prices needs room for the alert that will close it.
-            publish_snapshot(breakout.open_history(placed, history - 1, order=order), f"{root}/state", batch_id)
+            publish_snapshot(breakout.open_history(placed, history - 1, order=order), f"{root}/state", batch_id, keep=KEPT)
         finally:
             placed.unpersist()
         if schedules is not None and subscriptions is not None:
@@ -87,7 +90,7 @@ def latest_handler(root: str) -> Handler:
         rows = batch.select("ticker", "ts", "id", "price")
         if batch_id > 0:
             rows = rows.unionByName(snapshot(batch.sparkSession, root, batch_id - 1))
-        publish_snapshot(newest(rows, ["ticker"], ["ts", "id"]), root, batch_id)
+        publish_snapshot(newest(rows, ["ticker"], ["ts", "id"]), root, batch_id, keep=KEPT)
 
     return handle
 
@@ -115,7 +118,7 @@ def context_handler(
             horizon = (newest_us or 0) - late_by * 1_000_000
             recent = headlines.filter(micros("ts") > horizon)
             before = top_rows(headlines.filter(micros("ts") <= horizon), keys, [F.desc("ts"), F.desc("id")], k).drop("rank")
-            publish_snapshot(recent.unionByName(before.select(*recent.columns)), f"{root}/headlines", batch_id)
+            publish_snapshot(recent.unionByName(before.select(*recent.columns)), f"{root}/headlines", batch_id, keep=KEPT)
         finally:
             rows.unpersist()
 
@@ -142,8 +145,8 @@ def indicator_handler(root: str, period: int = 14, low: float = 30.0, high: floa
         if new.isEmpty():
             # No window closed: the state goes on as it is.
             new.unpersist()
-            publish_snapshot(before if before is not None else new, f"{root}/candles", batch_id)
-            publish_snapshot(means if means is not None else _no_means(new), f"{root}/means", batch_id)
+            publish_snapshot(before if before is not None else new, f"{root}/candles", batch_id, keep=KEPT)
+            publish_snapshot(means if means is not None else _no_means(new), f"{root}/means", batch_id, keep=KEPT)
             return
         rsi = indicators.rsi(rows, period).filter("fresh").persist()
         macd = indicators.macd(new, initial=means)
@@ -159,9 +162,9 @@ def indicator_handler(root: str, period: int = 14, low: float = 30.0, high: floa
             state = macd.select("ticker", "window_start", "ema_fast", "ema_slow", "signal_line", "histogram")
             if means is not None:
                 state = state.unionByName(means)
-            publish_snapshot(newest(state, ["ticker"], ["window_start"]), f"{root}/means", batch_id)
+            publish_snapshot(newest(state, ["ticker"], ["window_start"]), f"{root}/means", batch_id, keep=KEPT)
             recent = top_rows(rows.select(*columns), ["ticker"], [F.desc("window_start")], period + 2)
-            publish_snapshot(recent.drop("rank"), f"{root}/candles", batch_id)
+            publish_snapshot(recent.drop("rank"), f"{root}/candles", batch_id, keep=KEPT)
         finally:
             for kept in (macd, rsi, new):
                 kept.unpersist()
