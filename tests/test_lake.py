@@ -155,6 +155,12 @@ def test_image_stats(spark, folder):
     a, b = rows["a.bmp"], rows["b.png"]
     assert (a.width, a.height, a.channels, a.aspect_ratio, a.inspection_error) == (4, 3, 3, 1.33, None)
     assert b.width is None and b.inspection_error
+    put(f"{folder}/c.txt", "one line")
+    seen = files.with_image_stats(files.inspect_files(files.scan_files(spark, folder)), files.image_stats(spark, folder))
+    custom = {os.path.basename(r.file_path): json.loads(r.attributes)["custom_metadata"] for r in seen.collect()}
+    assert custom["a.bmp"] == {"extension": "bmp", "width": 4, "height": 3, "channels": 3, "aspect_ratio": 1.33}
+    assert custom["b.png"] == {"extension": "png", "inspection_error": "unreadable image"}
+    assert custom["c.txt"]["line_count"] == 1
 
 
 def test_csv(spark, folder):

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Mapping
 
 import pandas as pd
 from pyspark.sql import Column
@@ -145,8 +144,3 @@ def video_id(url: str) -> Column:
 
 def literal_array(values) -> Column:
     return F.array(*[F.lit(v) for v in values]).cast("array<string>")
-
-
-def literal_map(values: Mapping[str, str]) -> Column:
-    flat = [F.lit(x) for pair in values.items() for x in pair]
-    return F.create_map(*flat) if flat else F.expr("map()").cast("map<string,string>")

@@ -62,6 +62,11 @@ def task_edges(tasks: DataFrame) -> DataFrame:
     return child.join(parent, ["schedule_id", "source"])
 
 
+# The reason given for a mismatch, and how it names an absent type.
+MISMATCH = "File type mismatch: Output is %s but Input expects %s"
+ABSENT_TYPE = "None"
+
+
 def connection_valid(pairs: DataFrame, tools: DataFrame, strict: bool = False) -> DataFrame:
     """Whether each source tool's output type is the target tool's expected input type.
 
@@ -76,11 +81,8 @@ def connection_valid(pairs: DataFrame, tools: DataFrame, strict: bool = False) -
     valid = F.col("file_type").eqNullSafe(F.col("expected_file_type"))
     if strict:
         valid = valid & F.col("file_type").isNotNull()
-    none = F.lit("None")
-    reason = F.concat(
-        F.lit("File type mismatch: Output is "), F.coalesce("file_type", none),
-        F.lit(" but Input expects "), F.coalesce("expected_file_type", none),
-    )
+    none = F.lit(ABSENT_TYPE)
+    reason = F.format_string(MISMATCH, F.coalesce("file_type", none), F.coalesce("expected_file_type", none))
     return joined.withColumn("valid", valid).withColumn("reason", F.when(~F.col("valid"), reason))
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tideline.functions import ids, text
+from tideline.sources.records import plain_path
 
 
 def scan_files(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
@@ -58,9 +59,24 @@ def inspect_files(files: DataFrame) -> DataFrame:
         .when(is_text, F.when(F.col("text").isNotNull(), measured).otherwise(broken))
         .otherwise(F.to_json(F.struct("extension")))
     )
+    return read.withColumn("attributes", _attributes(custom)).drop("content", "text")
+
+
+def _attributes(custom: Column) -> Column:
     head = F.to_json(F.struct("size_byte", F.lit("SHA-256").alias("hash_algorithm")))
-    whole = F.concat(F.substr(head, F.lit(1), F.length(head) - 1), F.lit(',"custom_metadata":'), custom, F.lit("}"))
-    return read.withColumn("attributes", whole).drop("content", "text")
+    return F.concat(F.substr(head, F.lit(1), F.length(head) - 1), F.lit(',"custom_metadata":'), custom, F.lit("}"))
+
+
+def with_image_stats(inspected: DataFrame, images: DataFrame) -> DataFrame:
+    """Inspected files, images with the measures of ``image_stats`` in ``attributes``.
+
+    An image is what could be read as one, or has an image's type; other files stay as they are."""
+    measures = ("width", "height", "channels", "aspect_ratio", "inspection_error")
+    named = images.select(plain_path(F.col("file_path")).alias("__file"), F.struct(*measures).alias("__image"))
+    joined = inspected.withColumn("__file", plain_path(F.col("file_path"))).join(named, "__file", "left")
+    custom = F.to_json(F.struct("extension", *[F.col(f"__image.{m}").alias(m) for m in measures]))
+    is_image = F.col("__image.width").isNotNull() | (F.col("__image").isNotNull() & F.col("mime_type").startswith("image/"))
+    return joined.withColumn("attributes", F.when(is_image, _attributes(custom)).otherwise(F.col("attributes"))).drop("__file", "__image")
 
 
 def _measure(kind: str, body: bytes) -> str:
