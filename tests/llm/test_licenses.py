@@ -7,7 +7,7 @@ from tideline.llm.common import table
 
 
 def pairs(text):
-    words = re.findall("[a-z0-9]+", "".join(c.lower() if c.isascii() else c for c in text))
+    words = re.findall("[a-z0-9]+", text.lower())
     return set(zip(words, words[1:]))
 
 

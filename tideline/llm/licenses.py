@@ -5,6 +5,11 @@ The units compared are each line of a text and, where it has more than one, the
 
 from __future__ import annotations
 
+import math
+import operator
+import re
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,12 +40,47 @@ TEMPLATES = (
 )
 
 
+# Fixed value: words too common to look for first.
+COMMON = frozenset("a any by for in is of or the this to under use with work".split())
+
+
 def normalised_words(text: Column) -> Column:
     """Lower-case runs of letters a-z and digits; all else parts words."""
-    words = F.split(F.regexp_replace(F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), "[^a-z0-9]+", " "), " ")
+    words = F.split(F.regexp_replace(F.lower(text), "[^a-z0-9]+", " "), " ")
     return F.filter(words, lambda w: w != "")
 
 
+def anchors(threshold: float, templates) -> list[str]:
+    """Words of which a unit must have one to reach the threshold with any template.
+
+    Dice t with a template of n bigrams takes at least n t / (2 - t) of them. So of any more than
+    the rest one must be shared, and with it its words: words are chosen, rare ones first, until
+    the bigrams they are in are that many.
+    """
+    chosen = set()
+    for _, text in templates:
+        words = re.findall("[a-z0-9]+", text.lower())
+        pairs = set(zip(words, words[1:]))
+        needed = len(pairs) - math.ceil(len(pairs) * threshold / (2 - threshold) - 1e-9) + 1
+        hit = set()
+        for word in sorted(set(words), key=lambda w: (w not in chosen, w in COMMON, -len(w), w)):
+            if len(hit) >= needed:
+                break
+            if more := {p for p in pairs if word in p} - hit:
+                hit |= more
+                chosen.add(word)
+    return sorted(chosen, key=lambda w: (-len(w), w))
+
+
+def has_anchor(text: Column, words: list[str]) -> Column:
+    """Whether a text may have one of the words; a longer word around one does no harm."""
+    low = F.lower(text)
+    long = [F.contains(low, F.lit(w)) for w in words if len(w) > 3]
+    short = "|".join(w for w in words if len(w) <= 3)
+    tests = long + ([low.rlike(f"(?<![a-z0-9])(?:{short})(?![a-z0-9])")] if short else [])
+    return reduce(operator.or_, tests, F.lit(False))
+
+
 def bigrams(words: Column) -> Column:
     """The different pairs of neighbouring words, each as one string."""
     pairs = F.zip_with(words, F.slice(words, 2, F.greatest(F.size(words), F.lit(1))), lambda a, b: F.concat_ws(" ", a, b))
@@ -59,18 +99,22 @@ def license_hits(docs: DataFrame, threshold: float = THRESHOLD, templates=TEMPLA
 
     unit counts lines from 0; -1 is the whole text. Dice of bigram sets of sizes m and n is at
     most 2 min(m, n) / (m + n), so only templates between n t / (2 - t) and n (2 - t) / t can
-    reach t; others are never joined. Bigrams meet templates in one equality join with a table
+    reach t; others are never joined. Texts and lines without any of a few words that a match must
+    have are left out first (see ``anchors``). Bigrams meet templates in one equality join with a table
     of fixed size. Of equal values the first template wins. Null texts are empty; rows with
     one doc_id are told apart by row and stay separate hits; null ids stay null.
     """
     low, high = threshold / (2 - threshold), (2 - threshold) / threshold
+    words = anchors(threshold, templates)
     rows = docs.select("doc_id", text_of().alias("text")).withColumn("row", F.monotonically_increasing_id())
+    rows = rows.filter(has_anchor(F.col("text"), words))
     lines = F.split("text", "\n")
     units = rows.select(
         "row", "doc_id",
         F.posexplode(F.when(F.size(lines) > 1, F.concat(F.array("text"), lines)).otherwise(lines)).alias("at", "line"),
         F.size(lines).alias("n_lines"),
     ).select("row", "doc_id", F.when(F.col("n_lines") > 1, F.col("at") - 1).otherwise(F.col("at")).alias("unit"), "line")
+    units = units.filter(has_anchor(F.col("line"), words))
     known = template_bigrams(docs.sparkSession, templates)
     made = units.select("row", "doc_id", "unit", bigrams(normalised_words(F.col("line"))).alias("b"))
     sized = made.withColumn("n", F.size("b")).filter("n > 0").select("row", "doc_id", "unit", "n", F.explode("b").alias("bigram"))

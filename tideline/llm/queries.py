@@ -95,7 +95,7 @@ WITH templates AS (
     UNION ALL SELECT doc_id, text FROM documents WHERE contains(text, chr(10)))
 ), words AS (
   SELECT doc_id, unit, list_filter(string_split(regexp_replace(
-    translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9]+', ' ', 'g'), ' '), lambda x: x <> '') AS w FROM lines
+    lower(line), '[^a-z0-9]+', ' ', 'g'), ' '), lambda x: x <> '') AS w FROM lines
 ), made AS (
   SELECT doc_id, unit, list_distinct([w[i] || ' ' || w[i + 1] FOR i IN range(1, len(w))]) AS b FROM words WHERE len(w) > 1
 ), shared AS (
