@@ -19,7 +19,7 @@ from pyspark.sql.window import Window
 from tideline.llm.common import stored
 
 CURVES, DIMS, BITS = 4, 6, 8
-BUCKET_ROWS, MAX_BUCKETS = 256, 4096
+BUCKETS, BUCKET_ROWS, MOST_ROWS = 64, 256, 50_000
 FIT_VECTORS, FIT_QUERIES, TARGET = 20_000, 200, 0.96
 QUERY_ROWS = 20_000
 
@@ -191,13 +191,15 @@ def fit_reach(curves: Curves, once: DataFrame, asked: DataFrame, k: int, n_queri
 
 def nearest(
     vectors: DataFrame, every: int = 50, k: int = 5, n_curves: int = CURVES, target: float = TARGET,
-    bucket_rows: int = BUCKET_ROWS, fit_vectors: int = FIT_VECTORS, fit_queries: int = FIT_QUERIES,
+    buckets: int = BUCKETS, bucket_rows: int = BUCKET_ROWS, most_rows: int = MOST_ROWS, fit_vectors: int = FIT_VECTORS, fit_queries: int = FIT_QUERIES,
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest by cosine that the index finds.
 
     Queries are the rows whose vec_id is divisible by ``every``, candidates all others. At most
     ``fit_vectors`` vectors fit the grids and bucket borders and ``fit_queries`` queries the
-    number of buckets searched to each side. Every vector is indexed. Nearest first, ties to
+    number of buckets searched to each side. Every vector is indexed. A curve has ``buckets``
+    buckets, fewer where they would have less than ``bucket_rows`` rows and more where they would
+    have over ``most_rows``; a task returns k + 1 rows for a query and bucket. Nearest first, ties to
     the smaller vec_id; all candidates if fewer than k. See ``distinct_vectors`` for what takes
     no part.
     """
@@ -208,7 +210,7 @@ def nearest(
         return empty
     share = min(1.0, 0.9 * fit_vectors / total)
     drawn = once.filter(F.pmod(F.xxhash64("vid"), F.lit(1 << 20)) <= int(share * (1 << 20))).limit(fit_vectors)
-    n_buckets = max(1, min(MAX_BUCKETS, total // bucket_rows))
+    n_buckets = max(1, min(buckets, total // bucket_rows), -(-total // most_rows))
     curves = fit_curves(vectors_of(drawn.select("vec").toPandas()["vec"]), n_buckets, n_curves)
     curves.reach = fit_reach(curves, once, asked, k, fit_queries, target)
 
