@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import re
 from collections.abc import Iterator
 
@@ -26,6 +27,8 @@ class CachedEncoder:
     """
 
     def __init__(self, path: str, limit: int = 350_000, longest: int = 48):
+        # A task has one core; the library's own threads would only wait for each other.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -39,20 +42,22 @@ class CachedEncoder:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(x.ids, dtype="<u4").tobytes() for x in found]
 
-    def _learn(self, pieces: set[str]) -> None:
+    def _learn(self, pieces: set[str]) -> list[str]:
+        """Puts all the pieces into the cache; returns those that are not to stay."""
         if len(self.cache) > self.limit:
             self.old, self.cache = self.cache, {}
         cache, old = self.cache, self.old
-        new = [p for p in pieces if p not in cache]
-        cache.update((p, old[p]) for p in new if p in old)
-        new = [p for p in new if p not in old]
+        new = pieces.difference(cache)
+        for piece in new.intersection(old):
+            cache[piece] = old[piece]
+        new.difference_update(old)
         marked = {p: m for p in new if (m := _WORD_MARK.fullmatch(p))}
-        words = {m[1] for m in marked.values()}.union(p for p in new if p not in marked)
-        words = [w for w in words if w not in cache]
+        words = list({m[1] for m in marked.values()}.union(new.difference(marked)).difference(cache))
         cache.update(zip(words, self._encode([" " + w for w in words])))
         marks = dict(zip(".,", self._encode([".", ","])))
         for piece, m in marked.items():
             cache[piece] = cache[m[1]] + marks[m[2]]
+        return [p for p in new if len(p) > self.longest]
 
     def encode(self, texts: list[str], together: int = 1 << 22) -> Iterator[np.ndarray]:
         """The ids of each text as little-endian uint32, some ``together`` characters at a time."""
@@ -71,16 +76,14 @@ class CachedEncoder:
         pieces: set[str] = set()
         for parts in cut:
             pieces.update(parts[1:])
-        long = {p for p in pieces if len(p) > self.longest}
-        self._learn(pieces - long)
-        kept = self.cache
-        if long:
-            kept = kept | dict(zip(long, self._encode([" " + p for p in long])))
-        get = kept.__getitem__
+        passing = self._learn(pieces)
+        get = self.cache.__getitem__
         for head, parts in zip(heads, cut):
             yield np.frombuffer(head + b"".join(map(get, parts[1:])), dtype="<u4")
+        for piece in passing:
+            del self.cache[piece]
 
 
-def encoder(path: str) -> CachedEncoder:
+def encoder(path: str, limit: int = 350_000) -> CachedEncoder:
     """This worker's encoder for a tokenizer file."""
-    return worker_object(f"byte_bpe:{path}", lambda: CachedEncoder(path))
+    return worker_object(f"byte_bpe:{path}:{limit}", lambda: CachedEncoder(path, limit))

@@ -52,9 +52,9 @@ class WaveletMatrix:
         now = ids.astype(np.uint16 if bits <= 16 else np.uint32)
         planes = []
         for shift in range(bits - 1, -1, -1):
-            ones = (now >> shift & 1).astype(bool)
+            ones = (now & now.dtype.type(1 << shift)) != 0
             planes.append(np.packbits(ones, bitorder="little"))
-            now = np.concatenate((now[~ones], now[ones]))
+            now = np.concatenate((now.compress(~ones), now.compress(ones)))
         return cls(len(ids), planes)
 
     def _ones(self, level: int, upto: int) -> int:
@@ -111,10 +111,10 @@ class WaveletMatrix:
         """The whole sequence, by undoing the parting plane by plane."""
         now = np.zeros(self.n, dtype=np.uint16 if len(self.planes) <= 16 else np.uint32)
         for level in range(len(self.planes) - 1, -1, -1):
-            ones = np.unpackbits(self.planes[level], count=self.n, bitorder="little").astype(bool)
+            ones = np.unpackbits(self.planes[level], count=self.n, bitorder="little").view(bool)
             above = np.empty_like(now)
-            above[~ones] = now[: self.zeros[level]]
-            above[ones] = now[self.zeros[level] :] | (1 << (len(self.planes) - 1 - level))
+            above[np.flatnonzero(~ones)] = now[: self.zeros[level]]
+            above[np.flatnonzero(ones)] = now[self.zeros[level] :] | now.dtype.type(1 << (len(self.planes) - 1 - level))
             now = above
         return now.astype("<u4")
 
@@ -166,7 +166,8 @@ def write_shards(
 
     def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         part, shard, before = TaskContext.get().partitionId(), 0, 0
-        encode = encoder(tokenizer).encode
+        # A smaller cache than elsewhere: the task holds a sorted partition and a shard besides.
+        pieces = encoder(tokenizer, 250_000)
         ids, doc_ids, size = [], [], 0
 
         def close() -> pd.DataFrame:
@@ -176,7 +177,7 @@ def write_shards(
 
         for batch in batches:
             known = batch["doc_id"].astype("Int64")
-            for doc_id, found in zip(known, encode(batch["text"].tolist())):
+            for doc_id, found in zip(known, pieces.encode(batch["text"].tolist(), 1 << 21)):
                 ids.append(np.append(found, np.uint32(end_id)))
                 doc_ids.append(None if doc_id is pd.NA else int(doc_id))
                 size += len(ids[-1])
