@@ -115,6 +115,11 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents"))
 
 
+@query("op6_license_passages")
+def op6_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_passages(table(spark, sf_dir, "documents"))
+
+
 @query("op7_quality_classifier")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
