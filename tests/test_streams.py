@@ -197,3 +197,21 @@ def test_context_over_batches(spark, folder):
     # A headline at the alert's very time may arrive only with the next batch.
     late = [r for r in rows if r[1] in (rows[69][1], rows[139][1])]
     assert len(late) == 2 and got == want
+
+
+def test_final_context_waits_for_the_horizon(spark, folder):
+    """Headlines after their alert, a far-future time, an alert behind the horizon; any split gives the same."""
+    at = lambda minutes: START + dt.timedelta(minutes=minutes)
+    rows = [
+        (1, at(1), "a", 1.0), (6, at(30), "a", 100.0), (2, at(20), "a", 2.0), (9, dt.datetime(9000, 1, 1), "a", 9.0), (3, at(29), "a", 3.0),
+        (7, at(31), "a", 100.0), (4, at(50), "a", 4.0), (5, at(200), "a", 5.0),
+    ]
+    for number, splits in enumerate(([8], [2, 8], [1, 2, 3, 4, 5, 6, 7, 8])):
+        root = f"{folder}/{number}"
+        handle = watch.context_handler(root, ["ticker"], time_cell("ts", 3600), 2, F.col("price") >= 100, F.col("price") < 100)
+        for batch_id, (low, high) in enumerate(zip([0, *splits], splits)):
+            handle(frame(spark, rows[low:high]), batch_id)
+        handle(frame(spark, [(8, at(40), "a", 100.0)]), len(splits))
+        got = watch.final_context(spark, root, ["ticker"], time_cell("ts", 3600), 2).collect()
+        assert sorted((r.alert.id, r["rank"], r.headline.id) for r in got) == [(6, 1, 3), (6, 2, 2), (7, 1, 3), (7, 2, 2)]
+        assert [r.id for r in spark.read.parquet(f"{root}/late/batch=*").collect()] == [8]

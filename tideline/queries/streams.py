@@ -480,11 +480,10 @@ def deep_analysis_query(spark, sf_dir):
 @query("stream_context", REGISTERED["asof_context"].sql)
 def stream_context(spark, sf_dir):
     root = scratch_dir(spark, "context")
-    handler = watch.context_handler(
-        root, ["user_id"], time_cell("ts", 86_400), 3, breakout.is_breakout(200.0), F.col("ticker").isin("view", "signup")
-    )
+    asked = (["user_id"], time_cell("ts", 86_400), 3)
+    handler = watch.context_handler(root, *asked, breakout.is_breakout(200.0), F.col("ticker").isin("view", "signup"))
     run.finish(run.each_batch(event_stream(spark, sf_dir), handler, f"{root}/checkpoint"))
-    found = run.batches_written(spark, f"{root}/context", _types("alert struct<id:bigint>, headline struct<id:bigint>, rank int"))
+    found = watch.final_context(spark, root, *asked)
     return found.select(F.col("alert.id").alias("alert_id"), F.col("headline.id").alias("headline_id"), "rank")
 
 

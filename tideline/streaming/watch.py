@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tideline.operators import asof, breakout, indicators, metadata
 from tideline.operators.insights import newest, top_rows
 from tideline.operators.ordered import micros
-from tideline.sinks.lake import publish_snapshot, snapshot
+from tideline.sinks.lake import latest_version, publish_snapshot, snapshot
 from tideline.sources.ticks import dead_letters, good_ticks, parsed
 
 Handler = Callable[[DataFrame, int], None]
@@ -98,33 +98,61 @@ def latest_handler(root: str) -> Handler:
 def context_handler(
     root: str, keys: list[str], cell: Column, k: int, is_alert: Column, is_headline: Column, late_by: int = 3600
 ) -> Handler:
-    """Each alert with the latest ``k`` headlines that arrived up to its time.
-
-    One stream carries both. An alert is answered in the batch it arrives in. The state is the
-    headlines of the last ``late_by`` seconds before the newest event time, and per key the last
-    ``k`` before those: so an alert up to ``late_by`` seconds late still finds every headline it
-    would have found in time. Under ``root``: ``context`` and ``headlines``.
+    """Each alert with the latest ``k`` headlines up to its time, joined by event time.
+
+    One stream carries both. The horizon is ``late_by`` seconds before the newest event time. An
+    alert gets a first answer in the batch it arrives in (``context``), from what has arrived by
+    then. It is held until the horizon passes it and then answered once more, for good (``final``):
+    headlines that arrived after it are in, so for rows that are not behind the horizon the split into
+    batches does not matter; which rows are behind it depends on the split, as with any watermark. An alert that is behind the horizon when it arrives goes to ``late`` without an answer. State
+    are the open alerts and the headlines after the horizon and per key the last ``k`` before it.
+
+    Event times more than ``late_by`` after the clock do not move the horizon, so one wrong time
+    in the far future closes nothing. Under ``root``: ``context``, ``final``, ``late`` and the states
+    ``headlines``, ``alerts`` and ``horizon``; ``final_context`` reads them.
     """
 
     def handle(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
         rows = batch.persist()
         try:
-            headlines = rows.filter(is_headline)
+            headlines, alerts, open_alerts, passed = rows.filter(is_headline), rows.filter(is_alert), None, None
             if batch_id > 0:
-                headlines = headlines.unionByName(snapshot(batch.sparkSession, f"{root}/headlines", batch_id - 1))
-            found = asof.latest_before(rows.filter(is_alert), headlines, keys, cell, k)
+                headlines = headlines.unionByName(snapshot(spark, f"{root}/headlines", batch_id - 1))
+                open_alerts = snapshot(spark, f"{root}/alerts", batch_id - 1)
+                passed = snapshot(spark, f"{root}/horizon", batch_id - 1).first()[0]
+            behind = F.lit(False) if passed is None else micros("ts") <= passed
+            alerts.filter(behind).write.mode("overwrite").parquet(f"{root}/late/batch={batch_id}")
+            alerts = alerts.filter(~behind)
+            found = asof.latest_before(alerts, headlines, keys, cell, k)
             found.write.mode("overwrite").parquet(f"{root}/context/batch={batch_id}")
-            newest_us = rows.select(micros("ts").alias("t")).unionAll(headlines.select(micros("ts"))).agg(F.max("t")).first()[0]
-            horizon = (newest_us or 0) - late_by * 1_000_000
-            recent = headlines.filter(micros("ts") > horizon)
-            before = top_rows(headlines.filter(micros("ts") <= horizon), keys, [F.desc("ts"), F.desc("id")], k).drop("rank")
+            clock = F.unix_micros(F.current_timestamp()) + late_by * 1_000_000
+            newest_us = rows.filter(micros("ts") <= clock).agg(F.max(micros("ts"))).first()[0]
+            marks = [t for t in (passed, None if newest_us is None else newest_us - late_by * 1_000_000) if t is not None]
+            horizon = max(marks, default=None)
+            closed = F.lit(False) if horizon is None else micros("ts") <= horizon
+            waiting = alerts if open_alerts is None else alerts.unionByName(open_alerts)
+            done = asof.latest_before(waiting.filter(closed), headlines, keys, cell, k)
+            done.write.mode("overwrite").parquet(f"{root}/final/batch={batch_id}")
+            publish_snapshot(waiting.filter(~closed), f"{root}/alerts", batch_id, keep=KEPT)
+            recent = headlines.filter(~closed)
+            before = top_rows(headlines.filter(closed), keys, [F.desc("ts"), F.desc("id")], k).drop("rank")
             publish_snapshot(recent.unionByName(before.select(*recent.columns)), f"{root}/headlines", batch_id, keep=KEPT)
+            publish_snapshot(spark.createDataFrame([(horizon,)], "horizon long"), f"{root}/horizon", batch_id, keep=KEPT)
         finally:
             rows.unpersist()
 
     return handle
 
 
+def final_context(spark: SparkSession, root: str, keys: list[str], cell: Column, k: int) -> DataFrame:
+    """The final answers below the ``root`` of a ``context_handler``, and those that alerts still
+    open would get if the stream ended now."""
+    last = latest_version(spark, f"{root}/alerts")
+    still = asof.latest_before(snapshot(spark, f"{root}/alerts", last), snapshot(spark, f"{root}/headlines", last), keys, cell, k)
+    return spark.read.schema(still.schema).parquet(f"{root}/final/batch=*").unionByName(still)
+
+
 def indicator_handler(root: str, period: int = 14, low: float = 30.0, high: float = 70.0) -> Handler:
     """RSI and MACD crossings on final candles as they come out.
 
