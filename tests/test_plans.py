@@ -67,3 +67,10 @@ def test_events_are_scanned_and_aggregated_once(spark, name, most):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert final.count("FileScan parquet") <= most
+
+
+def test_archive_returns_all_partitions_and_one_is_pruned(spark):
+    whole, events = QUERIES["stream_archive_all"](spark, SMALL), spark.read.parquet(f"{SMALL}/events.parquet")
+    assert {tuple(r) for r in whole.groupBy("ticker").count().collect()} == {tuple(r) for r in events.groupBy("event_type").count().collect()}
+    text = plan(QUERIES["stream_archive"](spark, SMALL))
+    assert "(ticker = purchase)" in text.split("PartitionFilters: [", 1)[1].split("]", 1)[0]

@@ -255,6 +255,18 @@ def stream_archive(spark, sf_dir):
     return stored.select("id", micros("ts").alias("ts_us"), "price", "ticker", F.date_format(F.col("dt").cast("timestamp"), "yyyy-MM-dd").alias("dt"))
 
 
+@query(
+    "stream_archive_all",
+    """SELECT event_id AS id, epoch_us(ts) AS ts_us, "value" AS price, event_type AS ticker, strftime(ts, '%Y-%m-%d') AS dt FROM events""",
+)
+def stream_archive_all(spark, sf_dir):
+    # Every partition that the archive wrote.
+    root = scratch_dir(spark, "archive")
+    run.finish(candles.archive(event_stream(spark, sf_dir), f"{root}/raw", f"{root}/checkpoint"))
+    stored = records.read_partitioned(spark, f"{root}/raw")
+    return stored.select("id", micros("ts").alias("ts_us"), "price", "ticker", F.date_format(F.col("dt").cast("timestamp"), "yyyy-MM-dd").alias("dt"))
+
+
 @query(
     "lake_roundtrip",
     """SELECT doc_id, sha256(text) AS digest, lang, CASE WHEN lang = 'en' THEN -1 ELSE n_chars END AS n_chars FROM documents""",
