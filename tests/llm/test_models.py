@@ -3,12 +3,15 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
+from tests.conftest import SMALL
 from tests.llm.cases import DOCS, docs_frame, labels_frame, values
 from tideline.llm import quality, rules, toxicity
 from tideline.llm.boosting import fit_forest, fit_isotonic
 from tideline.llm.common import table
+from tideline.llm.samples import labelled_sample
 
 BIG = "/root/testdata/sf0.1"
 
@@ -92,6 +95,63 @@ def test_scores_of_edge_rows(spark):
             assert fit(docs_frame(spark, []), labels).count() == 0
 
 
+@pytest.mark.parametrize("toxic", [0, 2, 4, 8])
+def test_few_toxic_labels_over_many_tasks(spark, toxic):
+    rows = [(i, f"plain words number {i} here" if i >= toxic else f"you zork idiot number {i}") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, int(i < toxic)) for i in range(60)], "doc_id long, quality int, toxic int").repartition(16)
+    scored = toxicity.toxicity(docs, labels).collect()
+    assert len(scored) == 60 and all(0 <= r.score <= 1 for r in scored)
+
+
+@pytest.mark.parametrize("fit", [toxicity.toxicity, quality.quality])
+def test_smallest_table(spark, fit):
+    docs, labels = table(spark, SMALL, "documents"), table(spark, SMALL, "labels")
+    rows = fit(docs, labels).collect()
+    assert sorted(r.doc_id for r in rows) == sorted(r.doc_id for r in docs.collect())
+
+
+def test_copies_that_disagree_are_one_row_whatever_the_order(spark):
+    rows = [(2 * i + b, f"text {i}", b) for i in range(100) for b in (0, 1)]
+    got = []
+    for order in (1, -1):
+        docs = spark.createDataFrame([r[:2] for r in rows[::order]], "doc_id long, text string")
+        labels = spark.createDataFrame([(r[0], r[2]) for r in rows[::order]], "doc_id long, toxic int")
+        got.append(sorted(map(tuple, labelled_sample(docs, labels, "toxic").collect())))
+    assert got[0] == got[1] and len(got[0]) > 50
+    both = labelled_sample(spark.createDataFrame([(1, "t"), (2, "t")], "doc_id long, text string"), spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, toxic int"), "toxic")
+    assert [r.y for r in both.collect()] == [1]
+
+
+def plain_toxicity(text, lexicon):
+    """The features, worked out word by word."""
+    words = [w for w in re.findall(r"[^\W\d_]+", text.lower())]
+    weight = {w: max([lexicon.get(w, 0.0)] + [lexicon.get(w[:k] + "*", 0.0) for k in range(3, 8) if k < len(w)]) for w in words}
+    bad = [i for i, w in enumerate(words) if weight[w] > 0 or w in toxicity.INSULTS]
+    you = [i for i, w in enumerate(words) if w in toxicity.SECOND_PERSON]
+    n, chars = max(1, len(words)), max(1, len(text))
+    kinds = {w for w in words if weight[w] > 0}
+    odd = re.findall(r"[^\W\d_]+[@$!0134*#.\-]+[^\W\d_]+(?:[@$!0134*#]+[^\W\d_]*)*", text)
+    plain = ["".join(c for c in x.lower().translate(toxicity.LEET) if c.isalnum()) for x in odd]
+    return [
+        np.log(1 + len(words)), 100 * sum(w in toxicity.INSULTS for w in words) / n, 100 * sum(weight[w] for w in words) / n,
+        np.log(1 + sum(weight[w] > 0 for w in words)), np.log(1 + len(kinds)), max([weight[w] for w in words], default=0.0),
+        100 * sum(any(abs(i - j) <= 5 for j in you) for i in bad) / n, 100 * len(you) / n,
+        sum("A" <= c <= "Z" for c in text) / chars, sum(len(x) >= 3 for x in re.findall(r"(?<!\w)[A-Z]+(?!\w)", text)) / n,
+        100 * text.count("!") / chars, 100 * text.count("?") / chars, 100 * sum(c in "#$%&*|<>@" for c in text) / chars,
+        len(odd) / n, np.log(1 + sum(p in toxicity.INSULTS or p in lexicon for p in plain)),
+        len(re.findall(r"([^\W\d_])\1\1", text)) / n, len(kinds) / max(1, len(set(words))),
+    ]
+
+
+def test_toxicity_features_by_brute_force(spark):
+    lexicon = {"zork": 2.0, "blah*": 1.5, "idi*": 1.0}
+    texts = [t or "" for d, t in DOCS if d != 7] + [r.text for r in table(spark, SMALL, "documents").collect() if len(r.text) < 20_000]
+    texts += ["You zork! BLAHBLAH sooo id!ot, st.upid you", "far " * 20 + "zork"]
+    got = toxicity.Features(lexicon).matrix(texts)
+    assert np.allclose(got, [plain_toxicity(t, lexicon) for t in texts], atol=1e-9)
+
+
 def test_learned_terms(spark):
     rows = [(f"some text {i} " + ("zork{0} blah".format("abcdefgh"[i % 8]) if i % 3 == 0 else "fine blah"), int(i % 3 == 0), 0) for i in range(300)]
     lexicon = toxicity.learn_lexicon(spark.createDataFrame(rows, "text string, y int, part int"))

@@ -114,6 +114,19 @@ def test_one_of_each(spark):
     assert simhash.one_of_each(docs_frame(spark, [])).count() == 0
 
 
+def test_one_id_with_texts_of_two_groups_stays_in_both(spark):
+    one, two = "first text of it with words", "quite another thing that stands elsewhere"
+    docs = docs_frame(spark, [(5, one), (5, two), (5, two), (6, one)])
+    assert sorted(r.text for r in simhash.one_of_each(docs).collect()) == sorted([one, two])
+
+
+@pytest.mark.parametrize("names", [["_id", "_hash"], ["row", "text_hash", "text_check", "kept", "root", "fp"], ["a.b"]])
+def test_one_of_each_takes_any_columns(spark, names):
+    docs = spark.createDataFrame([(1, "a b c", *names), (2, "a b c", *names)], ["doc_id", "text", *names])
+    kept = simhash.one_of_each(docs)
+    assert kept.columns == docs.columns and [tuple(r) for r in kept.collect()] == [(1, "a b c", *names)]
+
+
 def test_other_distances_are_refused(spark):
     with pytest.raises(ValueError):
         simhash.near_duplicates(docs_frame(spark), max_bits=3)

@@ -126,6 +126,35 @@ def test_packing_edges(spark):
         packing.pack(spark.createDataFrame([(65,)], "length long"), 64)
 
 
+@pytest.mark.parametrize("size", [64, 2048, 4096, 100_000])
+def test_packing_has_no_holes_at_any_size(spark, size):
+    rng = random.Random(size)
+    lengths = [rng.choice([size // 3, size, rng.randint(1, size)]) for _ in range(400)]
+    rows = packing.pack(spark.createDataFrame([(n,) for n in lengths], "length long"), size, 50).collect()
+    assert sorted(r.length for r in rows) == sorted(lengths)
+    check_packed(rows, size)
+
+
+def test_ids_beyond_the_bits_are_refused():
+    with pytest.raises(ValueError):
+        wavelet.WaveletMatrix.of(np.array([1, 70_000], dtype=np.uint32), 16)
+    assert wavelet.WaveletMatrix.of(np.array([1, 70_000], dtype=np.uint32), 17).ids().tolist() == [1, 70_000]
+
+
+def test_select_reads_single_blocks():
+    ids = np.random.default_rng(3).integers(0, 4, 100_000, dtype=np.uint32)
+    matrix = wavelet.Shard.load(wavelet.Shard(wavelet.WaveletMatrix.of(ids, 17), [1], np.array([len(ids)]), 0).dump()).matrix
+    assert not matrix.planes.opened
+    for token in range(5):
+        want = np.flatnonzero(ids == token)
+        for nth in {0, 1, len(want) // 2, len(want) - 1} & set(range(len(want))):
+            assert matrix.select(token, nth) == want[nth]
+        assert matrix.find(token).tolist() == want.tolist()
+        for nth in (-1, len(want)):
+            with pytest.raises(IndexError):
+                matrix.select(token, nth)
+
+
 @pytest.mark.parametrize("n", [0, 1, 7, 512, 513, 5000])
 def test_wavelet_matrix(n):
     rng = np.random.default_rng(n)

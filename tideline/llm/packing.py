@@ -79,6 +79,20 @@ def places(bins: list[Bin]) -> dict[str, np.ndarray]:
     return dict(zip(names, np.array(rows, dtype=np.int64).reshape(-1, 5).T))
 
 
+def place_of(where: dict[str, np.ndarray], length: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """The row of ``where`` for each (length, rank), for lengths and ranks of any size.
+
+    Ranks of one length are contiguous in ``where``, so a row's number is found by its length's
+    first row and a search among that length's ranks; the two keys stay two columns.
+    """
+    at = np.empty(len(length), dtype=np.int64)
+    for value in np.unique(length):
+        first, end = np.searchsorted(where["length"], (value, value + 1))
+        mine = length == value
+        at[mine] = first + np.searchsorted(where["rank"][first:end], rank[mine], side="right") - 1
+    return at
+
+
 def pack(pieces: DataFrame, size: int = SIZE, cell_rows: int = CELL_ROWS) -> DataFrame:
     """``pieces`` (a column ``length`` from 1 to ``size``, any others) with ``sequence_id`` and
     ``offset``: as few sequences as minimum bin slack finds, gapless from 0.
@@ -123,11 +137,9 @@ def pack(pieces: DataFrame, size: int = SIZE, cell_rows: int = CELL_ROWS) -> Dat
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.select(own).schema)
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        # One sorted number for (length, rank): both are below 2**11 and 2**52.
-        starts = where["length"] * (1 << 52) + where["rank"]
         for batch in batches:
             rank = batch["_pack_rank"].to_numpy(np.int64)
-            at = np.searchsorted(starts, batch["length"].to_numpy(np.int64) * (1 << 52) + rank, side="right") - 1
+            at = place_of(where, batch["length"].to_numpy(np.int64), rank)
             nth = rank - where["rank"][at]
             copies = where["copies"][at]
             batch["sequence_id"] = where["sequence"][at] + nth // copies

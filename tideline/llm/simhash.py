@@ -133,12 +133,20 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX
 def one_of_each(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
     """``docs`` with one row of each group: the one with the smallest doc_id.
 
-    Repeated rows of that id count once. Where no row of a group has an id, one of them stays.
+    A row is known by (doc_id, text): equal rows count once, but a doc_id that stands for texts of
+    several groups stays once for each of them. Of several texts of that id in one group the one with the
+    smallest hash stays. Where no row of a group has an id, one of them stays. Columns of any name
+    pass through.
     """
-    found = stored(classified(docs.select("doc_id", "text"), shingle, max_bits), "classes")
-    keep = found.filter("doc_id = component_id").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
-    own = (F.col("doc_id") == F.col("_id")) & (F.xxhash64("text") == F.col("_hash"))
-    kept = docs.join(keep, own, "left_semi").dropDuplicates(["doc_id"])
-    lone = found.filter("component_id is null").groupBy("root").agg(F.min("text_hash").alias("_hash")).select("_hash")
-    no_id = docs.filter("doc_id is null").join(lone, F.xxhash64("text") == F.col("_hash"), "left_semi")
-    return kept.unionByName(no_id.dropDuplicates(["text"]))
+    found = classified(docs.select("doc_id", "text"), shingle, max_bits)
+    first = found.filter("doc_id <=> component_id").groupBy("root").agg(
+        F.min(F.struct("doc_id", "text_hash")).alias("kept")
+    )
+    keep = stored(first.select("kept.doc_id", "kept.text_hash").distinct(), "kept")
+    whole = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("doc_id"),
+        F.xxhash64("text").alias("text_hash"), F.xxhash64(F.lit(1), F.col("text")).alias("text_check"),
+    )
+    own = (whole["doc_id"].eqNullSafe(keep["doc_id"])) & (whole["text_hash"] == keep["text_hash"])
+    rows = whole.join(keep, own, "left_semi")
+    return rows.dropDuplicates(["doc_id", "text_hash", "text_check"]).select("row.*")

@@ -127,7 +127,9 @@ def _term_counts(sample: DataFrame, wanted: frozenset[str] | None = None) -> Dat
             for text in batch["text"]:
                 own = {t for w in set(_WORD.findall(text.lower())) for t in terms(w)}
                 found.update(own if wanted is None else own & wanted)
-        yield pd.DataFrame({"term": list(found), "n": list(found.values())})
+        # A frame without rows has no string column for Arrow, so a task that found nothing gives none.
+        if found:
+            yield pd.DataFrame({"term": list(found), "n": list(found.values())})
 
     return sample.select("text").mapInPandas(count, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
 

@@ -2,7 +2,8 @@
 
 Spark writes the images as binary cells of a Parquet table, so that they land on any store and
 a lost task is simply run again. An image is complete in itself: ``Shard.load`` serves token
-access, counting and occurrence lookup from its bit planes without decoding the rest.
+access, counting and occurrence lookup from its bit planes, each opened when first read, by rank
+and select on stored block counts, without decoding the sequence.
 
 Image: ``TLWM`` | version u8 | planes u8 | tokens u64 | documents u64 | tokens before it in its
 part u64 | then length-prefixed zstd frames: document ids (i64), null flags (u8), document
@@ -13,7 +14,7 @@ from __future__ import annotations
 
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -35,10 +36,25 @@ FILES = "part int, shard int, n_tokens long, image binary"
 _BYTE_ONES = np.array([bin(i).count("1") for i in range(256)], dtype=np.uint8)
 
 
+class PackedPlanes(Sequence):
+    """Bit planes that stay compressed until they are first read."""
+
+    def __init__(self, frames: list[bytes]):
+        self.frames, self.opened = frames, {}
+
+    def __len__(self) -> int:
+        return len(self.frames)
+
+    def __getitem__(self, level: int) -> np.ndarray:
+        if level not in self.opened:
+            self.opened[level] = np.frombuffer(zstandard.decompress(self.frames[level]), np.uint8)
+        return self.opened[level]
+
+
 class WaveletMatrix:
     """A sequence of unsigned ids as bit planes, each stably parted by its bits."""
 
-    def __init__(self, n: int, planes: list[np.ndarray], ones: np.ndarray | None = None):
+    def __init__(self, n: int, planes: Sequence[np.ndarray], ones: np.ndarray | None = None):
         self.n, self.planes = n, planes
         per = BLOCK // 8
         self.before = ones if ones is not None else np.array(
@@ -49,6 +65,8 @@ class WaveletMatrix:
 
     @classmethod
     def of(cls, ids: np.ndarray, bits: int) -> WaveletMatrix:
+        if len(ids) and int(ids.max()) >> bits:
+            raise ValueError(f"id {int(ids.max())} needs more than {bits} bits")
         now = ids.astype(np.uint16 if bits <= 16 else np.uint32)
         planes = []
         for shift in range(bits - 1, -1, -1):
@@ -87,25 +105,53 @@ class WaveletMatrix:
 
     def rank(self, token: int, upto: int) -> int:
         """How often the token is among the first ``upto``."""
-        if token >> len(self.planes):
+        if token < 0 or token >> len(self.planes):
             return 0
         start, end = self._range(token, upto)
         return end - start
 
+    def _select(self, level: int, bit: int, nth: np.ndarray) -> np.ndarray:
+        """Where in a plane the nth bits (from 0, rising) of this kind lie: a binary search over
+        the counts stored for the blocks, then a scan of the blocks found and of no others."""
+        if not len(nth):
+            return np.empty(0, dtype=np.int64)
+        counts = self.before[level].astype(np.int64)
+        if not bit:
+            counts = np.minimum(np.arange(len(counts), dtype=np.int64) * BLOCK, self.n) - counts
+        block = np.searchsorted(counts, nth, side="right") - 1
+        wanted, which = np.unique(block, return_inverse=True)
+        per = BLOCK // 8
+        plane = self.planes[level]
+        rows = np.zeros((len(wanted), per), dtype=np.uint8)
+        for i, b in enumerate(wanted):
+            part = plane[b * per : (b + 1) * per]
+            rows[i, : len(part)] = part
+        kind = np.unpackbits(rows if bit else ~rows, axis=1, bitorder="little")
+        row, place = np.nonzero(kind)
+        first = np.searchsorted(row, np.arange(len(wanted)))
+        return block * BLOCK + place[first[which] + nth - counts[block]]
+
+    def _places(self, token: int, first: int, nth: np.ndarray) -> np.ndarray:
+        """Places of the token's nth occurrences, from the last plane up to the first."""
+        at = first + nth
+        for level in range(len(self.planes) - 1, -1, -1):
+            bit = token >> (len(self.planes) - 1 - level) & 1
+            at = self._select(level, bit, at - self.zeros[level] if bit else at)
+        return at
+
     def find(self, token: int) -> np.ndarray:
         """All places of the token, in order."""
-        if token >> len(self.planes):
+        if token < 0 or token >> len(self.planes):
             return np.empty(0, dtype=np.int64)
         start, end = self._range(token, self.n)
-        at = np.arange(start, end, dtype=np.int64)
-        for level in range(len(self.planes) - 1, -1, -1):
-            bits = np.unpackbits(self.planes[level], count=self.n, bitorder="little").astype(bool)
-            at = np.flatnonzero(bits)[at - self.zeros[level]] if token >> (len(self.planes) - 1 - level) & 1 else np.flatnonzero(~bits)[at]
-        return at
+        return self._places(token, start, np.arange(end - start, dtype=np.int64))
 
     def select(self, token: int, nth: int) -> int:
-        """The place of the nth occurrence, from 0."""
-        return int(self.find(token)[nth])
+        """The place of the nth occurrence, from 0, reading one block of each plane."""
+        start, end = self._range(token, self.n) if token >= 0 and not token >> len(self.planes) else (0, 0)
+        if not 0 <= nth < end - start:
+            raise IndexError(nth)
+        return int(self._places(token, start, np.array([nth], dtype=np.int64))[0])
 
     def ids(self) -> np.ndarray:
         """The whole sequence, by undoing the parting plane by plane."""
@@ -144,13 +190,14 @@ class Shard:
         if magic != MAGIC or version != 1:
             raise ValueError("not a shard image")
         at, frames = struct.calcsize(HEAD), []
-        for _ in range(4 + planes):
+        for i in range(4 + planes):
             (size,) = struct.unpack_from("<Q", image, at)
-            frames.append(zstandard.decompress(image[at + 8 : at + 8 + size]))
+            frame = image[at + 8 : at + 8 + size]
+            frames.append(zstandard.decompress(frame) if i < 4 else frame)
             at += 8 + size
         ids, empty, lengths = np.frombuffer(frames[0], "<i8"), np.frombuffer(frames[1], np.uint8), np.frombuffer(frames[2], "<u4")
         before = np.frombuffer(frames[3], "<u4").reshape(planes, -1)
-        matrix = WaveletMatrix(n, [np.frombuffer(f, np.uint8) for f in frames[4:]], before)
+        matrix = WaveletMatrix(n, PackedPlanes(frames[4:]), before)
         return cls(matrix, [None if e else int(i) for i, e in zip(ids, empty)], lengths, start)
 
 
