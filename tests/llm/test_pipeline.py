@@ -60,10 +60,10 @@ def test_each_stage_takes_edge_rows(spark, rows):
 def test_stages_are_in_order():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "quality_classifier", "simhash_dedup", "best_fit_packing"]
     assert "pipeline" in spark_entry.queries()
-    assert {f"op{n}" for n in range(1, 11)} <= {n.split("_")[0] for n in spark_entry.queries()}
+    assert {f"op{n}" for n in range(1, 14)} <= {n.split("_")[0] for n in spark_entry.queries()}
 
 
-@pytest.mark.parametrize("name", ["op1_chat_format", "op6_license_scan"])
+@pytest.mark.parametrize("name", ["op1_chat_format", "op6_license_scan", "op11_decontamination", "op12_centroid_clusters"])
 def test_sql_gives_the_same(spark, name):
     duckdb = pytest.importorskip("duckdb")
     db = duckdb.connect()

@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tideline.llm import ann, chat, licenses, packing, quality, rules, simhash, toxicity, wavelet, word_bpe
+from tideline.llm import ann, chat, clustering, decontamination, licenses, packing, periodic, quality, rules, simhash, toxicity, wavelet, word_bpe
 from tideline.llm.common import table
 from tideline.queries.registry import Build, Registered
 from tideline.session import scratch_dir
@@ -140,3 +141,83 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_word_bpe")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return word_bpe.encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+_ITEM_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
+
+def _words_sql(table_name: str) -> str:
+    return f"regexp_extract_all(translate(coalesce({table_name}.text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_ITEM_WORD}')"
+
+
+DECONTAMINATION_SQL = f"""
+WITH docs AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, doc_id, {_words_sql("documents")} AS w FROM documents
+), items AS (
+  SELECT coalesce(item_id::VARCHAR, '') AS item, {_words_sql("benchmark")} AS w FROM benchmark
+), windows AS MATERIALIZED (
+  SELECT DISTINCT item, n, unnest([array_to_string(w[i : i + n - 1], ' ') FOR i IN range(1, len(w) - n + 2)]) AS win
+  FROM (SELECT item, w, least({decontamination.WINDOW}, len(w)) AS n FROM items WHERE len(w) > 0)
+), found AS MATERIALIZED (
+  SELECT r, s, n, win FROM (
+    SELECT r, n, unnest(range(1, len(w) - n + 2)) AS s, unnest([array_to_string(w[i : i + n - 1], ' ') FOR i IN range(1, len(w) - n + 2)]) AS win
+    FROM docs, (SELECT DISTINCT n FROM windows) WHERE len(w) >= n
+  ) SEMI JOIN windows USING (n, win)
+), hit AS (
+  SELECT r, count(DISTINCT p)::BIGINT AS n_hit FROM (SELECT r, unnest(range(s, s + n)) AS p FROM found) GROUP BY r
+), named AS (
+  SELECT r, count(*)::BIGINT AS n_items, string_agg(item, ',' ORDER BY item) AS names
+  FROM (SELECT DISTINCT r, item FROM found JOIN windows USING (n, win)) GROUP BY r
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(names, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM docs LEFT JOIN hit USING (r) LEFT JOIN named USING (r)
+"""
+
+
+@query("op11_decontamination", DECONTAMINATION_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontamination.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated"
+    )
+
+
+def _clustering_sql(rounds: int) -> str:
+    """Every round as two tables: the vectors' clusters, then the centroids moved."""
+    size, scale = clustering.SIZE, clustering.SCALE
+
+    def assigned(i: int) -> str:
+        return f"""a{i} AS MATERIALIZED (
+  SELECT r, arg_min(c, {{'d': d, 'c': c}}) AS c, min(d) AS distance FROM (
+    SELECT r, c, sum((x - m) * (x - m)) AS d FROM v JOIN c{i} USING (dim) GROUP BY r, c) GROUP BY r)"""
+
+    steps = []
+    for i in range(rounds):
+        steps += [assigned(i), f"""c{i + 1} AS MATERIALIZED (
+  SELECT c, dim, coalesce(f, m) AS m FROM c{i} LEFT JOIN (
+    SELECT c, dim, floor(sum(x) / count(*))::BIGINT AS f FROM v JOIN a{i} USING (r) GROUP BY c, dim) USING (c, dim))"""]
+    steps.append(assigned(rounds))
+    return f"""
+WITH e AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, [floor({scale} * x::DOUBLE)::BIGINT FOR x IN embedding] AS w FROM embeddings
+  WHERE len(embedding) = {size} AND len([x FOR x IN embedding IF x IS NOT NULL AND isfinite(x)]) = {size}
+), v AS MATERIALIZED (SELECT r, unnest(range({size})) AS dim, unnest(w) AS x FROM e
+), c0 AS MATERIALIZED (SELECT c, unnest(range({size})) AS dim, unnest(w) AS m FROM (
+  SELECT row_number() OVER (ORDER BY sha256('{clustering.SEED}:' || coalesce(vec_id::VARCHAR, '')), w) - 1 AS c, w FROM e) WHERE c < {clustering.K}
+), {", ".join(steps)}, digests AS (
+  SELECT c, sha256(string_agg(m::VARCHAR, ',' ORDER BY dim)) AS centroid_sha256 FROM c{rounds} GROUP BY c)
+SELECT vec_id, c::INTEGER AS cluster, distance::BIGINT AS distance, (sum(distance) OVER (PARTITION BY c))::BIGINT AS cluster_inertia,
+  (sum(distance) OVER ())::BIGINT AS inertia, centroid_sha256
+FROM a{rounds} JOIN e USING (r) JOIN digests USING (c)
+"""
+
+
+@query("op12_centroid_clusters", _clustering_sql(clustering.ROUNDS))
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.cluster(table(spark, sf_dir, "embeddings"))
+
+
+@query("op13_periodic_runs")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.periodic_runs(periodic.with_repeats(table(spark, sf_dir, "documents")))
