@@ -83,6 +83,6 @@ def test_the_rarest_shingle_is_the_necessary_one(spark):
     scanned = decontamination.occurrences(docs, parts)
     assert scanned.filter("size(found) > 0").count() == 31
     found = decontamination.contained_windows(scanned, parts)
-    assert [r.n_hit for r in found.collect()] == [10]
+    assert [(r.start, r.n) for r in found.collect()] == [(0, 10)]
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "Cartesian" not in plan and "NestedLoop" not in plan

@@ -123,6 +123,41 @@ def test_copies_that_disagree_are_one_row_whatever_the_order(spark):
     assert [r.y for r in both.collect()] == [1]
 
 
+def plain_statistics(text):
+    """The document statistics, character by character and word by word."""
+    words, now = [], ""
+    for c in text + " ":
+        if c in " \t\n\x0b\x0c\r":
+            words += [now] if now else []
+            now = ""
+        else:
+            now += c
+    n, chars = max(1, len(words)), max(1, len(text))
+    sizes = [len(w) for w in words] or [0]
+    lines = [x for x in text.split("\n") if not all(c.isspace() for c in x)]
+    n_lines = max(1, len(lines))
+    letter = [bool(re.match(r"[^\W\d_]", c)) for c in text]
+    symbols, marks = "#*$%&|<>", ".,;:!?"
+    bare = [w.strip(".,;:!?\"'()") for w in words]
+    return [
+        np.log(1 + len(text)), np.log(1 + len(words)), sum(sizes) / len(sizes), np.log(1 + max(sizes)), sum(s <= 3 for s in sizes) / len(sizes),
+        len(set(words)) / n, max([words.count(w) for w in set(words)], default=0) / n,
+        1 - len(set(zip(words, words[1:]))) / max(1, len(words) - 1) if len(words) > 1 else 0.0,
+        np.log(1 + len(lines)), np.log(1 + len(words) / n_lines), 1 - len(set(lines)) / n_lines if lines else 0.0,
+        np.log(1 + max([len(x) for x in lines], default=0)), 100 * sum(c in symbols for c in text) / chars,
+        sum(not w.isalnum() and not b.isalnum() for w, b in zip(words, bare)) / n, sum(c == "|" for c in text) / n,
+        sum("0" <= c <= "9" for c in text) / chars, sum("A" <= c <= "Z" for c in text) / max(1, sum(letter)), sum(letter) / chars,
+        sum(w[0].isalpha() for w in words) / n, sum(c in marks for c in text) / n,
+        sum(x.rstrip()[-1] in ".!?:;\"'" for x in lines) / n_lines, sum(ord(c) > 127 for c in text) / chars,
+        sum(c == " " for c in text) / chars, sum(c == "." for c in text) / n,
+    ]
+
+
+def test_quality_statistics_by_brute_force(spark):
+    texts = [t or "" for d, t in DOCS if d != 7] + [r.text for r in table(spark, SMALL, "documents").collect() if len(r.text) < 3000]
+    assert np.allclose([quality.statistics(t) for t in texts], [plain_statistics(t) for t in texts], atol=1e-9)
+
+
 def plain_toxicity(text, lexicon):
     """The features, worked out word by word."""
     words = [w for w in re.findall(r"[^\W\d_]+", text.lower())]

@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tideline.llm.common import stored, text_of
@@ -113,16 +113,20 @@ def key_filter(parts: DataFrame) -> tuple[np.ndarray, int, list[int]]:
     return table.view(np.uint64), bits, sizes
 
 
-def occurrences(docs: DataFrame, parts: DataFrame) -> DataFrame:
-    """One stored row per document: row, doc_id, n_words, words (one text, null without
-    finds) and ``found``, an array of (size, at, key) that pass the filter of benchmark keys."""
+def occurrences(docs: DataFrame, parts: DataFrame, window: int = WINDOW) -> DataFrame:
+    """One stored row per document: row, doc_id, n_words and ``found``, an array of (size, at, key, first,
+    around) for shingles that pass the filter of benchmark keys.
+
+    ``around`` are the words, from number ``first``, that any window with this shingle can reach, so windows
+    are compared word by word where they are found and no text is shuffled.
+    """
     table, bits, sizes = key_filter(parts)
-    schema = "doc_id long, n_words long, words string, found array<struct<size:int,at:long,key:long>>"
+    schema = "doc_id long, n_words long, found array<struct<size:int,at:long,key:long,first:long,around:string>>"
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         down, low = np.uint64(64 - bits), np.uint64(63)
         for batch in batches:
-            counts, texts, finds = [], [], []
+            counts, finds = [], []
             for text in batch["text"]:
                 words = words_of(text)
                 found = []
@@ -130,64 +134,54 @@ def occurrences(docs: DataFrame, parts: DataFrame) -> DataFrame:
                     keys = shingle_keys(words, size)
                     slots = keys >> down
                     hit = np.flatnonzero(table[slots >> np.uint64(6)] >> (slots & low) & np.uint64(1))
-                    found += [{"size": size, "at": int(at), "key": int(key)} for at, key in zip(hit, keys[hit].view(np.int64))]
+                    for at, key in zip(hit.tolist(), keys[hit].view(np.int64).tolist()):
+                        first = max(0, at + size - window)
+                        found.append({"size": size, "at": at, "key": key, "first": first, "around": b" ".join(words[first : at + window]).decode()})
                 counts.append(len(words))
-                texts.append(b" ".join(words).decode() if found else None)
                 finds.append(found)
-            yield pd.DataFrame(
-                {"doc_id": batch["doc_id"].astype("Int64"), "n_words": np.array(counts, dtype=np.int64), "words": pd.array(texts, dtype="string"), "found": finds}
-            )
+            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "n_words": np.array(counts, dtype=np.int64), "found": finds})
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).mapInPandas(scan, schema)
     return stored(rows.withColumn("row", F.monotonically_increasing_id()), "occurrences")
 
 
 def contained_windows(scanned: DataFrame, parts: DataFrame) -> DataFrame:
-    """(row, n_hit, wins): per document with an occurring window, its words inside any occurrence
-    and the windows that occur.
+    """(row, start, n, win) of every occurrence of a window in a document.
 
     Every window's necessary shingle is the rarest of its shingles in all documents (ties: the first);
     a window one of whose shingles never occurs cannot occur. Counting combines in the tasks
     first, so a passage that a third of the documents share costs a row per task and shingle.
     """
-    places = stored(
-        scanned.filter("size(found) > 0")
-        .select("row", "n_words", F.explode("found").alias("f"))
-        .select("row", "n_words", "f.size", "f.at", "f.key"),
-        "places",
+    places = (
+        scanned.filter("size(found) > 0").select("row", "n_words", F.explode("found").alias("f")).select("row", "n_words", "f.*")
     )
     counts = places.groupBy("size", "key").agg(F.count("*").alias("times"))
     ordered = parts.join(counts, ["size", "key"], "left").groupBy("win", "words", "n").agg(
         F.min(F.struct(F.coalesce("times", F.lit(0)).alias("times"), "k", "size", "key")).alias("rarest")
     )
-    prefix = ordered.filter("rarest.times > 0").select("win", F.col("words").alias("wanted"), "n", "rarest.k", "rarest.size", "rarest.key")
-    # The whole window must lie within the document.
-    starts = (
+    prefix = stored(
+        ordered.filter("rarest.times > 0").select("win", F.col("words").alias("wanted"), "n", "rarest.k", "rarest.size", "rarest.key"), "prefix"
+    )
+    own = F.slice(F.split("around", " "), (F.col("start") - F.col("first") + 1).cast("int"), F.col("n"))
+    return (
         places.join(prefix, ["size", "key"])
         .withColumn("start", F.col("at") - F.col("k"))
+        # The whole window must lie within the document.
         .filter("start >= 0 and start + n <= n_words")
-        .select("row", F.struct("start", "n", "win", "wanted").alias("c"))
+        .filter(F.array_join(own, " ") == F.col("wanted"))
+        .select("row", "start", "n", "win")
     )
-    # A row has at most as many candidates as it has words times the windows around a shingle.
-    asked = starts.groupBy("row").agg(F.collect_list("c").alias("asked"))
-    pairs = scanned.filter("words is not null").select("row", "words").join(asked, "row")
 
-    def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for row, text, wanted in zip(batch["row"], batch["words"], batch["asked"]):
-                words, hit, wins = text.split(" "), np.zeros(text.count(" ") + 2, dtype=np.int64), set()
-                for c in wanted:
-                    start, end = c["start"], c["start"] + c["n"]
-                    if " ".join(words[start:end]) == c["wanted"]:
-                        hit[start] += 1
-                        hit[end] -= 1
-                        wins.add(c["win"])
-                if wins:
-                    out.append((row, int((np.cumsum(hit) > 0).sum()), sorted(wins)))
-            yield pd.DataFrame(out, columns=["row", "n_hit", "wins"]).astype({"row": "int64", "n_hit": "int64"})
 
-    return pairs.mapInPandas(verify, "row long, n_hit long, wins array<string>")
+def words_covered(spans: Column) -> Column:
+    """How many words an array of (start, n), sorted, covers; spans may overlap."""
+    zero = F.struct(F.lit(0).cast("long").alias("end"), F.lit(0).cast("long").alias("total"))
+    end = lambda x: x["start"] + x["n"]
+    step = lambda acc, x: F.struct(
+        F.greatest(acc["end"], end(x)).alias("end"),
+        (acc["total"] + F.greatest(F.lit(0).cast("long"), end(x) - F.greatest(acc["end"], x["start"]))).alias("total"),
+    )
+    return F.aggregate(spans, zero, step, lambda acc: acc["total"])
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, shingle: int = SHINGLE) -> DataFrame:
@@ -199,16 +193,16 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, shing
     Repeated rows are answered alike; no documents give no rows, no items leave all clean.
     """
     parts, named = item_windows(items, window, shingle)
-    scanned = occurrences(docs, parts)
+    scanned = occurrences(docs, parts, window)
     found = stored(contained_windows(scanned, parts), "contained")
+    hits = found.groupBy("row").agg(words_covered(F.array_sort(F.collect_set(F.struct("start", "n")))).alias("n_hit"))
     owners = (
-        found.select("row", F.explode("wins").alias("win")).join(named, "win").select("row", "item").distinct()
+        found.select("row", "win").distinct().join(named, "win").select("row", "item").distinct()
         .groupBy("row").agg(F.array_sort(F.collect_list("item")).alias("items"))
     )
-    hits = found.select("row", "n_hit").join(owners, "row")
     none = F.array().cast("array<string>")
     return (
-        scanned.select("row", "doc_id", "n_words").join(hits, "row", "left")
+        scanned.select("row", "doc_id", "n_words").join(hits.join(owners, "row"), "row", "left")
         .select(
             "doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
             F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"),

@@ -51,7 +51,7 @@ def statistics(text: str) -> list[float]:
         sum(c for w, c in counts.items() if not w.isalnum() and not w.strip(".,;:!?\"'()").isalnum()) / n,
         tally["|"] / n, digits / chars, capitals / max(1, letters), letters / chars,
         sum(c for w, c in counts.items() if w[0].isalpha()) / n, (sum(tally.values()) - symbols) / n,
-        sum(x.rstrip()[-1] in ".!?:;\"'" for x in lines) / line_count, 1 - ascii_only / chars,
+        sum(x.rstrip()[-1] in ".!?:;\"'" for x in lines) / line_count, (len(text) - ascii_only) / chars,
         text.count(" ") / chars, tally["."] / n,
     ]
 
