@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,14 +19,40 @@ from tideline.queries.tables import STAGE_SQL, TASKS_SQL, documents, schedules,
 from tideline.session import scratch_dir
 from tideline.sinks import lake
 from tideline.sources import files, records
-from tideline.streaming import candles, run, watch
+from tideline.streaming import candles, run, stateful, watch
 
 
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events table as a stream of ticks."""
     schema = table(spark, sf_dir, "events").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    return stream.select(
+    return as_ticks(stream)
+
+
+BATCHES = 5
+
+
+def arriving_events(spark: SparkSession, sf_dir: str, batches: int = BATCHES) -> DataFrame:
+    """The events as a stream of ``batches`` files in the order of their times, one per micro-batch.
+
+    A stream takes files by their modification times, so these are set to follow one another.
+    """
+    root = f"{scratch_dir(spark, 'arrivals')}/events"
+    events = table(spark, sf_dir, "events")
+    events.repartitionByRange(batches, "ts", "event_id").sortWithinPartitions("ts", "event_id").write.parquet(root)
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(root)
+    system = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    paths = sorted((s.getPath() for s in system.listStatus(folder) if s.getPath().getName().startswith("part-")), key=lambda p: p.getName())
+    start = int(time.time() * 1000) - 60_000
+    for number, path in enumerate(paths):
+        system.setTimes(path, start + 1000 * number, -1)
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(root)
+    return as_ticks(stream)
+
+
+def as_ticks(events: DataFrame) -> DataFrame:
+    return events.select(
         F.col("event_id").alias("id"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("ticker"),
         F.col("value").alias("price"), "user_id",
     )
@@ -51,15 +79,13 @@ def stream_ohlcv(spark, sf_dir):
     return shown(spark.read.schema(closed.schema).parquet(f"{root}/out"), "open", "high", "low", "close", "volume", "n")
 
 
-ALERT_COLUMNS = "ticker string, ts timestamp, id bigint, price double, history_len bigint, history array<double>"
-
-
 @query("stream_breakout", REGISTERED["breakout_history"].sql)
 def stream_breakout(spark, sf_dir):
+    # The price history is Spark's state, carried over several micro-batches.
     root = scratch_dir(spark, "breakout")
-    handler = watch.breakout_handler(root, time_cell("ts", 3600), 200.0)
-    run.finish(run.each_batch(event_stream(spark, sf_dir), handler, f"{root}/checkpoint"))
-    alerts = run.batches_written(spark, f"{root}/alerts", _types(ALERT_COLUMNS))
+    found = stateful.breakouts(arriving_events(spark, sf_dir), 200.0)
+    run.finish(run.to_files(found, f"{root}/out", f"{root}/checkpoint"))
+    alerts = spark.read.schema(found.schema).parquet(f"{root}/out")
     return alerts.select(
         "ticker", "id", micros("ts").alias("ts_us"), "price", "history_len",
         F.array_join(F.transform("history", lambda x: x.cast("string")), ",").alias("history"),
@@ -94,7 +120,7 @@ def watchdog_triggers(spark, sf_dir):
         message_stream(spark, sf_dir, broken=True), schedules(spark, sf_dir), watched, root, time_cell("ts", 3600), 200.0
     )
     run.finish(job)
-    fired = run.batches_written(spark, f"{root}/triggers", _types(TRIGGER_COLUMNS))
+    fired = run.committed_rows(spark, root, "triggers", _types(TRIGGER_COLUMNS))
     return fired.select(
         "id", "schedule_id", "scope_id", "override_args.ticker", "override_args.trigger_price",
         F.col("event_trigger_source").alias("trigger_source"), "run_name",
@@ -168,10 +194,12 @@ def stream_dedup(spark, sf_dir):
     """SELECT event_type AS ticker, max(event_id) AS id, arg_max("value", (ts, event_id)) AS price FROM events GROUP BY 1""",
 )
 def stream_latest(spark, sf_dir):
+    # Each micro-batch writes the tickers it changed.
     root = scratch_dir(spark, "latest")
-    run.finish(run.each_batch(event_stream(spark, sf_dir), watch.latest_handler(f"{root}/state"), f"{root}/checkpoint"))
-    version = lake.latest_version(spark, f"{root}/state")
-    return lake.snapshot(spark, f"{root}/state", version).select("ticker", "id", "price")
+    newest = stateful.latest(arriving_events(spark, sf_dir))
+    job = run.each_batch(newest, run.changes_handler(root), f"{root}/checkpoint").outputMode("update")
+    run.finish(job)
+    return run.latest_changes(spark, root, ["ticker"], newest.schema).select("ticker", "id", "price")
 
 
 SESSIONS_SQL = """WITH g AS (SELECT user_id, ts, CASE WHEN ts <= lag(ts) OVER w + INTERVAL 6 HOUR THEN 0 ELSE 1 END AS opens FROM events
@@ -220,9 +248,10 @@ CROSS_SQL = f"""WITH RECURSIVE c AS (SELECT ticker, window_start, "close", row_n
 @query("stream_indicators", CROSS_SQL)
 def stream_indicators(spark, sf_dir):
     root = scratch_dir(spark, "indicators")
-    closed = candles.stream_ohlcv(event_stream(spark, sf_dir), "60 minutes", "10 minutes")
-    run.finish(run.each_batch(closed, watch.indicator_handler(root), f"{root}/checkpoint"))
-    found = run.batches_written(spark, f"{root}/crosses", _types("ticker string, window_start timestamp, indicator string, cross string"))
+    closed = candles.stream_ohlcv(arriving_events(spark, sf_dir), "60 minutes", "10 minutes")
+    crosses = stateful.indicator_crosses(closed)
+    run.finish(run.to_files(crosses, f"{root}/out", f"{root}/checkpoint"))
+    found = spark.read.schema(crosses.schema).parquet(f"{root}/out")
     return shown(found, "indicator", "cross")
 
 
@@ -499,6 +528,27 @@ def stream_context(spark, sf_dir):
     return found.select(F.col("alert.id").alias("alert_id"), F.col("headline.id").alias("headline_id"), "rank")
 
 
+@query(
+    "stream_interval_context",
+    """WITH a AS (SELECT * FROM events WHERE "value" >= 100 AND ts <= (SELECT max(ts) FROM events) - INTERVAL 6 DAY),
+        p AS (SELECT a.event_id AS alert_id, h.event_id AS headline_id, a.ts AS alert_ts, h.ts AS headline_ts
+          FROM a JOIN events h ON h.user_id = a.user_id AND h.event_type IN ('view', 'signup') AND h.ts <= a.ts AND h.ts >= a.ts - INTERVAL 2 DAY),
+        r AS (SELECT *, row_number() OVER (PARTITION BY alert_id ORDER BY headline_ts DESC, headline_id DESC) AS rank FROM p)
+        SELECT alert_id, headline_id, rank FROM r WHERE rank <= 3""",
+)
+def stream_interval_context(spark, sf_dir):
+    # Two streams with watermarks meet; the alerts shown are those old enough to be answered for certain.
+    root = scratch_dir(spark, "interval")
+    alerts = arriving_events(spark, sf_dir, 4).filter(breakout.is_breakout(100.0))
+    headlines = arriving_events(spark, sf_dir, 4).filter(F.col("ticker").isin("view", "signup"))
+    found = stateful.interval_context(alerts, headlines, ["user_id"], 2 * 86_400, "10 minutes", 3)
+    run.finish(run.to_files(found, f"{root}/out", f"{root}/checkpoint"))
+    end = table(spark, sf_dir, "events").agg(F.max("ts").alias("end"))
+    shown_before = F.col("alert.ts") <= F.col("end").cast("timestamp") - F.expr("INTERVAL 6 DAYS")
+    closed = spark.read.schema(found.schema).parquet(f"{root}/out").join(F.broadcast(end)).filter(shown_before)
+    return closed.select(F.col("alert.id").alias("alert_id"), F.col("headline.id").alias("headline_id"), "rank")
+
+
 @query(
     "alert_passages",
     """WITH a AS (SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS q FROM events JOIN embeddings ON vec_id = event_id WHERE "value" >= 200),

@@ -9,6 +9,13 @@ import uuid
 from pyspark.sql import SparkSession
 
 
+# State in RocksDB, which keyed state with lists and timers needs; a batch checkpoints its changes only.
+STATE_STORE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
+
+
 def shuffle_partitions(input_bytes: int) -> int:
     """Shuffle partitions to start from for an input of the given size.
 
@@ -35,11 +42,9 @@ def build_session(
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.sql.parquet.filterPushdown", "true")
         .config("spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true")
-        .config(
-            "spark.sql.streaming.stateStore.providerClass",
-            "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
-        )
     )
+    for key, value in STATE_STORE.items():
+        builder = builder.config(key, value)
     if master is not None:
         builder = builder.master(master)
     if input_bytes is not None:
@@ -58,6 +63,12 @@ def build_session(
     return spark
 
 
+def with_state_store(spark: SparkSession) -> None:
+    """The state store's settings for streams that start from now on, whoever made the session."""
+    for key, value in STATE_STORE.items():
+        spark.conf.set(key, value)
+
+
 def scratch_dir(spark: SparkSession, purpose: str) -> str:
     """A new path for intermediate tables, under the folder the cluster shares.
 
