@@ -13,7 +13,7 @@ from tideline import scratch_dir
 from tideline.operators import catalog, insights, metadata, scoring, similarity
 from tideline.plans import clean_embed, stages
 from tideline.schemas import FILE_ASSET, LAKE_ROW, RAW_RECORD
-from tideline.sinks import lake
+from tideline.sinks import catalog_store, lake
 from tideline.sources import files, records
 from tideline.sources.jdbc import database_rows
 
@@ -359,7 +359,7 @@ def test_stages_with_any_ids_and_a_second_run(spark, folder):
     found = stages.run(spark, raw, folder, F.current_timestamp())
     want = {("a:b", "h 1", "Bullish", 300.0), ("c", "ü+", "Bearish", 10.0)}
     assert {(r.scope, r.schedule, r.insight_type, r.blocks[1].data[0].price) for r in found.collect()} == want
-    assets = lake.snapshot(spark, f"{folder}/file_assets", lake.latest_version(spark, f"{folder}/file_assets"))
+    assets = catalog_store.read_catalog(spark, f"{folder}/file_assets")
     assert {r.stage: r.n for r in assets.groupBy("stage").agg(F.count("*").alias("n")).collect()} == {"1_RAW": 2, "2_ETL": 2, "3_ANALYZE": 2}
     assert assets.filter("size_byte <= 0").count() == 0
     more = spark.createDataFrame([("1_RAW", "d", "x", "t", "3", "C", 1.0, "2024-01-01 00:00:02")], shape)

@@ -10,9 +10,8 @@ from pyspark.sql.types import MapType, StringType, StructField, StructType
 
 from tideline.functions import blocks, ids
 from tideline.operators import catalog, insights
-from tideline.sinks.lake import (
-    append_insights, latest_version, publish_snapshot, read_records, record_levels, save_records, snapshot, write_partitions,
-)
+from tideline.sinks.catalog_store import read_catalog, staged, upsert_catalog
+from tideline.sinks.lake import append_insights, read_records, record_levels, save_records, write_partitions
 from tideline.sources.records import read_catalogued
 
 # Fixed value: what the basic ETL step stores in place of a vector.
@@ -91,18 +90,19 @@ def display(rows: DataFrame, analyses: DataFrame, keys: list[str], created_at: C
 
 
 def registered(spark: SparkSession, assets: DataFrame, root: str) -> DataFrame:
-    """The catalog with the given rows merged into it, as its next version."""
-    before = latest_version(spark, root)
-    known = assets.limit(0) if before is None else snapshot(spark, root, before)
-    publish_snapshot(catalog.upsert(known, assets), root, (before or 0) + 1)
-    return snapshot(spark, root, (before or 0) + 1)
+    """The catalog after the given rows are merged into it; only their folders are read and written."""
+    upsert_catalog(assets, root)
+    known = read_catalog(spark, root)
+    return assets.limit(0) if known is None else known.drop("bucket")
 
 
 def found_rows(spark: SparkSession, root: str, assets: str, stage: str, kind: str, shape: StructType, **ids_given: str) -> DataFrame:
-    """The rows of all folders of a stage that the newest catalog finds, with ``file_path``."""
-    files = snapshot(spark, assets, latest_version(spark, assets))
-    found = catalog.search(files, {"extension": kind}, stage=stage, **ids_given)
-    return read_catalogued(spark, found, f"{root}/stage={stage}", kind, shape)
+    """The rows of all folders of a stage that the catalog finds, with ``file_path``.
+
+    The hits are kept as a table of their own: later merges replace files of the catalog.
+    """
+    found = staged(catalog.search(read_catalog(spark, assets), {"extension": kind}, stage=stage, **ids_given), "hits")
+    return read_catalogued(spark, found, f"{root}/stage={stage}", kind, shape, levels=LEVELS[1:])
 
 
 def catalogued_stage(
@@ -127,7 +127,7 @@ def run(spark: SparkSession, raw: DataFrame, root: str, created_at: Column, bull
     a catalog search. ``raw`` has scope, schedule, task, stage and record columns.
 
     Below ``root``: the lake's stages 1 and 2, the analyses as catalogued records (stage 3), the
-    catalog's versions, and the insights, which are appended. Scope and schedule travel in the
+    catalog, and the insights, which are appended. Scope and schedule travel in the
     rows as scope_id and schedule_id, so any characters are right in them. Returns all insights.
     """
     lake, store, assets = f"{root}/lake", f"{root}/records", f"{root}/file_assets"

@@ -8,6 +8,8 @@ from tideline.functions import ids, text
 from tideline.operators import catalog, lineage
 from tideline.operators.metadata import listing
 from tideline.queries.registry import query
+from tideline.session import scratch_dir
+from tideline.sinks.catalog_store import lineage_by_bridge, read_catalog, upsert_catalog, write_bridge
 from tideline.queries.tables import STAGE_SQL, documents, stage_of, stamped_documents, table
 
 
@@ -92,14 +94,54 @@ def catalog_upsert(spark, sf_dir):
         ),
         "text", "scope", "schedule", "task",
     )
-    merged = catalog.upsert(document_assets(spark, sf_dir), again)
-    return merged.select(
+    return _shown_assets(catalog.upsert(document_assets(spark, sf_dir), again))
+
+
+def _shown_assets(assets):
+    return assets.select(
         "asset_id", "file_path", "size_byte",
         F.date_format("updated_at", "yyyy-MM-dd").alias("updated_on"),
         F.array_join("scope_ids", ",").alias("scope_ids"), F.array_join("tags", ",").alias("tags"),
     )
 
 
+@query(
+    "catalog_incremental",
+    f"""WITH b AS (SELECT *, 0 AS batch, source AS scope FROM ({ASSETS_SQL}) UNION ALL
+                   SELECT *, 1 AS batch, 'scope-' || lang AS scope FROM ({ASSETS_SQL}) WHERE lang = 'de' AND source LIKE 'src1%'),
+        p AS (SELECT *, replace(file_path, '/' || source || '/sch-', '/' || scope || '/sch-') AS saved_path FROM b)
+        SELECT asset_id, arg_min(saved_path, (batch, file_name, saved_path)) AS file_path, any_value(size_byte) AS size_byte,
+        CASE WHEN max(batch) = 1 THEN '2024-01-02' ELSE '2024-01-01' END AS updated_on,
+        array_to_string(list_sort(list_distinct(list(scope))), ',') AS scope_ids,
+        array_to_string(list_sort(list_distinct(flatten(list([lang, source])))), ',') AS tags FROM p GROUP BY asset_id""",
+)
+def catalog_incremental(spark, sf_dir):
+    # The catalog on disk: all assets, then some of them once more from another scope.
+    root = f"{scratch_dir(spark, 'catalog')}/file_assets"
+    upsert_catalog(document_assets(spark, sf_dir), root)
+    some = documents(spark, sf_dir).filter((F.col("lang") == "de") & F.startswith("source", F.lit("src1"))).select(
+        "text", F.concat(F.lit("scope-"), "lang").alias("scope"), F.concat(F.lit("sch-"), "lang").alias("schedule"),
+        F.concat_ws("-", F.lit("task"), "source", "lang").alias("task"), F.array("lang", "source").alias("tags"),
+        stage_of().alias("stage"), F.lit("2024-01-02").cast("timestamp").alias("created_at"),
+    )
+    upsert_catalog(catalog.text_assets(some, "text", "scope", "schedule", "task"), root)
+    return _shown_assets(read_catalog(spark, root))
+
+
+@query(
+    "bridge_search",
+    f"""SELECT doc_id, stage, source, lang FROM (SELECT *, {STAGE_SQL} AS stage FROM documents)
+        WHERE stage = '2_ETL' AND ((source IN ('src1', 'src7', 'src12') AND lang IN ('en', 'de')) OR lang || '-' || source IN ('fr-src3'))""",
+)
+def bridge_search(spark, sf_dir):
+    # Documents are assets by their number; ids lead to them over the bridge.
+    root = scratch_dir(spark, "bridge")
+    assets = stamped_documents(spark, sf_dir).drop("text").withColumn("asset_id", F.col("doc_id").cast("string"))
+    write_bridge(assets, root)
+    found = lineage_by_bridge(spark.read.parquet(root), assets, "2_ETL", ["src1", "src7", "src12"], ["sch-en", "sch-de"], ["fr-src3"])
+    return found.select("doc_id", "stage", "source", "lang")
+
+
 @query(
     "catalog_delete",
     f"SELECT asset_id, file_path FROM ({ASSETS_SQL}) WHERE NOT starts_with(file_path, 's3a://processed-data/1_RAW/src1/')",
