@@ -10,7 +10,8 @@ from pyspark.sql.types import MapType, StringType, StructField, StructType
 
 from tideline.functions import blocks, ids
 from tideline.operators import catalog, insights
-from tideline.sinks.catalog_store import read_catalog, staged, upsert_catalog
+from tideline.session import staged
+from tideline.sinks.catalog_store import read_catalog, upsert_catalog
 from tideline.sinks.lake import append_insights, read_records, record_levels, save_records, write_partitions
 from tideline.sources.records import read_catalogued
 

@@ -543,9 +543,8 @@ def stream_interval_context(spark, sf_dir):
     headlines = arriving_events(spark, sf_dir, 4).filter(F.col("ticker").isin("view", "signup"))
     found = stateful.interval_context(alerts, headlines, ["user_id"], 2 * 86_400, "10 minutes", 3)
     run.finish(run.to_files(found, f"{root}/out", f"{root}/checkpoint"))
-    end = table(spark, sf_dir, "events").agg(F.max("ts").alias("end"))
-    shown_before = F.col("alert.ts") <= F.col("end").cast("timestamp") - F.expr("INTERVAL 6 DAYS")
-    closed = spark.read.schema(found.schema).parquet(f"{root}/out").join(F.broadcast(end)).filter(shown_before)
+    end = table(spark, sf_dir, "events").agg(F.max(micros("ts"))).first()[0] or 0
+    closed = spark.read.schema(found.schema).parquet(f"{root}/out").filter(micros("alert.ts") <= end - 6 * 86_400_000_000)
     return closed.select(F.col("alert.id").alias("alert_id"), F.col("headline.id").alias("headline_id"), "rank")
 
 

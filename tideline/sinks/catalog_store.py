@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from tideline.operators import catalog
 from tideline.operators.lineage import check_stage
-from tideline.session import scratch_dir
+from tideline.session import staged
 from tideline.sinks.lake import write_partitions
 
 # Folders of a catalog. All uses of one catalog must agree on the number; some ten thousand
@@ -32,13 +32,6 @@ def _table(root: str, buckets: int) -> str:
     return f"{root}/of-{buckets}"
 
 
-def staged(df: DataFrame, purpose: str) -> DataFrame:
-    """The rows as a table of their own in the shared scratch folder."""
-    path = scratch_dir(df.sparkSession, purpose)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def read_catalog(spark: SparkSession, root: str, buckets: int = BUCKETS) -> DataFrame | None:
     """The catalog with its ``bucket`` column; None before the first merge.
 
