@@ -15,8 +15,9 @@ from tideline.llm.common import worker_object
 _INK = "!-~¡-ɏ"
 _NOT_ALL_CUT = re.compile(f" (?![{_INK}])")
 _CUT = re.compile(f" (?=[{_INK}])")
+_LINES = re.compile(f"[{_INK}]+(?:\n[{_INK}]+)*")
 # A word and the mark after it are separate for the pre-tokenizer.
-_WORD_MARK = re.compile("([A-Za-zÀ-ÖØ-öø-ɏ]+)([.,])")
+_WORD_MARK = re.compile("[A-Za-zÀ-ÖØ-öø-ɏ]+[.,]")
 
 
 class CachedEncoder:
@@ -35,6 +36,8 @@ class CachedEncoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.limit, self.longest = limit, longest
+        self.line_end = self._encode(["\n"])[0]
+        self.line_id = int.from_bytes(self.line_end[:4], "little")
         self.cache: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
@@ -42,6 +45,32 @@ class CachedEncoder:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(x.ids, dtype="<u4").tobytes() for x in found]
 
+    def _learn_words(self, words: list[str], together: int = 64) -> None:
+        """Puts the ids of each word with a space before it into the cache.
+
+        Words without white space, single line ends apart, are encoded ``together`` at a time: the
+        pre-tokenizer keeps a line end between a mark and a mark or space to itself, so the ids are
+        cut there.
+        """
+        cache, end = self.cache, self.line_end
+        plain = [w for w in words if (w.isprintable() and w[-1] != " ") or _LINES.fullmatch(w)] if len(end) == 4 else []
+        if len(plain) < len(words):
+            rest = list(set(words).difference(plain))
+            cache.update(zip(rest, self._encode([" " + w for w in rest])))
+        groups = [plain[i : i + together] for i in range(0, len(plain), together)]
+        found = self.tokenizer.encode_batch_fast([" " + "\n ".join(g) for g in groups], add_special_tokens=False)
+        for group, line in zip(groups, found):
+            ids = np.array(line.ids, dtype="<u4")
+            cuts = [*(4 * np.flatnonzero(ids == self.line_id)).tolist(), 4 * len(ids)]
+            image, start, nth = ids.tobytes(), 0, 0
+            for word in group:
+                nth += word.count("\n")
+                cache[word] = image[start : cuts[nth]]
+                start = cuts[nth] + 4
+                nth += 1
+            if nth != len(cuts):
+                raise ValueError("the tokenizer joins line ends with other marks")
+
     def _learn(self, pieces: set[str]) -> list[str]:
         """Puts all the pieces into the cache; returns those that are not to stay."""
         if len(self.cache) > self.limit:
@@ -51,12 +80,12 @@ class CachedEncoder:
         for piece in new.intersection(old):
             cache[piece] = old[piece]
         new.difference_update(old)
-        marked = {p: m for p in new if (m := _WORD_MARK.fullmatch(p))}
-        words = list({m[1] for m in marked.values()}.union(new.difference(marked)).difference(cache))
-        cache.update(zip(words, self._encode([" " + w for w in words])))
+        marked = [p for p in new if p[-1] in ".," and _WORD_MARK.fullmatch(p)]
+        words = list({p[:-1] for p in marked}.union(new.difference(marked)).difference(cache))
+        self._learn_words(words)
         marks = dict(zip(".,", self._encode([".", ","])))
-        for piece, m in marked.items():
-            cache[piece] = cache[m[1]] + marks[m[2]]
+        for piece in marked:
+            cache[piece] = cache[piece[:-1]] + marks[piece[-1]]
         return [p for p in new if len(p) > self.longest]
 
     def encode(self, texts: list[str], together: int = 1 << 22) -> Iterator[np.ndarray]:
