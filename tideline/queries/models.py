@@ -1,13 +1,14 @@
-"""Models that the library fits itself: forecasts and a text classifier."""
+"""Models that the library fits itself: forecasts, a text classifier and a vector index."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tideline.operators import candles, forecast, naive_bayes
+from tideline.operators import candles, forecast, naive_bayes, vector_index
 from tideline.queries.prices import _candle_sql
 from tideline.queries.registry import query
 from tideline.queries.tables import documents, table, ticks
+from tideline.session import scratch_dir
 
 
 @query(
@@ -53,3 +54,21 @@ def text_classifier(spark, sf_dir):
     model = naive_bayes.fit(docs.join(known, "doc_id"), "text", "toxic")
     found = naive_bayes.score(docs, model, "doc_id", "text")
     return found.select("doc_id", F.round("score", 6).alias("score"), "label")
+
+
+@query(
+    "similar_index",
+    """WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+        s AS (SELECT q.vec_id AS query_id, v.vec_id AS id, list_cosine_similarity(q.e, v.e) AS sim FROM v, v AS q WHERE q.vec_id % 20 = 0),
+        r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, id) AS rank FROM s)
+        SELECT query_id, id, rank, round(sim, 6) AS similarity FROM r WHERE rank <= 10""",
+)
+def similar_index(spark, sf_dir):
+    # The index over all rows is written, then asked for the rows whose id is divisible by 20.
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding", "label")
+    path = scratch_dir(spark, "index")
+    n_lists = min(4096, max(1, round(rows.count() ** 0.5)))
+    vector_index.write_index(rows, path, vector_index.train(rows, n_lists, rounds=4))
+    queries = rows.filter(F.col("id") % 20 == 0).select(F.col("id").alias("query_id"), "embedding")
+    found = vector_index.search(spark, path, queries, 10, probes=max(1, n_lists // 8), exact=True)
+    return found.withColumn("similarity", F.round("similarity", 6))
