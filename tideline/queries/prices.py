@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tideline.operators import breakout, candles, indicators
+from tideline.operators import breakout, candles, indicators, levels
 from tideline.operators.ordered import micros, time_cell
 from tideline.queries.registry import query
 from tideline.queries.tables import ticks
@@ -156,3 +156,40 @@ def breakout_history(spark, sf_dir):
         "ticker", "id", micros("ts").alias("ts_us"), "price", "history_len",
         F.array_join(F.transform("history", lambda x: x.cast("string")), ",").alias("history"),
     )
+
+
+# Turning points of the hourly candles, and the levels they gather at.
+_LEVEL_SQL = f"""p AS (SELECT *, max(high) OVER (w ROWS BETWEEN 2 PRECEDING AND 1 PRECEDING) AS h1, max(high) OVER (w ROWS BETWEEN 1 FOLLOWING AND 2 FOLLOWING) AS h2,
+            min(low) OVER (w ROWS BETWEEN 2 PRECEDING AND 1 PRECEDING) AS l1, min(low) OVER (w ROWS BETWEEN 1 FOLLOWING AND 2 FOLLOWING) AS l2,
+            row_number() OVER w AS rn, count(*) OVER (PARTITION BY ticker) AS n_candles FROM ({_candle_sql(60)}) WINDOW w AS (PARTITION BY ticker ORDER BY window_start)),
+        t AS (SELECT ticker, window_start, 'RESISTANCE' AS kind, high AS price FROM p WHERE rn BETWEEN 3 AND n_candles - 2 AND high > h1 AND high > h2
+            UNION ALL SELECT ticker, window_start, 'SUPPORT', low FROM p WHERE rn BETWEEN 3 AND n_candles - 2 AND low < l1 AND low < l2),
+        g AS (SELECT *, lag(price) OVER (PARTITION BY ticker, kind ORDER BY price, window_start) AS last FROM t),
+        i AS (SELECT *, sum(CASE WHEN last IS NULL OR price - last > CAST(0.002 AS DOUBLE) * abs(last) THEN 1 ELSE 0 END)
+            OVER (PARTITION BY ticker, kind ORDER BY price, window_start) AS nth FROM g),
+        v AS (SELECT ticker, kind, CAST(sum(CAST(price AS DECIMAL(28,10))) AS DOUBLE) / count(*) AS level, min(price) AS low, max(price) AS high,
+            count(*) AS touches, min(window_start) AS first_seen, max(window_start) AS last_seen FROM i GROUP BY ticker, kind, nth HAVING count(*) >= 2)"""
+
+
+@query(
+    "price_levels",
+    f"""WITH {_LEVEL_SQL} SELECT ticker, kind, round(level, 6) AS level, low, high, touches, strftime(first_seen, '%Y-%m-%d %H:%M:%S') AS first_seen,
+        strftime(last_seen, '%Y-%m-%d %H:%M:%S') AS last_seen FROM v""",
+)
+def price_levels(spark, sf_dir):
+    found = levels.price_levels(levels.swing_pivots(candles_of(spark, sf_dir, "60 minutes")))
+    times = {c: F.date_format(c, "yyyy-MM-dd HH:mm:ss") for c in ("first_seen", "last_seen")}
+    return found.withColumn("level", F.round("level", 6)).withColumns(times)
+
+
+@query(
+    "nearest_levels",
+    f"""WITH {_LEVEL_SQL}, c AS (SELECT ticker, arg_max("close", window_start) AS "close" FROM ({_candle_sql(60)}) GROUP BY ticker)
+        SELECT c.ticker, c."close", round(min(level) FILTER (level > c."close"), 6) AS next_above, round(max(level) FILTER (level < c."close"), 6) AS next_below
+        FROM c LEFT JOIN v USING (ticker) GROUP BY c.ticker, c."close" """,
+)
+def nearest_levels(spark, sf_dir):
+    candles = candles_of(spark, sf_dir, "60 minutes")
+    closes = candles.groupBy("ticker").agg(F.max_by("close", "window_start").alias("close"))
+    found = levels.nearest_levels(closes, levels.price_levels(levels.swing_pivots(candles)))
+    return found.withColumns({c: F.round(c, 6) for c in ("next_above", "next_below")})
