@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tideline.functions import blocks, ids, text
-from tideline.operators import asof, breakout, indicators, insights, scoring, similarity, summary
+from tideline.operators import asof, breakout, bursts, indicators, insights, scoring, similarity, summary
 from tideline.operators.ordered import time_cell
 from tideline.plans import clean_embed
 from tideline.queries.registry import query
@@ -229,6 +229,25 @@ def trending_terms(spark, sf_dir):
     return summary.trending_terms(documents(spark, sf_dir).withColumnRenamed("source", "day"), "day", "text", 10)
 
 
+@query(
+    "term_bursts",
+    """WITH c AS (SELECT CAST(ts AS DATE) AS day, props AS term, count(*) AS n FROM events WHERE props IS NOT NULL AND ts IS NOT NULL GROUP BY ALL),
+        t AS (SELECT day, sum(n) AS total FROM c GROUP BY day),
+        w AS (SELECT d.day, d.total, sum(pow(0.8::DOUBLE, d.day - p.day - 1)) AS weights FROM t d JOIN t p ON p.day BETWEEN d.day - 14 AND d.day - 1 GROUP BY ALL),
+        s AS (SELECT c.day, c.term, c.n, w.total, w.weights, coalesce(sum(pow(0.8::DOUBLE, c.day - p.day - 1) * p.n / pt.total), 0) AS weighed
+            FROM c JOIN w USING (day) LEFT JOIN (c p JOIN t pt ON pt.day = p.day) ON p.term = c.term AND p.day BETWEEN c.day - 14 AND c.day - 1 GROUP BY ALL),
+        e AS (SELECT day, term, n, greatest(weighed / weights * total, 0.5::DOUBLE) AS expected FROM s),
+        r AS (SELECT *, round(n * ln(n / expected) - (n - expected), 6) AS score FROM e WHERE n > expected),
+        k AS (SELECT *, row_number() OVER (PARTITION BY day ORDER BY score DESC, term) AS rank FROM r)
+        SELECT strftime(day, '%Y-%m-%d') AS day, term, n, round(expected, 6) AS expected, score, rank FROM k WHERE rank <= 10""",
+)
+def term_bursts(spark, sf_dir):
+    # The properties of an event play its term.
+    counts = bursts.daily_counts(table(spark, sf_dir, "events"), F.col("ts"), F.array("props"))
+    found = bursts.bursts(counts, 10)
+    return found.withColumn("day", F.date_format("day", "yyyy-MM-dd")).withColumn("expected", F.round("expected", 6))
+
+
 @query(
     "chunks",
     """WITH d AS (SELECT doc_id, text, greatest(1, CAST(ceil((length(text) - 50) / 450.0) AS BIGINT)) AS n FROM documents WHERE length(text) > 0),
