@@ -10,6 +10,7 @@ from tideline.operators.metadata import listing
 from tideline.queries.registry import query
 from tideline.session import scratch_dir
 from tideline.sinks.catalog_store import lineage_by_bridge, read_catalog, upsert_catalog, write_bridge
+from tideline.sinks.gathering import as_folders, gather, partition_files
 from tideline.queries.tables import STAGE_SQL, documents, stage_of, stamped_documents, table
 
 
@@ -195,3 +196,24 @@ def catalog_listing(spark, sf_dir):
     assets = document_assets(spark, sf_dir).withColumn("source", F.element_at("scope_ids", 1))
     counted = assets.groupBy("stage", "source").agg(F.count(F.lit(1)).alias("n"), F.sum("size_byte").alias("size_byte"))
     return listing(counted, ["stage", "source", "n", "size_byte"], ["stage", F.col("source").asc_nulls_last()])
+
+
+@query(
+    "gathered_lake",
+    """SELECT strftime(ts, '%Y-%m') AS month, event_type AS ticker, count(*) AS n, CAST(sum(CAST("value" AS DECIMAL(28,10))) AS DOUBLE) AS total, TRUE AS gathered
+        FROM events GROUP BY 1, 2""",
+)
+def gathered_lake(spark, sf_dir):
+    # Six appends leave six files and more per month and ticker; then the crowded partitions are gathered.
+    root, by = scratch_dir(spark, "small-files"), ["month", "ticker"]
+    rows = table(spark, sf_dir, "events").select(
+        F.date_format("ts", "yyyy-MM").alias("month"), F.col("event_type").alias("ticker"), F.col("event_id").alias("id"), F.col("value").alias("price")
+    )
+    for batch in range(6):
+        rows.filter(F.pmod("id", F.lit(6)) == batch).write.mode("append").partitionBy(*by).parquet(root)
+    gather(spark, root, by, least_files=4)
+    held = as_folders(spark, root, by).groupBy(*by).agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.col("price").cast("decimal(28,10)")).cast("double").alias("total")
+    )
+    files = partition_files(spark, root, by, 64 << 20).select(*by, (F.col("small_files") < 4).alias("gathered"))
+    return held.join(files, by)
