@@ -69,6 +69,13 @@ def test_events_are_scanned_and_aggregated_once(spark, name, most):
     assert final.count("FileScan parquet") <= most
 
 
+@pytest.mark.parametrize("name, most", [("drop_1h", 2), ("macd", 1), ("moving_average", 1), ("asof_context", 2)])
+def test_scans_of_a_larger_table_under_usual_settings(spark, name, most):
+    frame = QUERIES[name](spark, "/root/testdata/sf0.1")
+    frame.collect()
+    assert plan(frame).split("== Initial Plan ==")[0].count("FileScan parquet") <= most
+
+
 def test_archive_returns_all_partitions_and_one_is_pruned(spark):
     whole, events = QUERIES["stream_archive_all"](spark, SMALL), spark.read.parquet(f"{SMALL}/events.parquet")
     assert {tuple(r) for r in whole.groupBy("ticker").count().collect()} == {tuple(r) for r in events.groupBy("event_type").count().collect()}

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tideline.operators.candles import usable_price
-from tideline.operators.ordered import floor_div, in_cells, join_on, micros, number_rows, out_of_cells, time_cell, with_lookback, with_row_ids
+from tideline.operators.ordered import floor_div, in_cells, join_on, micros, out_of_cells, time_cell, with_lookback, with_row_ids
 
 DAY = 86_400
 KEYS = ("ticker",)
@@ -129,11 +129,12 @@ def price_drop(
     """Ticks priced more than ``fraction`` below the highest price of the last ``seconds``.
 
     The look-back is cut into ``spans`` (which must divide its microseconds), so no task holds
-    an hour of a ticker. What a tick looks back on is its own span up to it, a running maximum;
-    the whole spans between, one maximum each; and the end of the span the look-back begins in.
-    That last part matters only where the whole span's maximum is above the rest and would make
-    a drop; only for those ticks are that span's rows looked at, by a running maximum from its
-    end. Ticks without an id are told apart by their content.
+    an hour of a ticker. What a tick looks back on is its own span up to it, the whole spans
+    between, and the end of the span the look-back begins in. Every price is sent along once
+    more, a look-back later: in the span it then falls into, the prices still to come are those
+    not yet out of sight. So both ends are running maxima of one span, one from each side, and
+    ticks are shuffled once. The spans between have one maximum each. Ticks without an id are
+    told apart by their content.
     """
     length = seconds * 1_000_000
     if length % spans:
@@ -141,35 +142,31 @@ def price_drop(
     keys = list(keys)
     ticks = with_row_ids(ticks.filter(usable_price()))
     rest = [c for c in ticks.columns if c not in keys]
-    timed = ticks.select(*keys, F.struct(*rest).alias("tick"), micros("ts").alias("at"))
-    cells = in_cells(timed, keys, floor_div(F.col("at"), length // spans))
-    inside = Window.partitionBy("__at")
-    upto = inside.orderBy("at").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    # The checksum makes all uses read the same columns, and so share one shuffle.
-    checksum = F.max(F.xxhash64(*[F.col(c) for c in cells.columns])).over(inside)
-    highs = cells.withColumns({"high": F.max("tick.price").over(upto), "__sum": checksum})
-
-    along = Window.partitionBy(*[F.col(f"__at.{k}") for k in keys]).orderBy("__at.__cell")
-    tops = highs.groupBy("__at").agg(F.max("tick.price").alias("__top"), F.max("__sum").alias("__seen")).select(
-        "__at", "__seen", F.max("__top").over(along.rangeBetween(1 - spans, -1)).alias("__between"),
-        F.max("__top").over(along.rangeBetween(-spans, -spans)).alias("__start"),
-    )
-    joined = highs.join(tops, "__at").filter("__sum <= __seen").withColumn("high", F.greatest("high", "__between"))
-    dropped = F.col("tick.price") < (1.0 - fraction) * F.col("high")
-    open_ = F.coalesce((F.col("__start") > F.col("high")) & (F.col("tick.price") < (1.0 - fraction) * F.col("__start")), F.lit(False))
-    known = joined.filter(~open_ & dropped).select("__at", "tick", "high")
-
-    begins = F.struct(*[F.col(f"__at.{k}").alias(k) for k in keys], (F.col("__at.__cell") - spans).alias("__cell"))
-    marks = joined.filter(open_).select(
-        begins.alias("__at"), (F.col("at") - length).alias("at"), F.lit(1).alias("mark"), "tick", "high", F.lit(None).cast("double").alias("price")
+    span = floor_div(micros("ts"), length // spans)
+    timed = ticks.select(*keys, F.struct(*rest).alias("tick"), F.col("price").alias("__price"), micros("ts").alias("at"), span.alias("__span"))
+    nothing = F.lit(None).cast(timed.schema["tick"].dataType)
+    both = F.array(
+        F.struct(F.lit(0).cast("long").alias("later"), F.col("tick")), F.struct(F.lit(spans).cast("long").alias("later"), nothing.alias("tick"))
     )
-    asked = marks.select("__at").distinct()
-    rows = joined.join(asked, "__at", "left_semi").select(
-        "__at", "at", F.lit(0).alias("mark"), F.lit(None).alias("tick"), F.lit(None).alias("high"), F.col("tick.price").alias("price")
+    sent = timed.withColumn("sent", F.explode(both)).select(
+        *keys, "__price", "sent.tick", (F.col("at") + F.col("sent.later") * F.lit(length // spans)).alias("at"),
+        (F.col("__span") + F.col("sent.later")).alias("__span"),
     )
-    back_to = inside.orderBy(F.desc("at"), "mark").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ended = marks.unionByName(rows).withColumn("high", F.greatest("high", F.max("price").over(back_to))).filter("mark = 1")
-    hits = known.unionByName(ended.filter(dropped).select("__at", "tick", "high"))
+    inside = Window.partitionBy("__at")
+    old = F.when(F.col("tick").isNull(), F.col("__price"))
+    back_to = inside.orderBy(F.desc("at")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    upto = inside.orderBy("at").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    cells = in_cells(sent, keys, F.col("__span")).withColumn("__old", F.max(old).over(back_to)).filter(F.col("tick").isNotNull())
+    cells = cells.withColumn("__own", F.max("__price").over(upto))
+
+    tops = in_cells(timed, keys, F.col("__span")).groupBy("__at").agg(F.max("__price").alias("__top"))
+    if spans > 1:
+        along = Window.partitionBy(*[F.col(f"__at.{k}") for k in keys]).orderBy("__at.__cell")
+        between = F.max("__top").over(along.rangeBetween(1 - spans, -1))
+    else:
+        between = F.lit(None).cast("double")
+    joined = cells.join(tops.select("__at", between.alias("__between")), "__at")
+    hits = joined.withColumn("high", F.greatest("__old", "__own", "__between")).filter(F.col("__price") < (1.0 - fraction) * F.col("high"))
     return out_of_cells(hits, keys).select(*keys, "tick.*", F.col("high").alias("high_before"))
 
 
@@ -266,14 +263,20 @@ def _decay(span: int) -> float:
 def _cells(candles: DataFrame, keys: Sequence[str], seconds: int, decays: list[float]):
     """Candles with their cell and place in it, and the window of a cell up to a candle.
 
-    Candles are numbered in spans of ``seconds`` and then cut by number, so that a cell holds the
-    same few candles however dense they are: decay^-k must stay inside the range of a double.
+    A cell is a span of ``seconds``, cut on by number within the span (``__part``), so that it holds
+    few candles however dense they are: decay^-k must stay inside the range of a double. All windows
+    use the spans' shuffle. ``__sum`` lets both uses of the cells share it, as in ``number_rows``.
     """
     rows = min(1000, *(int(600 / -math.log(d)) if d > 0 else 1 for d in decays))
-    numbered = number_rows(candles, keys, ["window_start"], time_cell("window_start", seconds), "__rn")
-    place = F.col("__rn").cast("long") - 1
-    cells = in_cells(numbered, keys, floor_div(place, rows)).withColumn("__k", (F.pmod(place, F.lit(rows)) + 1).cast("int"))
-    return cells.drop("__rn"), Window.partitionBy("__at").orderBy("__k").rowsBetween(Window.unboundedPreceding, 0)
+    cells = in_cells(candles, keys, time_cell("window_start", seconds))
+    span = Window.partitionBy("__at")
+    checksum = F.max(F.xxhash64(*[F.col(c) for c in cells.columns])).over(span)
+    place = F.row_number().over(span.orderBy("window_start")).cast("long") - 1
+    cells = cells.withColumn("__place", place).withColumns(
+        {"__sum": checksum, "__part": floor_div(F.col("__place"), rows), "__k": (F.pmod("__place", F.lit(rows)) + 1).cast("int")}
+    )
+    upto = Window.partitionBy("__at", "__part").orderBy("__k").rowsBetween(Window.unboundedPreceding, 0)
+    return cells.drop("__place"), upto
 
 
 def _decayed_sum(value: Column, decay: float, upto) -> Column:
@@ -286,11 +289,13 @@ def _carried(cells: DataFrame, keys: Sequence[str], seeds: dict[str, str | float
     """Add ``__before_<mean>``, the means before each cell.
 
     ``step(state, rows, local)`` takes the means across one cell; ``seeds`` gives the first
-    state as a column of the first candle or a number. Only one row per cell is walked.
+    state as a column of the first candle or a number. Only one row per cell is walked, and one
+    row per span, with the states before its parts, comes back to the candles.
     """
     keys = list(keys)
-    ends = cells.groupBy("__at").agg(
+    ends = cells.groupBy("__at", "__part").agg(
         F.max("__k").cast("long").alias("__m"),
+        F.max("__sum").alias("__seen"),
         *[F.max_by(f"__local_{out}", "__k").alias(f"__end_{out}") for out in seeds],
         *[
             (F.min_by(seed, "__k") if isinstance(seed, str) else F.first(F.lit(seed))).alias(f"__seed_{out}")
@@ -303,24 +308,28 @@ def _carried(cells: DataFrame, keys: Sequence[str], seeds: dict[str, str | float
             {f"__seed_{out}": F.coalesce(f"__known_{out}", f"__seed_{out}") for out in seeds}
         )
     ends = ends.drop("__at")
-    fields = ends.select(*keys, "__cell").schema.fields
+    fields = ends.select(*keys, "__cell", "__seen").schema.fields
     schema = ", ".join(
-        [*[f"`{f.name}` {f.dataType.simpleString()}" for f in fields], *[f"__before_{out} double" for out in seeds]]
+        [*[f"`{f.name}` {f.dataType.simpleString()}" for f in fields], *[f"__states_{out} array<double>" for out in seeds]]
     )
 
     def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("__cell")
+        pdf = pdf.sort_values(["__cell", "__part"])
         state = {out: float(pdf[f"__seed_{out}"].iloc[0]) for out in seeds}
-        before: list[dict[str, float]] = []
-        for row in pdf[["__m", *[f"__end_{out}" for out in seeds]]].itertuples(index=False):
-            before.append(state)
-            state = step(state, row[0], dict(zip(seeds, row[1:])))
-        walked = pdf[[*keys, "__cell"]].reset_index(drop=True)
-        return walked.assign(**{f"__before_{out}": [b[out] for b in before] for out in seeds})
+        before: list[list[dict[str, float]]] = []
+        for row in pdf[["__part", "__m", *[f"__end_{out}" for out in seeds]]].itertuples(index=False):
+            if row[0] == 0:
+                before.append([])
+            before[-1].append(state)
+            state = step(state, row[1], dict(zip(seeds, row[2:])))
+        walked = pdf.loc[pdf["__part"] == 0, [*keys, "__cell", "__seen"]].reset_index(drop=True)
+        return walked.assign(**{f"__states_{out}": [[b[out] for b in parts] for parts in before] for out in seeds})
 
     carried = ends.groupBy(*keys).applyInPandas(walk, schema)
     carried = in_cells(carried, keys, F.col("__cell")).drop("__cell")
-    return out_of_cells(cells.join(carried, "__at"), keys)
+    joined = cells.join(carried, "__at").filter("__sum <= __seen")
+    befores = {f"__before_{out}": F.get(f"__states_{out}", F.col("__part").cast("int")) for out in seeds}
+    return out_of_cells(joined.withColumns(befores), keys)
 
 
 def _without_helpers(df: DataFrame) -> DataFrame:
