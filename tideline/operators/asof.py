@@ -9,10 +9,12 @@ from tideline.operators.ordered import in_cells, join_on, out_of_cells, rows_bef
 
 
 def latest_before(
-    alerts: DataFrame, headlines: DataFrame, keys: list[str], cell: Column, k: int, order: tuple[str, str] = ("ts", "id")
+    alerts: DataFrame, headlines: DataFrame, keys: list[str], cell: Column, k: int | str, order: tuple[str, str] = ("ts", "id")
 ) -> DataFrame:
     """Each alert with its ``k`` latest headlines at or before its time; rank 1 is the latest.
 
+    ``k`` may name a column of the alerts, for a number of its own; null or below one asks for none.
+
     Both sides run through one ordering, cut by ``cell``, that counts the headlines so far.
     An alert that has seen h of them wants numbers h, h-1, ... and finds these by equality,
     so no pairs beyond the wanted ones are formed. Headlines come back as ``headline``.
@@ -35,9 +37,10 @@ def latest_before(
     sizes = counted.groupBy("__at").agg(F.max("__local").alias("__n"), F.max("__sum").alias("__seen"))
     placed = counted.join(rows_before(sizes, keys, "__seen"), "__at").filter("__sum <= __seen")
     placed = out_of_cells(placed.withColumn("__number", F.col("__before") + F.col("__local")), keys)
+    wish = (F.col(f"alert.{k}") if isinstance(k, str) else F.lit(k)).cast("int")
     wanted = (
         placed.filter("__side = 1")
-        .withColumn("rank", F.explode(F.sequence(F.lit(1), F.lit(k))))
+        .withColumn("rank", F.explode(F.when(wish >= 1, F.sequence(F.lit(1), wish))))
         .withColumn("__number", F.col("__number") - F.col("rank") + 1)
         .filter(F.col("__number") >= 1)
         .select(*keys, "alert", "rank", "__number")

@@ -110,9 +110,9 @@ def breakout_history(
     return alerts_of(episodes(ticks, cell, threshold, keys, order), history, keys, order)
 
 
-def alert_payload(alerts: DataFrame, event_type: str = EVENT_TYPE) -> DataFrame:
+def alert_payload(alerts: DataFrame, event_type: str | Column = EVENT_TYPE) -> DataFrame:
     """Trigger message of each alert, as the backend takes it."""
-    return alerts.withColumn("event_trigger_source", F.lit(SOURCE_PREFIX + event_type)).withColumn(
+    return alerts.withColumn("event_trigger_source", F.concat(F.lit(SOURCE_PREFIX), F.lit(event_type))).withColumn(
         "override_args",
         F.struct(
             F.col("ticker"),

@@ -38,7 +38,13 @@ def rsi(
 
     Null until ``period`` price changes exist; 100 when there was no loss.
     """
+    # A block's first change needs one row more than the means do, and a cross one more.
+    build = _rsi_steps(period, overbought, oversold, price)
+    frame = with_lookback(candles, keys, ["window_start"], time_cell("window_start", DAY), period + 1, build)
+    return frame.drop("change", "gain", "loss")
+
 
+def _rsi_steps(period: int, overbought: float, oversold: float, price: str):
     def build(w):
         recent = w.rowsBetween(-(period - 1), 0)
         change = F.col(price) - F.lag(price).over(w)
@@ -57,9 +63,7 @@ def rsi(
             },
         ]
 
-    # A block's first change needs one row more than the means do, and a cross one more.
-    frame = with_lookback(candles, keys, ["window_start"], time_cell("window_start", DAY), period + 1, build)
-    return frame.drop("change", "gain", "loss")
+    return build
 
 
 def crosses(frame: DataFrame, before: str, now: str, level: float) -> DataFrame:
@@ -75,18 +79,26 @@ def crosses(frame: DataFrame, before: str, now: str, level: float) -> DataFrame:
 
 def volume_spike(candles: DataFrame, trailing: int = 20, factor: float = 2.0, keys: Sequence[str] = KEYS) -> DataFrame:
     """Candles whose tick count is at least ``factor`` times the mean of the candles before."""
+    frame = with_lookback(candles, keys, ["window_start"], time_cell("window_start", DAY), trailing, _volume_steps(trailing))
+    return frame.filter(_spikes(trailing, factor))
+
+
+def _volume_steps(trailing: int):
+    return lambda w: [{"trailing_mean": F.avg("n").over(w.rowsBetween(-trailing, -1))}]
 
-    def build(w):
-        return {"trailing_mean": F.avg("n").over(w.rowsBetween(-trailing, -1))}
 
-    frame = with_lookback(candles, keys, ["window_start"], time_cell("window_start", DAY), trailing, build)
-    return frame.filter((F.col("rn") > trailing) & (F.col("n") >= factor * F.col("trailing_mean")))
+def _spikes(trailing: int, factor: float) -> Column:
+    return (F.col("rn") > trailing) & (F.col("n") >= factor * F.col("trailing_mean"))
 
 
 def level_break(candles: DataFrame, trailing: int = 20, keys: Sequence[str] = KEYS) -> DataFrame:
     """Candles closing above the highest high (resistance) or below the lowest low (support)
     of the ``trailing`` candles before."""
+    frame = with_lookback(candles, keys, ["window_start"], time_cell("window_start", DAY), trailing, _level_steps(trailing))
+    return frame.filter(_breaks(trailing))
 
+
+def _level_steps(trailing: int):
     def build(w):
         before = w.rowsBetween(-trailing, -1)
         return [
@@ -98,25 +110,62 @@ def level_break(candles: DataFrame, trailing: int = 20, keys: Sequence[str] = KE
             },
         ]
 
-    frame = with_lookback(candles, keys, ["window_start"], time_cell("window_start", DAY), trailing, build)
-    return frame.filter((F.col("rn") > trailing) & F.col("break_type").isNotNull())
+    return build
+
+
+def _breaks(trailing: int) -> Column:
+    return (F.col("rn") > trailing) & F.col("break_type").isNotNull()
 
 
 def engulfing(candles: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """Candles whose body wraps the opposite body before them: a reversal pattern."""
+    frame = with_lookback(candles, keys, ["window_start"], time_cell("window_start", DAY), 1, _engulfing_steps)
+    return frame.filter(F.col("pattern").isNotNull())
 
-    def build(w):
-        o, c = F.col("open"), F.col("close")
-        po, pc = F.col("prev_open"), F.col("prev_close")
-        bullish = (pc < po) & (c > o) & (o <= pc) & (c >= po)
-        bearish = (pc > po) & (c < o) & (o >= pc) & (c <= po)
-        return [
-            {"prev_open": F.lag("open").over(w), "prev_close": F.lag("close").over(w)},
-            {"pattern": F.when(bullish, "BULLISH_ENGULFING").when(bearish, "BEARISH_ENGULFING")},
-        ]
 
-    frame = with_lookback(candles, keys, ["window_start"], time_cell("window_start", DAY), 1, build)
-    return frame.filter(F.col("pattern").isNotNull())
+def _engulfing_steps(w):
+    o, c = F.col("open"), F.col("close")
+    po, pc = F.col("prev_open"), F.col("prev_close")
+    bullish = (pc < po) & (c > o) & (o <= pc) & (c >= po)
+    bearish = (pc > po) & (c < o) & (o >= pc) & (c <= po)
+    return [
+        {"prev_open": F.lag("open").over(w), "prev_close": F.lag("close").over(w)},
+        {"pattern": F.when(bullish, "BULLISH_ENGULFING").when(bearish, "BEARISH_ENGULFING")},
+    ]
+
+
+def rule_alerts(
+    candles: DataFrame, period: int = 14, oversold: float = 30.0, overbought: float = 70.0, trailing: int = 20,
+    factor: float = 2.0, keys: Sequence[str] = KEYS,
+) -> DataFrame:
+    """What the candle rules find: keys, ``window_start``, ``event_type``, ``price`` (the close), ``value`` and ``level``.
+
+    Event types: ``VOLUME_SPIKE`` (value: ticks, level: their mean before), ``RESISTANCE`` and ``SUPPORT``
+    (the close, the level broken), ``RSI_UP`` (RSI rises through ``oversold``), ``RSI_DOWN`` (it falls through
+    ``overbought``; value and level are RSI) and the engulfing patterns (close, close before). A candle may raise
+    several. All rules look back from one numbering of the candles, so they cost no more shuffles than one of them.
+    """
+    steps = [_rsi_steps(period, overbought, oversold, "close"), _volume_steps(trailing), _level_steps(trailing), _engulfing_steps]
+    frame = with_lookback(
+        candles, keys, ["window_start"], time_cell("window_start", DAY), max(period + 1, trailing),
+        lambda w: [step for build in steps for step in build(w)],
+    )
+    was, now = F.round("prev_rsi", 9), F.round("rsi", 9)
+
+    def event(when: Column, kind: Column, value: str, level) -> Column:
+        level = F.col(level) if isinstance(level, str) else F.lit(level)
+        return F.when(when, F.struct(kind.alias("event_type"), F.col(value).cast("double").alias("value"), level.cast("double").alias("level")))
+
+    broken = F.when(F.col("break_type") == "SUPPORT", F.col("support")).otherwise(F.col("resistance"))
+    found = F.array(
+        event(_spikes(trailing, factor), F.lit("VOLUME_SPIKE"), "n", "trailing_mean"),
+        event(_breaks(trailing), F.col("break_type"), "close", broken),
+        event((was <= oversold) & (now > oversold), F.lit("RSI_UP"), "rsi", oversold),
+        event((was >= overbought) & (now < overbought), F.lit("RSI_DOWN"), "rsi", overbought),
+        event(F.col("pattern").isNotNull(), F.col("pattern"), "close", "prev_close"),
+    )
+    events = frame.select(*keys, "window_start", F.col("close").alias("price"), F.explode(F.array_compact(found)).alias("__event"))
+    return events.select(*keys, "window_start", "price", "__event.*")
 
 
 # Spans a look-back is cut into; divides any whole number of seconds in microseconds.

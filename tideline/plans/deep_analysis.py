@@ -7,16 +7,16 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.functions import blocks
+from tideline.functions import arguments, blocks
 from tideline.operators import asof, breakout, scoring, similarity
 from tideline.session import scratch_dir
 
 
 def deep_analysis(
-    alerts: DataFrame, headlines: DataFrame, keys: list[str], cell: Column, k: int,
+    alerts: DataFrame, headlines: DataFrame, keys: list[str], cell: Column, k: int | str,
     positive: Iterable[str], negative: Iterable[str],
 ) -> DataFrame:
-    """Each alert with its latest ``k`` headlines, their mean score, label and signal.
+    """Each alert with its latest ``k`` headlines (or as many as its column ``k``), their mean score, label and signal.
 
     ``headlines`` has a ``text``, scored once per headline before the join. An alert without
     headlines scores 0 and is ``Neutral``. ``context`` lists headline ids, latest first.
@@ -38,6 +38,32 @@ def deep_analysis(
     )
 
 
+def triggered(
+    requests: DataFrame, stored: Column, overrides: Column, headlines: DataFrame, keys: list[str], cell: Column,
+    positive: Iterable[str], negative: Iterable[str],
+) -> DataFrame:
+    """Run requests worked out by their own arguments.
+
+    A request has ``id``, ``ts``, ``keys``, ``scope_id``, ``schedule_id`` and ``task_id``; ``stored`` is its task's
+    argument map and ``overrides`` what the trigger sent, which wins. Read from the merged arguments: ``k``,
+    headlines to look at (none where it is no whole number above zero), and ``min_score``, the mean score a verdict needs in either direction
+    (0 where it is no number); nearer to zero it is ``Neutral``. ``arguments`` comes back with the run's ``output_path``.
+    """
+    merged = arguments.effective_arguments(F.col("scope_id"), F.col("schedule_id"), F.col("task_id"), stored, overrides)
+    asked = requests.withColumn("arguments", arguments.with_output_path(merged, F.col("schedule_id").cast("string"), F.col("task_id").cast("string")))
+    asked = asked.withColumns(
+        {
+            "k": F.element_at("arguments", "k").try_cast("int"),
+            "min_score": F.coalesce(F.element_at("arguments", "min_score").try_cast("double"), F.lit(0.0)),
+        }
+    )
+    # A map cannot be hashed, which the shared shuffle of both sides needs; it joins again by id.
+    judged = deep_analysis(asked.drop("arguments"), headlines, keys, cell, "k", positive, negative)
+    label = F.when(F.abs("score") < F.col("min_score"), F.lit("Neutral")).otherwise(F.col("sentiment"))
+    judged = judged.withColumn("sentiment", label).withColumn("signal", blocks.signal(F.col("sentiment")))
+    return judged.join(asked.select("id", "arguments"), "id")
+
+
 def with_passages(spark: SparkSession, judged: DataFrame, passages: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     """Add ``passages``, ids of the ``k`` passages nearest to each alert's vector, nearest first.
 
