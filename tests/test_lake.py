@@ -2,6 +2,7 @@
 
 import json
 import os
+import tracemalloc
 
 import numpy as np
 import pandas as pd
@@ -304,6 +305,22 @@ def test_similarity_equals_brute_force(spark):
     assert similarity.similar_topk(spark, passages.limit(0), queries, 4).count() == 0
 
 
+def test_nearest_step_holds_a_tile_of_scores():
+    rng = np.random.default_rng(3)
+    vectors = np.tile(rng.normal(size=(50, 4)), (400, 1))
+    passages = pd.DataFrame({"id": np.arange(20_000)[::-1], "passage": list(vectors)})
+    queries = pd.DataFrame({"query_id": np.arange(400), "query": list(vectors[:400])})
+    tracemalloc.start()
+    found = similarity._nearest(queries, passages, 3)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    # All scores at once are 64 MB.
+    assert peak < 48 << 20
+    # The 400 copies of a query's vector tie; the smallest ids come first.
+    got = found.sort_values(["query_id", "similarity", "id"], ascending=[True, False, True]).groupby("query_id")["id"].apply(list)
+    assert all(ids == [49 - q % 50, 99 - q % 50, 149 - q % 50] for q, ids in got.items()) and len(got) == 400
+
+
 def test_approximate_similarity_finds_most(spark):
     rng = np.random.default_rng(2)
     centres = rng.normal(size=(40, 16))
