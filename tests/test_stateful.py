@@ -137,6 +137,24 @@ def test_interval_context_by_brute_force_and_late_rows(spark, folder, source):
     assert late >= 1
 
 
+def test_interval_context_keeps_open_alerts_in_buckets(spark, folder, source):
+    at = lambda seconds: START + dt.timedelta(seconds=seconds)
+    # Ids 4, 8, ... are alerts, each with the headline a second before it.
+    steps = [[(i, at(i), "hot", 1.0) for i in range(3, 403) if i % 4 in (0, 3)], *[[(i, at(86_400 + i), "other", 1.0) for i in (n, n + 1)] for n in (1000, 1004)]]
+    queries = []
+    for step, rows in enumerate(steps):
+        feed(source, f"{step}.txt", [message(r) for r in rows])
+        ticks = stream(spark, source)
+        found = stateful.interval_context(ticks.filter(F.col("id") % 4 == 0), ticks.filter(F.col("id") % 4 > 0), ["ticker"], 2, "1 minute", 3, buckets=2)
+        queries.append(run.finish(run.to_files(found, f"{folder}/out", f"{folder}/checkpoint")))
+    query = queries[0]
+    last = [s for s in query.recentProgress[0].stateOperators if s.operatorName.startswith("transformWithState")]
+    # Before buckets, the 100 alerts took 100 lists and 100 timers, each some calls of its own.
+    assert len(last) == 1 and last[0].customMetrics["numRegisteredTimers"] == 2
+    got = sorted((r.alert.id, r["rank"], r.headline.id) for r in spark.read.schema(found.schema).parquet(f"{folder}/out").collect() if r.alert.ticker == "hot")
+    assert got == [(i, 1, i - 1) for i in range(4, 403, 4)]
+
+
 def test_batch_frames_have_the_same_shape(spark):
     from tideline.operators import breakout
     from tideline.operators.ordered import time_cell

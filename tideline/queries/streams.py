@@ -539,8 +539,8 @@ def stream_context(spark, sf_dir):
 def stream_interval_context(spark, sf_dir):
     # Two streams with watermarks meet; the alerts shown are those old enough to be answered for certain.
     root = scratch_dir(spark, "interval")
-    alerts = arriving_events(spark, sf_dir, 4).filter(breakout.is_breakout(100.0))
-    headlines = arriving_events(spark, sf_dir, 4).filter(F.col("ticker").isin("view", "signup"))
+    arriving = arriving_events(spark, sf_dir, 4)
+    alerts, headlines = arriving.filter(breakout.is_breakout(100.0)), arriving.filter(F.col("ticker").isin("view", "signup"))
     found = stateful.interval_context(alerts, headlines, ["user_id"], 2 * 86_400, "10 minutes", 3)
     run.finish(run.to_files(found, f"{root}/out", f"{root}/checkpoint"))
     end = table(spark, sf_dir, "events").agg(F.max(micros("ts"))).first()[0] or 0

@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -149,42 +150,80 @@ def latest(ticks: DataFrame) -> DataFrame:
 
 
 class _ContextState(StatefulProcessor):
-    """The latest ``k`` headlines of one alert, given out by a timer when nothing can be added."""
+    """The latest ``k`` headlines of each open alert of a bucket, given out by a timer when nothing can be added.
+
+    A bucket is one value, its rows as an Arrow stream, read and written once per batch; a call of the
+    state store for each alert or row would cost milliseconds. One timer per bucket stands at its earliest
+    open alert.
+    """
+
+    ROW = {"alert": "string", "ms": "int64", "us": "int64", "headline_id": "string", "headline": "string"}
 
     def __init__(self, k: int):
         self.k = k
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.best = handle.getListState("best", "us long, id string, headline string")
+        self.best = handle.getValueState("best", "rows binary")
+
+    def _open(self) -> pd.DataFrame:
+        kept = self.best.get()
+        return pa.ipc.open_stream(kept[0]).read_pandas() if kept else pd.DataFrame(columns=list(self.ROW))
+
+    def _keep(self, rows: pd.DataFrame) -> None:
+        if rows.empty:
+            self.best.clear()
+            return
+        table = pa.table({name: pa.array(rows[name], kind) for name, kind in self.ROW.items()})
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, table.schema) as out:
+            out.write_table(table)
+        self.best.update((sink.getvalue().to_pybytes(),))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        new = pd.concat(list(rows))
-        kept = [tuple(r) for r in self.best.get()] if self.best.exists() else []
-        if not kept:
-            self.handle.registerTimer(int(new["alert_ts"].iloc[0].value // 1_000_000))
-        mine = kept + list(zip(new["us"].tolist(), new["headline_id"].tolist(), new["headline"].tolist()))
-        # Ids are padded text, so numbers order as numbers do.
-        self.best.put(sorted(mine, reverse=True)[: self.k])
+        kept = self._open()
+        before = int(kept["ms"].min()) if len(kept) else None
+        for new in rows:
+            both = pd.concat([kept, new[list(self.ROW)]], ignore_index=True) if len(kept) else new[list(self.ROW)]
+            # Ids are padded text, so numbers order as numbers do.
+            both = both.sort_values(["us", "headline_id", "headline"], ascending=False, kind="stable")
+            kept = both.groupby("alert", sort=False).head(self.k)
+        self._keep(kept)
+        first = int(kept["ms"].min())
+        if first != before:
+            if before is not None:
+                self.handle.deleteTimer(before)
+            self.handle.registerTimer(first)
         yield from ()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        found = [tuple(r) for r in self.best.get()]
-        self.best.clear()
-        yield pd.DataFrame([(*key, rank, headline) for rank, (_, _, headline) in enumerate(found, 1)], columns=["alert", "rank", "headline"])
+        kept = self._open()
+        # The state is in the order of the ranks.
+        done = kept["ms"] < timerValues.getCurrentWatermarkInMs()
+        found, kept = kept[done], kept[~done]
+        self._keep(kept)
+        if len(kept):
+            self.handle.registerTimer(int(kept["ms"].min()))
+        if len(found):
+            rank = found.groupby("alert", sort=False).cumcount() + 1
+            yield found.assign(rank=rank.astype("int32"))[["alert", "rank", "headline"]]
 
     def close(self) -> None:
         pass
 
 
-def interval_context(alerts: DataFrame, headlines: DataFrame, keys: list[str], within: int, late_by: str, k: int) -> DataFrame:
+def interval_context(
+    alerts: DataFrame, headlines: DataFrame, keys: list[str], within: int, late_by: str, k: int, buckets: int = 256
+) -> DataFrame:
     """(alert, rank, headline): each alert of one stream with the latest ``k`` headlines of another, of equal ``keys``
     and at most ``within`` seconds older, as structs. Both have ts and a whole-number id.
 
     A stream-stream join: Spark holds rows until the watermark, ``late_by`` behind the slower stream,
     rules out a partner, and drops and counts rows that are later. Keys are met in spans of ``within``
     seconds, so a hot key is many join keys. An alert is answered once, when its headlines are
-    complete; one without headlines gives no row, and those still open at the end are not given.
+    complete; one without headlines gives no row, and those still open at the end are not given. The
+    answers in the making are kept in ``buckets`` groups of alerts by a hash, which stay as they are for the
+    life of a checkpoint.
     """
     length = within * 1_000_000
 
@@ -201,11 +240,12 @@ def interval_context(alerts: DataFrame, headlines: DataFrame, keys: list[str], w
     for c in [f"__{c}" for c in keys] + ["__span"]:
         same = same & (a[c] == h[c])
     pairs = a.join(h, same).select(
-        F.to_json("alert").alias("alert"), "alert_ts", micros("headline_ts").alias("us"),
+        F.to_json("alert").alias("alert"), "alert_ts", F.unix_millis("alert_ts").alias("ms"), micros("headline_ts").alias("us"),
         F.lpad((F.col("headline.id").cast("decimal(20,0)") + F.lit("9223372036854775808").cast("decimal(20,0)")).cast("string"), 21, "0").alias("headline_id"),
         F.to_json("headline").alias("headline"),
     )
-    found = _keyed(pairs, "alert", _ContextState(k), "alert string, rank int, headline string", "eventTime")
+    pairs = pairs.withColumn("bucket", F.pmod(F.xxhash64("alert"), F.lit(buckets)).cast("int"))
+    found = _keyed(pairs, "bucket", _ContextState(k), "alert string, rank int, headline string", "eventTime")
     return found.select(
         F.from_json("alert", alerts.schema).alias("alert"), "rank", F.from_json("headline", headlines.schema).alias("headline")
     )
