@@ -73,6 +73,15 @@ def test_naive_bayes_by_hand(spark):
         assert got[doc_id] == (round(s, 9), int(s > 0))
 
 
+def test_words_are_counted_within_their_row(spark):
+    rows = [(1, "b a b, B c a b"), (1, "a"), (2, ""), (3, None), (None, "x x"), (4, "one")]
+    counted = naive_bayes.term_counts(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text")
+    got = sorted(((r.doc_id or 0, r.term, r.n) for r in counted.collect()))
+    assert got == [(0, "x", 2), (1, "a", 1), (1, "a", 2), (1, "b", 4), (1, "c", 1), (4, "one", 1)]
+    # Words once crossed the network to be counted, and again to meet the model.
+    assert "Exchange" not in counted._jdf.queryExecution().executedPlan().toString()
+
+
 def test_naive_bayes_needs_both_labels(spark):
     frame = spark.createDataFrame([(1, "a b", 1), (2, "c", 1)], "doc_id long, text string, y int")
     assert naive_bayes.fit(frame, "text", "y").count() == 0

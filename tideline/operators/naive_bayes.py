@@ -12,8 +12,17 @@ from tideline.session import staged
 
 
 def term_counts(docs: DataFrame, row_id: str, text: str) -> DataFrame:
-    """(row_id, term, n) of every word of every text; counted within the task that reads the text."""
-    return docs.select(F.col(row_id), F.explode(tokens(text)).alias("term")).groupBy(row_id, "term").agg(F.count("*").alias("n"))
+    """(row_id, term, n) of every different word of every row's text, counted within the row: no shuffle.
+
+    The words are sorted; a word's last place less that of the word before it is its count.
+    """
+    words = docs.select(F.col(row_id), F.sort_array(tokens(text)).alias("__words")).filter(F.size("__words") > 0)
+    last = F.filter(F.sequence(F.lit(1), F.size("__words")), lambda i: ~F.get("__words", i).eqNullSafe(F.get("__words", i - 1)))
+    words = words.withColumn("__last", last)
+    counted = F.transform(
+        "__last", lambda i, at: F.struct(F.get("__words", i - 1).alias("term"), (i - F.coalesce(F.get("__last", at - 1), F.lit(0))).alias("n"))
+    )
+    return words.select(row_id, F.inline(counted))
 
 
 def fit(labelled: DataFrame, text: str, label: str, smoothing: float = 1.0) -> DataFrame:
@@ -42,10 +51,11 @@ def score(docs: DataFrame, model: DataFrame, row_id: str, text: str) -> DataFram
     """(row_id, score, label) of every text: the logarithm of the odds of label 1, and 1 if it is above 0.
 
     Words the model does not know say nothing; a text without known words has the prior's score, and
-    0 if the model is empty. Rows of one id are one document. The model meets the words in a join.
+    0 if the model is empty. Rows of one id are one document. The model meets the words in a join, hashed
+    rather than sorted, so that only the words' one shuffle is written.
     """
     prior = model.agg(F.max("prior")).first()[0] or 0.0
-    found = term_counts(docs, row_id, text).join(model.select("term", "weight"), "term")
+    found = term_counts(docs, row_id, text).join(model.select("term", "weight").hint("shuffle_hash"), "term")
     sums = found.groupBy(row_id).agg(F.sum(F.col("n") * F.col("weight")).alias("__sum"))
     ids = docs.select(row_id).distinct().withColumnRenamed(row_id, "__id")
     rows = ids.join(sums, ids["__id"].eqNullSafe(sums[row_id]), "left")
