@@ -26,14 +26,14 @@ def similar_topk(
     its k best per query, and only those are merged. So the plan is one pass whatever the number
     of queries, no vector passes through the driver, and a task holds one block of either side and
     the scores of one tile of them. The work is that of all pairs; ``similar_approx`` does less. Zero
-    vectors have no direction and match nothing. Scores are rounded to 12 decimals, so that copies of
-    a vector score alike wherever they lie; equal scores rank by id.
+    vectors have no direction and match nothing; queries without an id are left out. Scores are
+    rounded to 12 decimals, so that copies of a vector score alike wherever they lie; equal scores rank by id.
     """
     if prefilter is not None:
         passages = passages.filter(prefilter)
     # Aliased, so that both sides may come from one table.
     passages = passages.filter("embedding is not null").select(F.col("id").alias("id"), F.col("embedding").alias("passage"))
-    queries = queries.filter("embedding is not null").select(F.col("query_id").alias("query_id"), F.col("embedding").alias("query"))
+    queries = queries.filter("embedding is not null and query_id is not null").select(F.col("query_id").alias("query_id"), F.col("embedding").alias("query"))
     kinds = {f.name: f.dataType.simpleString() for f in (*passages.schema.fields, *queries.schema.fields)}
     schema = f"query_id {kinds['query_id']}, id {kinds['id']}, similarity double"
     n_query = max(1, -(-queries.count() // block_queries))
