@@ -40,6 +40,41 @@ def test_cached_ids_are_the_librarys(spark, byte_tokenizer):
             assert ids.tolist() == byte_tokenizer.encode(text, add_special_tokens=False).ids, repr(text[:80])
 
 
+class Counting:
+    """A tokenizer that counts the characters given to the whole of it."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer, self.seen = tokenizer, 0
+
+    def encode_batch_fast(self, texts, **options):
+        self.seen += sum(map(len, texts))
+        return self.tokenizer.encode_batch_fast(texts, **options)
+
+
+def test_plain_words_pass_by_the_pre_tokenizer(byte_tokenizer):
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefghinorstzABCéÉßñüǅ") for _ in range(rng.randint(1, 12)))
+    texts = [" ".join(word() + rng.choice(["", "", ".", ",", "###", "12", ".\n" + word(), "!?\n7" + word()]) for _ in range(50)) for _ in range(200)]
+    encoder = CachedEncoder(BYTES, limit=2000)
+    encoder.tokenizer = Counting(byte_tokenizer)
+    for text, ids in zip(texts, encoder.encode(texts, together=20_000), strict=True):
+        assert ids.tolist() == byte_tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
+    assert encoder.tokenizer.seen == sum(len(t.split(" ")[0]) for t in texts)
+
+
+def test_pieces_at_the_edge_of_plain(byte_tokenizer):
+    odd = ["it's", "'re", "<|endoftext|>", "a<|endoftext|>b", "<|", "|>", "a\n\nb", "a\n", "a\n'll", "½a", "a½", "ª", "a­b", "aªb", "÷×", "a_b", "\\]^-[", "a\tb", "é\r\nb", "x" * 300, "x" * 300 + ".\nb"]
+    texts = [f"{a} {b} {a}{b} c" for a in odd for b in odd] + ["", " ", "a", " a", "a ", "\n", "\n a"]
+    for plain in (True, False):
+        encoder = CachedEncoder(BYTES, limit=50)
+        encoder.plain = encoder.plain if plain else None
+        for _ in range(2):
+            for text, ids in zip(texts, encoder.encode(texts, together=500), strict=True):
+                assert ids.tolist() == byte_tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
+        assert all(len(p) <= encoder.longest for p in [*encoder.cache, *encoder.old])
+    assert list(encoder.encode([])) == []
+
+
 def test_backtracking_is_exact(spark, word_tokenizer):
     bpe = word_bpe.WordBpe(WORDS, limit=300)
     rng = random.Random(2)

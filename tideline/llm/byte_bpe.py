@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import re
+import string
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,9 +17,8 @@ from tideline.llm.common import worker_object
 _INK = "!-~¡-ɏ"
 _NOT_ALL_CUT = re.compile(f" (?![{_INK}])")
 _CUT = re.compile(f" (?=[{_INK}])")
-_LINES = re.compile(f"[{_INK}]+(?:\n[{_INK}]+)*")
-# A word and the mark after it are separate for the pre-tokenizer.
-_WORD_MARK = re.compile("[A-Za-zÀ-ÖØ-öø-ɏ]+[.,]")
+# Letters for the pre-tokenizer, as A-Z and a-z are.
+_LATIN = "À-ÖØ-öø-ɏ"
 
 
 class CachedEncoder:
@@ -35,60 +36,81 @@ class CachedEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.model = self.tokenizer.model
         self.limit, self.longest = limit, longest
-        self.line_end = self._encode(["\n"])[0]
-        self.line_id = int.from_bytes(self.line_end[:4], "little")
         self.cache: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        self.plain = self._plain_pieces()
+
+    def _plain_pieces(self) -> re.Pattern | None:
+        """Pieces whose parting into runs is known: letters, digits, marks, single line ends within.
+
+        Apostrophes are left out, for the pre-tokenizer's contractions, and the marks of added
+        tokens. None, if the tokenizer is not the plain byte-level one, or an added token has no mark.
+        """
+        from tokenizers.pre_tokenizers import ByteLevel
+
+        before, added = self.tokenizer.pre_tokenizer, self.tokenizer.get_added_tokens_decoder().values()
+        marks = set(string.punctuation).difference("'")
+        if not isinstance(before, ByteLevel) or before.add_prefix_space or not before.use_regex or self.tokenizer.normalizer is not None:
+            return None
+        if any(marks.isdisjoint(token.content) for token in added):
+            return None
+        spell = ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+        self.space, self.spelling = spell(" ")[0][0], {c: spell(chr(c))[0][0] for c in [10, *range(0xC0, 0x250)]}
+        marks = re.escape("".join(sorted(marks.difference(*(token.content for token in added)))))
+        self.runs = re.compile(f"[A-Za-z{_LATIN}]+|[0-9]+|[{marks}]+|\n").findall
+        ink = f"[A-Za-z{_LATIN}0-9{marks}]+"
+        return re.compile(f"{ink}(?:\n{ink})*")
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(x.ids, dtype="<u4").tobytes() for x in found]
 
-    def _learn_words(self, words: list[str], together: int = 64) -> None:
-        """Puts the ids of each word with a space before it into the cache.
+    def _run(self, run: str, space: str = "") -> bytes:
+        """Ids by the library's model of a run that the pre-tokenizer keeps to itself."""
+        ids = [t.id for t in self.model.tokenize(space + (run if run.isascii() and run != "\n" else run.translate(self.spelling)))]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _images(self, pieces: list[str]) -> list[bytes]:
+        """The ids of each different piece with a space before it.
 
-        Words without white space, single line ends apart, are encoded ``together`` at a time: the
-        pre-tokenizer keeps a line end between a mark and a mark or space to itself, so the ids are
-        cut there.
+        Plain pieces that are not in the cache go to the library's model run by run, without its
+        costlier pre-tokenizer; all others go through the whole tokenizer.
         """
-        cache, end = self.cache, self.line_end
-        plain = [w for w in words if (w.isprintable() and w[-1] != " ") or _LINES.fullmatch(w)] if len(end) == 4 else []
-        if len(plain) < len(words):
-            rest = list(set(words).difference(plain))
-            cache.update(zip(rest, self._encode([" " + w for w in rest])))
-        groups = [plain[i : i + together] for i in range(0, len(plain), together)]
-        found = self.tokenizer.encode_batch_fast([" " + "\n ".join(g) for g in groups], add_special_tokens=False)
-        for group, line in zip(groups, found):
-            ids = np.array(line.ids, dtype="<u4")
-            cuts = [*(4 * np.flatnonzero(ids == self.line_id)).tolist(), 4 * len(ids)]
-            image, start, nth = ids.tobytes(), 0, 0
-            for word in group:
-                nth += word.count("\n")
-                cache[word] = image[start : cuts[nth]]
-                start = cuts[nth] + 4
-                nth += 1
-            if nth != len(cuts):
-                raise ValueError("the tokenizer joins line ends with other marks")
-
-    def _learn(self, pieces: set[str]) -> list[str]:
-        """Puts all the pieces into the cache; returns those that are not to stay."""
         if len(self.cache) > self.limit:
             self.old, self.cache = self.cache, {}
-        cache, old = self.cache, self.old
-        new = pieces.difference(cache)
-        for piece in new.intersection(old):
-            cache[piece] = old[piece]
-        new.difference_update(old)
-        marked = [p for p in new if p[-1] in ".," and _WORD_MARK.fullmatch(p)]
-        words = list({p[:-1] for p in marked}.union(new.difference(marked)).difference(cache))
-        self._learn_words(words)
-        marks = dict(zip(".,", self._encode([".", ","])))
-        for piece in marked:
-            cache[piece] = cache[piece[:-1]] + marks[piece[-1]]
-        return [p for p in new if len(p) > self.longest]
-
-    def encode(self, texts: list[str], together: int = 1 << 22) -> Iterator[np.ndarray]:
+        cache, old, longest = self.cache, self.old, self.longest
+        images = list(map(cache.get, pieces))
+        rest, inner = [], {}
+        for i in [i for i, image in enumerate(images) if image is None]:
+            piece = pieces[i]
+            found = old.get(piece)
+            if found is None:
+                if piece.isascii() and piece.isalpha() and self.plain is not None:
+                    found = self._run(piece, self.space)
+                elif self.plain is not None and self.plain.fullmatch(piece):
+                    first, *others = self.runs(piece)
+                    found = cache.get(first) or old.get(first) or self._run(first, self.space)
+                    if len(first) <= longest:
+                        cache[first] = found
+                    for run in others:
+                        if run not in inner:
+                            inner[run] = self._run(run)
+                    found += b"".join([inner[run] for run in others])
+                else:
+                    rest.append(i)
+                    continue
+            images[i] = found
+            if len(piece) <= longest:
+                cache[piece] = found
+        for i, found in zip(rest, self._encode([" " + pieces[i] for i in rest])):
+            images[i] = found
+            if len(pieces[i]) <= longest:
+                cache[pieces[i]] = found
+        return images
+
+    def encode(self, texts: list[str], together: int = 1 << 21) -> Iterator[np.ndarray]:
         """The ids of each text as little-endian uint32, some ``together`` characters at a time."""
         block, size = [], 0
         for text in texts:
@@ -97,20 +119,40 @@ class CachedEncoder:
             if size >= together:
                 yield from self._block(block)
                 block, size = [], 0
-        yield from self._block(block)
+        if block:
+            yield from self._block(block)
 
     def _block(self, texts: list[str]) -> Iterator[np.ndarray]:
-        cut = [t.split(" ") if _NOT_ALL_CUT.search(t) is None else _CUT.split(t) for t in texts]
-        heads = self._encode([parts[0] for parts in cut])
-        pieces: set[str] = set()
-        for parts in cut:
-            pieces.update(parts[1:])
-        passing = self._learn(pieces)
-        get = self.cache.__getitem__
-        for head, parts in zip(heads, cut):
-            yield np.frombuffer(head + b"".join(map(get, parts[1:])), dtype="<u4")
-        for piece in passing:
-            del self.cache[piece]
+        """Ids of some texts: Arrow cuts them and numbers the pieces, so that Python meets each
+        different piece once; the ids of all places are then gathered from those of the pieces."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        odd = np.array([_NOT_ALL_CUT.search(t) is not None for t in texts])
+        cut = pc.split_pattern(pa.array([t for t, o in zip(texts, odd) if not o], pa.large_string()), " ")
+        cut = pa.concat_arrays([cut, pa.array([_CUT.split(t) for t, o in zip(texts, odd) if o], cut.type)])
+        row = np.argsort(np.argsort(odd, kind="stable"))
+        heads, ends = cut.offsets.to_numpy()[:-1], cut.offsets.to_numpy()[1:]
+        words = cut.flatten()
+        numbered = words.dictionary_encode()
+        piece = numbered.indices.to_numpy()
+        inner = np.ones(len(piece), dtype=bool)
+        inner[heads] = False
+        used = np.zeros(len(numbered.dictionary), dtype=bool)
+        used[piece[inner]] = True
+        pieces = numbered.dictionary.filter(pa.array(used)).to_numpy(zero_copy_only=False).tolist()
+        # What a text begins with has no space before it.
+        piece = (np.cumsum(used) - 1)[piece]
+        piece[heads] = len(pieces) + np.arange(len(texts))
+
+        images = self._images(pieces) + self._encode(words.take(pa.array(heads)).to_pylist())
+        ids, sizes = np.frombuffer(b"".join(images), dtype="<u4"), np.fromiter(map(len, images), np.int64, len(images)) // 4
+        starts, sizes = (np.cumsum(sizes) - sizes)[piece], sizes[piece]
+        upto = np.cumsum(sizes)
+        at = np.repeat(starts - (upto - sizes), sizes)
+        at += np.arange(upto[-1])
+        found = np.split(ids[at], upto[ends[:-1] - 1])
+        yield from (found[r] for r in row)
 
 
 def encoder(path: str, limit: int = 350_000) -> CachedEncoder:

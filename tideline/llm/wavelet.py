@@ -213,8 +213,7 @@ def write_shards(
 
     def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         part, shard, before = TaskContext.get().partitionId(), 0, 0
-        # A smaller cache than elsewhere: the task holds a sorted partition and a shard besides.
-        pieces = encoder(tokenizer, 250_000)
+        pieces = encoder(tokenizer, 500_000)
         ids, doc_ids, size = [], [], 0
 
         def close() -> pd.DataFrame:
@@ -224,7 +223,7 @@ def write_shards(
 
         for batch in batches:
             known = batch["doc_id"].astype("Int64")
-            for doc_id, found in zip(known, pieces.encode(batch["text"].tolist(), 1 << 21)):
+            for doc_id, found in zip(known, pieces.encode(batch["text"].tolist(), 1 << 22)):
                 ids.append(np.append(found, np.uint32(end_id)))
                 doc_ids.append(None if doc_id is pd.NA else int(doc_id))
                 size += len(ids[-1])
